@@ -7,9 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, decontamination, langid, licenses, media, simhash, token_counts, warc
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_bytes
 
+#: The rank files of public tokenizers; a parameter of the operators.
+MULTI_RANKS, RANKS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,15 +37,102 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.read_media(media.store_text_as_media(_table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.prototypes(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_bytes(docs, length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return warc.read_records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary(RANKS)).select("doc_id", "n_words", "n_tokens")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs, licenses.train(docs))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = vocabulary(MULTI_RANKS), split_pattern()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op5_suffix_dedup": op5_suffix_dedup,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_media_columns,
+        op3_language_id,
+        op4_simhash_dedup,
+        op5_suffix_dedup,
+        op6_warc,
+        op7_token_counts,
+        op8_decontamination,
+        op9_license_scan,
+        op10_byte_bpe,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+        m AS (SELECT digest, min(page_id) AS least FROM d WHERE n >= 100 GROUP BY digest)
+        SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN m.least < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN m.least < d.page_id THEN m.least END AS refers_to
+        FROM d LEFT JOIN m USING (digest)
+    """,
+    "op1_substring_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(range(1, greatest(1, len(w) - 18))) AS s, w FROM t WHERE len(w) >= 20
+        ), x AS (
+            SELECT doc_id, s, row_number() OVER (PARTITION BY sha256(array_to_string(w[s : s + 19], ' ')) ORDER BY doc_id, s) AS n FROM s
+        ), g AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM x WHERE n > 1
+        ), r AS (
+            SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id
+        )
+        SELECT t.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda a, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM t LEFT JOIN r USING (doc_id)
+    """,
+}
