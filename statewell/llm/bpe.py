@@ -2,12 +2,13 @@
 
 Each task cuts its texts by the pattern and keeps the pieces it has not met. Their
 bytes are rows (word, pos, tok) of a DuckDB relation, and the ranks a table of merges
-(a, b, rank). A recursive query joins neighbours with the merges and contracts each
-word's leftmost pair of the least rank; a word without a pair leaves the recursion.
-Ordered aggregation gives each piece's ids, and a text's ids are those of its pieces.
+(a, b, rank). These rows are joined with the merges and aggregated in order; a recursive
+query then contracts each word's leftmost pair of the least rank and joins the two new
+pairs beside it with the merges; a word without a pair leaves the recursion. A text's
+ids are those of its pieces.
 
-Decoding cuts ids before each token that starts with a blank; runs not met yet are
-joined with the vocabulary's bytes and aggregated in order, a text is its runs.
+Decoding joins all ids (text, pos, tok) with the vocabulary's bytes and aggregates them
+in order.
 
 Pieces longer than ``LONG`` bytes (white space or symbols without end) are merged by
 the same rule with a heap, as a recursion would take a step for each merge.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -33,33 +35,31 @@ from pyspark.sql import functions as F
 from .common import steps
 
 LONG = 64
-#: Pieces, and runs of ids, that a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers the ids of; beyond that it keeps those in use.
+REMEMBERED = 500_000
+#: Bytes of text, or of ids, that are worked on at once.
+BLOCK = 3 << 20
 #: Unicode's white space, which is what \s stands for in the pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-CONTRACT = """
-WITH RECURSIVE live(word, pos, tok, done) AS (
-    SELECT word, pos, tok, false FROM cut
+NEVER = 2147483647
+CONTRACT = f"""
+WITH RECURSIVE live(word, toks, ranks) AS (
+    SELECT word, list(tok ORDER BY pos), list(coalesce(rank, {NEVER}) ORDER BY pos)
+    FROM cut LEFT JOIN merges ON a = tok AND b = behind GROUP BY word
     UNION ALL
-    SELECT word, pos, CASE WHEN pos = spot THEN best ELSE tok END, best IS NULL
-    FROM (
-        SELECT word, pos, tok, before, (least_pair // 65536)::INTEGER AS best, least_pair % 65536 AS spot
-        FROM (
-            SELECT word, pos, tok, before, min(rank::BIGINT * 65536 + pos) OVER (PARTITION BY word) AS least_pair
-            FROM (
-                SELECT word, pos, tok, lead(tok) OVER o AS behind, lag(pos) OVER o AS before
-                FROM live WHERE NOT done WINDOW o AS (PARTITION BY word ORDER BY pos)
-            ) AS row LEFT JOIN merges ON a = tok AND b = behind
-        )
-    )
-    WHERE best IS NULL OR before IS DISTINCT FROM spot
+    SELECT word,
+           list_concat(list_append(toks[:i - 1], best), toks[i + 2:]),
+           list_concat(list_append(CASE WHEN i > 1 THEN list_append(ranks[:i - 2], coalesce(l.rank, {NEVER})) ELSE [] END, coalesce(r.rank, {NEVER})), ranks[i + 2:])
+    FROM (SELECT *, list_position(ranks, best) AS i FROM (SELECT *, list_min(ranks) AS best FROM live) WHERE best < {NEVER}) AS word
+    LEFT JOIN merges l ON l.a = CASE WHEN i > 1 THEN toks[i - 1] END AND l.b = best
+    LEFT JOIN merges r ON r.a = best AND r.b = toks[i + 2]
 )
-SELECT list(tok ORDER BY pos) AS ids FROM live WHERE done GROUP BY word ORDER BY word
+SELECT toks AS ids FROM live WHERE list_min(ranks) = {NEVER} ORDER BY word
 """
 
 DECODE = """
-SELECT string_agg(bytes, '' ORDER BY pos) AS bytes FROM ids LEFT JOIN vocabulary USING (tok) GROUP BY word ORDER BY word
+SELECT text, string_agg(bytes, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary USING (tok) GROUP BY text
 """
 
 
@@ -94,88 +94,78 @@ class Codec:
             self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.blank = np.zeros(max(self.ranks.values()) + 1, bool)
-        self.blank[[r for t, r in self.ranks.items() if t[:1] == b" "]] = True
+        self.valid = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.valid[list(self.ranks.values())] = True
         pairs = [(x, y, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (x := self.ranks.get(t[:i])) is not None and (y := self.ranks.get(t[i:])) is not None]
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB"})
         table = pa.table(dict(zip(("a", "b", "rank"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
         self.fill("merges", table)
         self.fill("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}))
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.known, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
     def fill(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def ask(self, query: str, name: str, table: pa.Table) -> list:
+    def ask_columns(self, query: str, name: str, table: pa.Table) -> list[list]:
+        self.db.register(name, table)
+        out = self.db.sql(query).to_arrow_table()
+        self.db.unregister(name)
+        return [x.to_pylist() for x in out.columns]
+
+    def ask(self, query: str, name: str, table: pa.Table) -> pa.ChunkedArray:
         self.db.register(name, table)
         out = self.db.sql(query).to_arrow_table().column(0)
         self.db.unregister(name)
         return out
 
-    def learn_pieces(self, new: list[str]) -> None:
-        words = []
+    def learn(self, new: list[str]) -> tuple[pa.Array, pa.Array]:
+        """The pieces of ``new`` in an order of its own, and their ids."""
+        whole, long, words = [], [], []
         for piece in new:
             raw = piece.encode()
-            if raw in self.ranks:
-                self.pieces[piece] = np.int32(self.ranks[raw]).tobytes()
-            elif len(raw) > LONG:
-                self.pieces[piece] = np.array(merge_long(raw, self.ranks), "<i4").tobytes()
-            else:
-                words.append((piece, raw))
-        if not words:
-            return
-        size = np.array([len(raw) for _, raw in words])
-        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
-        pos = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        tok = self.byte_id[np.frombuffer(b"".join(raw for _, raw in words), np.uint8)]
-        ids = self.ask(CONTRACT, "cut", pa.table({"word": word, "pos": pos, "tok": tok})).combine_chunks()
-        flat, bound = ids.flatten().to_numpy().astype("<i4").tobytes(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
-        for (piece, _), a, b in zip(words, bound[:-1].tolist(), bound[1:].tolist()):
-            self.pieces[piece] = flat[a:b]
-
-    def learn_runs(self, new: list[bytes]) -> None:
-        size = np.array([len(x) // 4 for x in new])
-        word = np.repeat(np.arange(len(new), dtype=np.int32), size)
-        tok = np.frombuffer(b"".join(new), "<i4")
-        if len(tok) and (tok.min() < 0 or tok.max() >= len(self.blank)):
-            raise ValueError("an id is not in the vocabulary")
-        pos = np.arange(len(word), dtype=np.int32)
-        for run, text in zip(new, self.ask(DECODE, "ids", pa.table({"word": word, "pos": pos, "tok": tok})).to_pylist()):
-            self.runs[run] = text.encode("latin-1")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+            (whole if raw in self.ranks else long if len(raw) > LONG else words).append((piece, raw))
+        names = pa.array([p for group in (whole, long, words) for p, _ in group], pa.string())
+        ids = [pa.array([[self.ranks[raw]] for _, raw in whole] + [merge_long(raw, self.ranks) for _, raw in long], pa.list_(pa.int32()))]
+        if words:
+            size = np.array([len(raw) for _, raw in words])
+            word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+            pos = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            tok = self.byte_id[np.frombuffer(b"".join(raw for _, raw in words), np.uint8)]
+            behind = np.r_[tok[1:], -1].astype(np.int32)
+            behind[np.cumsum(size) - 1] = -1
+            found = self.ask(CONTRACT, "cut", pa.table({"word": word, "pos": pos, "tok": tok, "behind": behind}))
+            ids += [x.cast(pa.list_(pa.int32())) for x in found.chunks]
+        return names, pa.concat_arrays(ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and len + 1 bounds of each text's."""
         cut = [self.pattern.findall(x) for x in texts]
-        missing = {p for x in cut for p in x} - self.pieces.keys()
-        if missing:
-            if len(self.pieces) + len(missing) > REMEMBERED:
-                self.pieces.clear()
-                missing = {p for x in cut for p in x}
-            self.learn_pieces(list(missing))
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
-
-    def decode(self, ids: list[bytes]) -> list[bytes]:
-        cut = []
-        for raw in ids:
-            tok = np.frombuffer(raw, "<i4")
-            if len(tok) and (tok.min() < 0 or tok.max() >= len(self.blank)):
-                raise ValueError("an id is not in the vocabulary")
-            start = self.blank[tok]
-            start[:1] = True
-            at = (np.flatnonzero(start) * 4).tolist()
-            cut.append([raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])])
-        missing = {x for c in cut for x in c} - self.runs.keys()
-        if missing:
-            if len(self.runs) + len(missing) > REMEMBERED:
-                self.runs.clear()
-                missing = {x for c in cut for x in c}
-            self.learn_runs(list(missing))
-        get = self.runs.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        bound = np.r_[0, np.cumsum([len(x) for x in cut])]
+        pieces = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        at = pc.index_in(pieces.dictionary, value_set=self.known)
+        unknown = pieces.dictionary.filter(pc.is_null(at))
+        if len(self.known) + len(unknown) > REMEMBERED:  # keeps what this block has
+            at = at.drop_null()
+            self.known, self.lists = self.known.take(at), self.lists.take(at)
+        if len(unknown):
+            names, ids = self.learn(unknown.to_pylist())
+            self.known, self.lists = pa.concat_arrays([self.known, names]), pa.concat_arrays([self.lists, ids])
+        place = pc.index_in(pieces.dictionary, value_set=self.known)
+        lists = self.lists.take(place.take(pieces.indices))
+        size = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
+        return pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<i4"), size[bound]
+
+    def decode(self, ids: np.ndarray, bound: np.ndarray) -> list[bytes]:
+        """The bytes of the ids between each two bounds."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.valid) or not self.valid[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        out = [b""] * (len(bound) - 1)
+        text = np.repeat(np.arange(len(out), dtype=np.int32), np.diff(bound))
+        for row, joined in zip(*self.ask_columns(DECODE, "ids", pa.table({"text": text, "pos": np.arange(len(ids), dtype=np.int32), "tok": ids}))):
+            out[row] = joined.encode("latin-1")
+        return out
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -191,24 +181,34 @@ def _schema(df: DataFrame, others: list[str], new: str) -> str:
     return ", ".join([*(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in others), new])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def _steps(column: pa.Array):
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    return steps(np.r_[0, np.cumsum(size)], BLOCK)
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Columns of ``df`` but ``text``, with n_tokens and ids (binary, little-endian 32-bit).
 
-    ``path`` is a rank file at the same place on every machine.
+    ``path`` is a rank file at the same place on every machine. With ``decoded`` there is
+    also what the ids decode to (binary), made in the same pass.
     """
-    others = [x for x in df.columns if x not in ("n_tokens", "ids", text)]
+    new = ["n_tokens", "ids", "decoded"][: 2 + decoded]
+    others = [x for x in df.columns if x not in (*new, text)]
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
             texts = batch.column("__text").fill_null("")
-            ids: list[bytes] = []
-            for i, j in steps(np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))], 4 << 20):
-                ids += own.encode(texts[i:j].to_pylist())
-            new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), *new], [*others, "n_tokens", "ids"])
+            for i, j in _steps(texts):
+                ids, bound = own.encode(texts[i:j].to_pylist())
+                raw = memoryview(ids.tobytes())
+                columns = [pa.array(np.diff(bound)), pa.array([raw[a * 4 : b * 4] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary())]
+                if decoded:
+                    columns.append(pa.array(own.decode(ids, bound), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x)[i:j] for x in others), *columns], [*others, *new])
 
-    return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, _schema(df, others, "n_tokens long, ids binary"))
+    schema = _schema(df, others, "n_tokens long, ids binary" + ", decoded binary" * decoded)
+    return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -219,9 +219,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
         own = codec(path, pattern)
         for batch in batches:
             column = batch.column(others.index(ids)).fill_null(b"")
-            out: list[bytes] = []
-            for i, j in steps(np.r_[0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))], 4 << 20):
-                out += own.decode(column[i:j].to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*others, "decoded"])
+            for i, j in _steps(column):
+                raw = column[i:j].to_pylist()
+                bound = np.r_[0, np.cumsum([len(x) // 4 for x in raw])]
+                out = pa.array(own.decode(np.frombuffer(b"".join(raw), "<i4"), bound), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(x[i:j] for x in batch.columns), out], [*others, "decoded"])
 
     return df.select(*others).mapInArrow(run, _schema(df, others, "decoded binary"))

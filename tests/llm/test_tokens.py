@@ -23,10 +23,21 @@ def test_bpe_on_any_text():
     for _ in range(600):
         pool = "".join(r.sample(pools, r.randrange(1, 5)))
         texts.append("".join(r.choice(pool) for _ in range(r.randrange(120))))
-    ids = own.encode(texts)
-    for text, raw in zip(texts, ids):
-        assert [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)] == want.encode_ordinary(text), text
-    assert own.decode(ids) == [t.encode() for t in texts]
+    for _ in range(2):  # the second time from memory
+        ids, bound = own.encode(texts)
+        for text, a, b in zip(texts, bound, bound[1:]):
+            assert ids[a:b].tolist() == want.encode_ordinary(text), text
+        assert own.decode(ids, bound) == [t.encode() for t in texts]
+
+
+def test_bpe_forgets(monkeypatch):
+    own, want = bpe.Codec(vocabulary(MULTI_RANKS), split_pattern()), tiktoken_encoding()
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    for i in range(10):
+        texts = [f"word{i} word{i + 1} the of and {j * i}" for j in range(9)]
+        ids, bound = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:])] == [want.encode_ordinary(t) for t in texts]
+        assert len(own.known) <= 60
 
 
 def test_bpe_table(spark, sf):
