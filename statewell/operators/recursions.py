@@ -120,8 +120,8 @@ def fit_garch(r: np.ndarray, gamma: np.ndarray, rounds: int = 400) -> dict[str,
     var = max(float((gamma * (r - mu) ** 2).sum() / w) if w > 0 else 1e-8, 1e-8)
 
     def parts(p):
-        s, u = 1 / (1 + math.exp(-p[1])), 1 / (1 + math.exp(-p[2]))
-        return max(math.exp(min(p[0], 50)), 1e-12), 0.999 * s * u, 0.999 * s * (1 - u)
+        s, u = 0.5 * (1 + math.tanh(p[1] / 2)), 0.5 * (1 + math.tanh(p[2] / 2))
+        return max(math.exp(min(p[0], 50.0)), 1e-12), 0.999 * s * u, 0.999 * s * (1 - u)
 
     def loss(p):
         v = garch_variance(r, *parts(p), mu)
