@@ -161,7 +161,7 @@ def _seed_rows(column: str, least: int, lengths: list[int]):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.6, max_sent: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, max_sent: int = 2_000_000) -> DataFrame:
     """A row for each document and item it leaks; see ``LEAKS`` for its columns."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
