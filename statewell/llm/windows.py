@@ -91,7 +91,8 @@ def judge(table: DataFrame, hot: int) -> DataFrame:
     """
     key = F.struct("age", "doc_id", "at")
     first = F.min(key).over(Window.partitionBy("p", "u"))
-    seen = table.withColumn("later", key > first)
+    # dealt by p once: this serves both windows
+    seen = table.repartition("p").withColumn("later", key > first)
     of = Window.partitionBy("p")
     seen = seen.withColumn("kinds", F.sum(F.expr("int(not later)")).over(of))
     kind = F.when(F.col("later"), 0).when(F.col("kinds") > hot, 2).when(F.col("kinds") > 1, 1)
