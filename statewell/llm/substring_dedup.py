@@ -48,7 +48,7 @@ class FingerprintIndex:
         """
         new = phrase_table(batch, "word", self.window, self.k).withColumn("age", F.lit(1))
         old = self.history()
-        table = new if old is None else new.unionByName(old.withColumn("age", F.lit(0)))
+        table = new if old is None else new.unionByName(old.withColumn("known", F.lit(False)).withColumn("age", F.lit(0)))
         judged = materialize(judge(table, 1 << 60), "judged")
         drop_shuffles(self.spark)
         windows = materialize(window_rows(unclear(texts, judged), "word", self.window), "windows")
@@ -57,7 +57,7 @@ class FingerprintIndex:
         found = materialize(judged.where("kind = 0 and age = 1").select("doc_id", "at").unionByName(again), "found")
         if keep:
             least = F.min(F.struct("doc_id", "at"))
-            run = new.groupBy("p", "u").agg(least.alias("key")).select("key.doc_id", "key.at", "p", "u")
+            run = new.where("not known").groupBy("p", "u").agg(least.alias("key")).select("key.doc_id", "key.at", "p", "u")
             if old is not None:
                 run = run.join(old.select("p", "u"), ["p", "u"], "left_anti").select("doc_id", "at", "p", "u")
             self.runs.append(materialize(run.sortWithinPartitions("p", "u"), "run"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, U64, mix, prefix_sums, span_hash, steps, text_buffers, word_values, words_of
 
-PHRASES = "doc_id long, at long, p long, u long"
+PHRASES = "doc_id long, at long, p long, u long, known boolean"
 WINDOWS = "doc_id long, at long, h1 long, h2 long"
 #: ``at`` holds the first window and, in the low bits, the number of windows less one.
 SHIFT, LOW = 7, 127
@@ -59,8 +59,25 @@ def phrases(values: np.ndarray, offsets: np.ndarray, window: int, k: int):
     return row, (lo - offsets[row]) << SHIFT | (hi - lo), grams[trigger].view(np.int64), u.view(np.int64)
 
 
+def later_here(doc: np.ndarray, at: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Which rows have an equal phrase (p, u) at an earlier place among these rows."""
+    order = np.lexsort((at, doc, u, p))
+    doc, at, p, u = doc[order], at[order], p[order], u[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (u[1:] != u[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+    out = np.empty(len(p), bool)
+    out[order] = (doc != doc[head]) | (at != at[head])
+    return out
+
+
 def phrase_table(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
-    """The phrases of every whole text: doc_id, at, p, u."""
+    """The phrases of every whole text: doc_id, at, p, u and known.
+
+    ``known`` says that a batch of rows has the phrase earlier. Such rows need no
+    comparison; their p and u are made different from all others, so that a phrase in
+    very many places meets as one row a batch.
+    """
     if not 0 < window - k <= LOW:
         raise ValueError(f"window - k must be 1 to {LOW}")
 
@@ -68,6 +85,7 @@ def phrase_table(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            found = []
             for i, j in steps(offsets):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if unit == "word":
@@ -76,8 +94,13 @@ def phrase_table(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
                 else:
                     values = BYTE_VALUES[part]
                 row, at, p, u = phrases(values, off, window, k)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(at), pa.array(p), pa.array(u)], ["doc_id", "at", "p", "u"])
+                found.append((ids[i:j][row], at, p, u))
+            if found:
+                doc, at, p, u = (np.concatenate(x) for x in zip(*found))
+                known = later_here(doc, at, p, u)
+                own = mix(doc[known].astype(U64) * U64(0x9E3779B97F4A7C15) + at[known].astype(U64))
+                p[known], u[known] = own.view(np.int64), mix(own).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, at, p, u, known)], ["doc_id", "at", "p", "u", "known"])
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PHRASES)
 
@@ -92,7 +115,7 @@ def judge(table: DataFrame, hot: int) -> DataFrame:
     key = F.struct("age", "doc_id", "at")
     first = F.min(key).over(Window.partitionBy("p", "u"))
     # dealt by p once: this serves both windows
-    seen = table.repartition("p").withColumn("later", key > first)
+    seen = table.repartition("p").withColumn("later", F.col("known") | (key > first))
     of = Window.partitionBy("p")
     seen = seen.withColumn("kinds", F.sum(F.expr("int(not later)")).over(of))
     kind = F.when(F.col("later"), 0).when(F.col("kinds") > hot, 2).when(F.col("kinds") > 1, 1)
