@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import fold
 from ..functions.rolling import order
-from ..operators import dense, hmm, semi_markov, simulation, walk_forward
+from ..operators import dense, hmm, semi_markov, simulation, stability, walk_forward
 from ..operators import recursions as rec
 from ..operators.performance import Backtest, tails
 from ..sources import bars
@@ -43,6 +43,11 @@ def ensemble(spark: Spark, sf: str) -> DataFrame:
     return hmm.ensemble(states(spark, sf), _FEATURES, 2, models=3, n_iter=40)
 
 
+@query()
+def fit_stability(spark: Spark, sf: str) -> DataFrame:
+    return stability.across_seeds(states(spark, sf), _FEATURES, 2, runs=3, restarts=1, n_iter=40)
+
+
 _WF = """WITH RECURSIVE b AS (SELECT epoch(o_orderdate)::BIGINT AS t FROM orders WHERE o_totalprice > 0 GROUP BY 1), sp AS (SELECT min(t) AS first, max(t) AS last FROM b),
 m AS (SELECT first, last, epoch(unnest(range(date_trunc('month', to_timestamp(first)::TIMESTAMP), to_timestamp(last)::TIMESTAMP + INTERVAL 1 MICROSECOND, INTERVAL 1 MONTH)))::BIGINT + first % 86400 AS boundary FROM sp),
 f AS (SELECT row_number() OVER (ORDER BY boundary) - 1 AS fold, boundary - 180 * 86400 AS start, boundary, coalesce(lead(boundary) OVER (ORDER BY boundary), last + 3600) AS stop FROM m WHERE boundary >= first + 180 * 86400 AND boundary <= last)
