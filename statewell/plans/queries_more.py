@@ -217,7 +217,7 @@ def rolling_concordance(spark: Spark, sf: str) -> DataFrame:
 
 
 @query(PANEL + f""", x AS (SELECT series_a, series_b, (score_a > 0)::INT::DOUBLE AS a, (score_b > 0)::INT::DOUBLE AS b, row_number() OVER (PARTITION BY series_a, series_b ORDER BY t) AS n FROM pp),
-c AS (SELECT x.series_a, x.series_b, lag, coalesce(corr(x.a, y.b), 0) AS c FROM x CROSS JOIN (SELECT unnest(range(-10, 11)) AS lag) JOIN x y ON y.series_a = x.series_a AND y.series_b = x.series_b AND y.n = x.n - lag GROUP BY 1, 2, 3)
+c AS (SELECT x.series_a, x.series_b, lag, CASE WHEN stddev_pop(x.a) > 0 AND stddev_pop(y.b) > 0 THEN corr(x.a, y.b) ELSE 0.0 END AS c FROM x CROSS JOIN (SELECT unnest(range(-10, 11)) AS lag) JOIN x y ON y.series_a = x.series_a AND y.series_b = x.series_b AND y.n = x.n - lag GROUP BY 1, 2, 3 HAVING count(*) >= 2)
 SELECT series_a, series_b, lag::INT AS lag, {r('c')} AS corr FROM (SELECT *, row_number() OVER (PARTITION BY series_a, series_b ORDER BY round(c, 12) DESC, lag) AS k FROM c) WHERE k = 1""")
 def lead_lag(spark: Spark, sf: str) -> DataFrame:
     return rounded(dep.lead_lag(dep.pairs(panel(spark, sf), "score")))
