@@ -123,16 +123,44 @@ ORACLES: dict[str, str] = {
         WITH t AS (
             SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents
         ), s AS (
-            SELECT doc_id, unnest(range(1, greatest(1, len(w) - 18))) AS s, w FROM t WHERE len(w) >= 20
+            SELECT doc_id, unnest(range(0, len(w) - 19)) AS s, unnest(list_transform(range(0, len(w) - 19), lambda i: md5_number(array_to_string(w[i + 1 : i + 20], ' ')))) AS h FROM t WHERE len(w) >= 20
         ), x AS (
-            SELECT doc_id, s, row_number() OVER (PARTITION BY sha256(array_to_string(w[s : s + 19], ' ')) ORDER BY doc_id, s) AS n FROM s
+            SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM s
+        ), c AS (
+            SELECT doc_id, s, coalesce(s > max(s + 20) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM x WHERE k > 1
         ), g AS (
-            SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM x WHERE n > 1
-        ), r AS (
-            SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id
+            SELECT doc_id, s, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM c
+        ), i AS (
+            SELECT doc_id, run, min(s) AS a, max(s) + 20 AS b FROM g GROUP BY 1, 2
+        ), j AS (
+            SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM i
+        ), k AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, max(b) AS b, flatten(list(w[last + 1 : a] ORDER BY a)) AS kept FROM j JOIN t USING (doc_id) GROUP BY 1
         )
-        SELECT t.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
-               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda a, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
-        FROM t LEFT JOIN r USING (doc_id)
+        SELECT t.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN b IS NULL THEN w ELSE list_concat(kept, w[b + 1 :]) END, ' '), '')) AS kept_sha256
+        FROM t LEFT JOIN k USING (doc_id)
+    """,
+    "op5_suffix_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(range(0, n - 99)) AS s, unnest(list_transform(range(0, n - 99), lambda i: md5_number(h[i + 1 : i + 100]))) AS w FROM t WHERE n >= 100
+        ), x AS (
+            SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM s
+        ), c AS (
+            SELECT doc_id, s, coalesce(s > max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM x WHERE k > 1
+        ), g AS (
+            SELECT doc_id, s, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM c
+        ), i AS (
+            SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY 1, 2
+        ), j AS (
+            SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM i
+        ), k AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS b, string_agg(hex(h[last + 1 : a]), '' ORDER BY a) AS kept FROM j JOIN t USING (doc_id) GROUP BY 1
+        )
+        SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(CASE WHEN b IS NULL THEN h ELSE unhex(kept || hex(h[b + 1 :])) END) AS kept_sha256
+        FROM t LEFT JOIN k USING (doc_id)
     """,
 }
