@@ -36,9 +36,9 @@ from .common import steps
 
 LONG = 64
 #: Pieces that a worker remembers the ids of; beyond that it keeps those in use.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Bytes of text, or of ids, that are worked on at once.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 #: Unicode's white space, which is what \s stands for in the pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -97,7 +97,7 @@ class Codec:
         self.valid = np.zeros(max(self.ranks.values()) + 1, bool)
         self.valid[list(self.ranks.values())] = True
         pairs = [(x, y, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (x := self.ranks.get(t[:i])) is not None and (y := self.ranks.get(t[i:])) is not None]
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "128MB"})
         table = pa.table(dict(zip(("a", "b", "rank"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
         self.fill("merges", table)
         self.fill("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}))
@@ -206,6 +206,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decoded:
                 if decoded:
                     columns.append(pa.array(own.decode(ids, bound), pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(x)[i:j] for x in others), *columns], [*others, *new])
+                pa.default_memory_pool().release_unused()
 
     schema = _schema(df, others, "n_tokens long, ids binary" + ", decoded binary" * decoded)
     return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
