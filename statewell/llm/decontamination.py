@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, U64, mix, prefix_sums, span_hash, steps, text_buffers
+from .common import BYTE_VALUES, U64, mix, prefix_sums, span_hash, steps, text_buffers, tidy
 
 LEAKS = "doc_id long, item_id long, item_tokens long, n_tiles long, covered long, coverage double"
 WORD = np.zeros(256, bool)
@@ -144,6 +144,7 @@ def _judge(doc_id, doc, item_id, item, least, threshold) -> list[tuple]:
 def _seed_rows(column: str, least: int, lengths: list[int]):
     """Arrow function: id and each distinct seed of its text, of each of ``lengths``."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             values, bound = tokens(batch.column(1).to_pylist())
@@ -170,6 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: floa
     if size <= max_sent:
         held = Benchmark([tuple(r) for r in items.orderBy("item_id", "text").collect()], least)
 
+        @tidy
         def scan(batches):
             for batch in batches:
                 out = []
@@ -191,6 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: floa
     pairs = from_docs.join(from_items.withColumnRenamed("id", "item"), ["h", "k"]).select("id", "item").distinct()
     full = pairs.join(doc_key.select("doc_id", F.col("text").alias("doc_text"), F.col("key").alias("id")), "id").join(item_key.select("item_id", F.col("text").alias("item_text"), F.col("key").alias("item")), "item")
 
+    @tidy
     def judge(batches):
         for batch in batches:
             out = []

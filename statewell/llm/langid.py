@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import steps, tidy
 
 DIM, SLOTS, SEED = 512, 64, 7
 _CACHE: dict = {}
@@ -39,18 +39,24 @@ def slots() -> np.ndarray:
 
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     """Rows of +1 and -1 for trigram ``codes``; bound once a process each."""
-    if "bound" not in _CACHE:
+    if "place" not in _CACHE:
         letters = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIM)).astype(np.int8) * 2 - 1
         _CACHE["parts"] = [np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters]
-        _CACHE["bound"] = np.empty((SLOTS**3, DIM), np.int8)  # touched where used
-        _CACHE["known"] = np.zeros(SLOTS**3, bool)
-    table, known = _CACHE["bound"], _CACHE["known"]
-    new = codes[~known[codes]]
+        _CACHE["place"] = np.full(SLOTS**3, -1, np.int32)
+        _CACHE["bound"], _CACHE["used"] = np.empty((1 << 12, DIM), np.int8), 0
+    place = _CACHE["place"]
+    new = codes[place[codes] < 0]
     if len(new):
+        new, n = np.unique(new), _CACHE["used"]
+        if n + len(new) > len(_CACHE["bound"]):
+            grown = np.empty((2 * (n + len(new)), DIM), np.int8)
+            grown[:n] = _CACHE["bound"][:n]
+            _CACHE["bound"] = grown
         a, b, c = _CACHE["parts"]
-        table[new] = a[new // SLOTS**2] * b[new // SLOTS % SLOTS] * c[new % SLOTS]
-        known[new] = True
-    return table[codes]
+        _CACHE["bound"][n : n + len(new)] = a[new // SLOTS**2] * b[new // SLOTS % SLOTS] * c[new % SLOTS]
+        place[new] = np.arange(n, n + len(new))
+        _CACHE["used"] = n + len(new)
+    return _CACHE["bound"][place[codes]]
 
 
 def counts(texts: list[str | None]):
@@ -86,6 +92,7 @@ def _blocks(texts: list[str | None], size: int = 1 << 19):
 def prototypes(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages and their bundles. Each task sends one vector a language; languages are few."""
 
+    @tidy
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -120,6 +127,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     names, rows = model
     others = [x for x in df.columns if x not in ("lang_pred", "score")]
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = batch.column("__text").to_pylist()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, steps, text_buffers
+from .common import U64, mix, steps, text_buffers, tidy
 from .decontamination import token_values
 
 SLOTS = 1 << 16
@@ -202,6 +202,7 @@ def scan_licenses(docs: DataFrame, model: Classifier, sure: float = 0.5, agree:
     names = [x.split()[0] for x in FOUND.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))

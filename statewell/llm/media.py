@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Public magic bytes, by format, and the place of the signature in it.
 SIGNATURES = [
     (b"\x89PNG\r\n\x1a\n", "png", 0),
@@ -248,6 +250,7 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
     others = [x for x in df.columns if x not in names]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("content", pa.binary())]))
 
+    @tidy
     def run(batches):
         for batch in batches:
             types, sizes, carved = [], [], []
@@ -284,6 +287,7 @@ def wav_samples(data: bytes) -> bytes:
 def store_text_as_media(docs: DataFrame, block: int = 192) -> DataFrame:
     """doc_id, n_bytes and media: each whole text as 8-bit samples, padded with blanks to ``block`` bytes."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             sizes, media = [], []
@@ -302,6 +306,7 @@ def read_media(df: DataFrame) -> DataFrame:
     The feature has the type, its length and what is embedded in it.
     """
 
+    @tidy
     def run(batches):
         for batch in batches:
             payloads, features = [], []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, materialize
+from .common import drop_shuffles, materialize, tidy
 from .windows import covered, judge, phrase_table, repeated_windows, unclear, window_rows, with_spans
 
 #: Runs beyond which they are merged into one.
@@ -73,6 +73,7 @@ class FingerprintIndex:
 
 
 def _strip(window: int):
+    @tidy
     def run(batches):
         for batch in batches:
             texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()

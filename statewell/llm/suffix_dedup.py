@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, materialize
+from .common import drop_shuffles, materialize, tidy
 from .windows import LOW, SHIFT, covered, judge, phrase_table, repeated_windows, unclear, window_rows, with_spans
 
 #: Phrases of a trigger beyond which their strings are compared by digest.
@@ -82,6 +82,7 @@ def repeats_in(phrases: list[bytes], docs: np.ndarray, starts: np.ndarray, lengt
 def dictionary_phrases(found: DataFrame, length: int) -> DataFrame:
     """p, doc_id, start and bytes of the unclear phrases."""
 
+    @tidy
     def run(batches):
         names = ["p", "doc_id", "start", "phrase"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -107,6 +108,7 @@ def order_families(table: DataFrame, length: int) -> DataFrame:
             doc, at = repeats_in(phrases, np.array(docs, np.int64), np.array(starts, np.int64), length)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], ["doc_id", "at"])
 
+    @tidy
     def run(batches):
         held: list[list] = [[], [], [], []]
         size = 0
@@ -124,6 +126,7 @@ def order_families(table: DataFrame, length: int) -> DataFrame:
 
 
 def _strip(length: int):
+    @tidy
     def run(batches):
         for batch in batches:
             texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Distinct words that a worker remembers the counts of.
 REMEMBERED = 200_000
 
@@ -104,6 +106,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     """Columns of ``df`` with n_words and n_tokens. ``vocabulary`` is a rank file's path on every machine."""
     others = [x for x in df.columns if x not in ("n_words", "n_tokens")]
 
+    @tidy
     def run(batches):
         get = _counts(vocabulary).__getitem__
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 TABLE = "archive int, record long, chunk long, chunks long, data binary"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean"
@@ -58,6 +58,7 @@ def plan_revisits(pages: DataFrame, payload: str = "html", revisit_bytes: int =
 def write_records(rows: DataFrame, chunk_bytes: int) -> DataFrame:
     """The chunk table of ``rows`` as :func:`plan_revisits` gives them."""
 
+    @tidy
     def run(batches):
         record = 0
         for batch in batches:

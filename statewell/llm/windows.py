@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, U64, mix, prefix_sums, span_hash, steps, text_buffers, word_values, words_of
+from .common import BYTE_VALUES, U64, mix, prefix_sums, span_hash, steps, text_buffers, tidy, word_values, words_of
 
 PHRASES = "doc_id long, at long, p long, u long, known boolean"
 WINDOWS = "doc_id long, at long, h1 long, h2 long"
@@ -81,6 +81,7 @@ def phrase_table(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     if not 0 < window - k <= LOW:
         raise ValueError(f"window - k must be 1 to {LOW}")
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -132,6 +133,7 @@ def unclear(docs: DataFrame, judged: DataFrame) -> DataFrame:
 def window_rows(found: DataFrame, unit: str, window: int) -> DataFrame:
     """A row with a 128-bit digest of its own words or bytes for each unclear window."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
