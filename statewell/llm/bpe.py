@@ -32,13 +32,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import steps, tidy
 
 LONG = 64
 #: Pieces that a worker remembers the ids of; beyond that it keeps those in use.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Bytes of text, or of ids, that are worked on at once.
-BLOCK = 2 << 20
+BLOCK = 3 << 20
 #: Unicode's white space, which is what \s stands for in the pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -97,24 +97,36 @@ class Codec:
         self.valid = np.zeros(max(self.ranks.values()) + 1, bool)
         self.valid[list(self.ranks.values())] = True
         pairs = [(x, y, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (x := self.ranks.get(t[:i])) is not None and (y := self.ranks.get(t[i:])) is not None]
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "128MB"})
-        table = pa.table(dict(zip(("a", "b", "rank"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
-        self.fill("merges", table)
-        self.fill("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}))
+        self.tables = {
+            "merges": pa.table(dict(zip(("a", "b", "rank"), (pa.array(x, pa.int32()) for x in zip(*pairs))))),
+            "vocabulary": pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}),
+        }
+        self.db = None
         self.known, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
-    def fill(self, name: str, table: pa.Table) -> None:
-        self.db.register("given", table)
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-        self.db.unregister("given")
+    def open(self) -> None:
+        """A database with the merges and the vocabulary, unless there is one."""
+        if self.db is None:
+            self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "128MB"})
+            for name, table in self.tables.items():
+                self.db.register("given", table)
+                self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+                self.db.unregister("given")
+
+    def close(self) -> None:
+        if self.db is not None:
+            self.db.close()
+            self.db = None
 
     def ask_columns(self, query: str, name: str, table: pa.Table) -> list[list]:
+        self.open()
         self.db.register(name, table)
         out = self.db.sql(query).to_arrow_table()
         self.db.unregister(name)
         return [x.to_pylist() for x in out.columns]
 
     def ask(self, query: str, name: str, table: pa.Table) -> pa.ChunkedArray:
+        self.open()
         self.db.register(name, table)
         out = self.db.sql(query).to_arrow_table().column(0)
         self.db.unregister(name)
@@ -195,6 +207,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decoded:
     new = ["n_tokens", "ids", "decoded"][: 2 + decoded]
     others = [x for x in df.columns if x not in (*new, text)]
 
+    @tidy
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
@@ -207,6 +220,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decoded:
                     columns.append(pa.array(own.decode(ids, bound), pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(x)[i:j] for x in others), *columns], [*others, *new])
                 pa.default_memory_pool().release_unused()
+        own.close()
 
     schema = _schema(df, others, "n_tokens long, ids binary" + ", decoded binary" * decoded)
     return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
@@ -216,6 +230,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     """Columns of ``df`` with decoded (binary), the bytes of ``ids``; null ids are none."""
     others = [x for x in df.columns if x != "decoded"]
 
+    @tidy
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
@@ -225,5 +240,6 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
                 bound = np.r_[0, np.cumsum([len(x) // 4 for x in raw])]
                 out = pa.array(own.decode(np.frombuffer(b"".join(raw), "<i4"), bound), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(x[i:j] for x in batch.columns), out], [*others, "decoded"])
+        own.close()
 
     return df.select(*others).mapInArrow(run, _schema(df, others, "decoded binary"))

@@ -59,3 +59,18 @@ def test_text_round_trip(spark):
         payload = bytes(got[i].payload)
         assert got[i].n_bytes == len(raw) and payload.rstrip(b" ") == raw and len(payload) % 192 == 0 and payload
         assert len(payload) - len(raw) < 192 + (not raw) and wav_samples(bytes(got[i].media)) == payload
+
+
+def test_table(spark, sf):
+    import hashlib
+
+    from statewell.llm.queries import op2_media_columns
+
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        raw = (r.text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        media = wav(payload)
+        want[r.doc_id] = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"wav:{len(media)}")
+    got = {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in op2_media_columns(spark, sf).collect()}
+    assert got == want
