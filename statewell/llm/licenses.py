@@ -187,7 +187,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text") -
 
     Their lines that share a trigram with a template are left out of the sample.
     """
-    rows = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).cast("string").alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(sample_docs).collect()
+    hashed = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).cast("string").alias("t"), F.xxhash64("doc_id").alias("h"))
+    n = hashed.count()
+    # only hashes that can be among the smallest, so that tasks send few rows to the driver
+    share = min(1.0, 4 * sample_docs / max(n, 1))
+    rows = hashed.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1025))).orderBy("h", "t").limit(sample_docs).collect()
+    if len(rows) < min(n, sample_docs):  # ids repeat so much that their hashes are uneven
+        rows = hashed.orderBy("h", "t").limit(sample_docs).collect()
     known = np.unique(np.concatenate([_trigrams([t])[1] for ts in TEMPLATES.values() for t in ts]))
     lines = []
     for row in rows:
