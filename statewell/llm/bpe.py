@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -38,7 +37,7 @@ LONG = 64
 #: Pieces that a worker remembers the ids of; beyond that it keeps those in use.
 REMEMBERED = 400_000
 #: Bytes of text, or of ids, that are worked on at once.
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 #: Unicode's white space, which is what \s stands for in the pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -153,9 +152,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and len + 1 bounds of each text's."""
-        cut = [self.pattern.findall(x) for x in texts]
+        cut = [pa.array(self.pattern.findall(x), pa.string()) for x in texts]
         bound = np.r_[0, np.cumsum([len(x) for x in cut])]
-        pieces = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        pieces = pa.concat_arrays([pa.array([], pa.string()), *cut]).dictionary_encode()
+        del cut  # its pieces are as large as all that follows
         at = pc.index_in(pieces.dictionary, value_set=self.known)
         unknown = pieces.dictionary.filter(pc.is_null(at))
         if len(self.known) + len(unknown) > REMEMBERED:  # keeps what this block has
