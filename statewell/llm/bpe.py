@@ -156,16 +156,17 @@ class Codec:
         bound = np.r_[0, np.cumsum([len(x) for x in cut])]
         pieces = pa.concat_arrays([pa.array([], pa.string()), *cut]).dictionary_encode()
         del cut  # its pieces are as large as all that follows
-        at = pc.index_in(pieces.dictionary, value_set=self.known)
-        unknown = pieces.dictionary.filter(pc.is_null(at))
-        if len(self.known) + len(unknown) > REMEMBERED:  # keeps what this block has
-            at = at.drop_null()
-            self.known, self.lists = self.known.take(at), self.lists.take(at)
-        if len(unknown):
+        place = pc.index_in(pieces.dictionary, value_set=self.known).fill_null(-1).to_numpy().copy()
+        new = place < 0
+        if len(self.known) + new.sum() > REMEMBERED:  # keeps what this block has
+            self.known, self.lists = self.known.take(place[~new]), self.lists.take(place[~new])
+            place[~new] = np.arange(len(self.known))
+        if new.any():
+            unknown = pieces.dictionary.filter(pa.array(new))
             names, ids = self.learn(unknown.to_pylist())
+            place[new] = len(self.known) + pc.index_in(unknown, value_set=names).to_numpy()
             self.known, self.lists = pa.concat_arrays([self.known, names]), pa.concat_arrays([self.lists, ids])
-        place = pc.index_in(pieces.dictionary, value_set=self.known)
-        lists = self.lists.take(place.take(pieces.indices))
+        lists = self.lists.take(place[pieces.indices.to_numpy()])
         size = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
         return pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<i4"), size[bound]
 
