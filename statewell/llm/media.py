@@ -12,6 +12,7 @@ outer is carved; other columns pass unchanged; empty tables give no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -156,18 +157,40 @@ def bmp(data: memoryview) -> int | None:
 
 
 def pdf(data: memoryview) -> int | None:
+    """Length up to the last %%EOF whose startxref names a cross-reference of this file.
+
+    Those that name one of a later %PDF- header are of a file inside or behind this one.
+    """
     raw = bytes(data)
-    end = raw.find(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in raw[:end] else None
+    heads = [x.start() for x in re.finditer(rb"%PDF-", raw)][1:]
+    ends = [(x.start(), int(x[1]), x.end()) for x in re.finditer(rb"startxref\s+(\d{1,19})\s+%%EOF", raw)]
+
+    def named(at: int, stop: int) -> bool:
+        return at < stop and re.match(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)", raw[at : at + 64]) is not None
+
+    for at, place, end in reversed(ends):
+        if named(place, at) and not any(named(x + place, at) for x in heads if x < at):
+            return end
+    # no place is right: what ends before another file begins
+    return max((end for at, place, end in ends if place < at and not any(x < at for x in heads)), default=None)
 
 
 def zip_(data: memoryview) -> int | None:
+    """Length up to the first end record that fits its directory; those of inner archives don't."""
     raw = bytes(data)
     end = raw.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
-        return None
-    size, start = struct.unpack("<II", raw[end + 12 : end + 20])
-    return end + 22 + int.from_bytes(raw[end + 20 : end + 22], "little") if start + size == end else None
+    while 0 <= end <= len(raw) - 22:
+        size, start = struct.unpack("<II", raw[end + 12 : end + 20])
+        stop = end
+        if 0xFFFFFFFF in (size, start) and end >= 76 and raw[end - 20 : end - 16] == b"PK\x06\x07":
+            stop = int.from_bytes(raw[end - 12 : end - 4], "little")
+            if raw[stop : stop + 4] == b"PK\x06\x06":
+                size, start = struct.unpack("<QQ", raw[stop + 40 : stop + 56])
+        length = end + 22 + int.from_bytes(raw[end + 20 : end + 22], "little")
+        if start + size == stop and length <= len(raw) and (size == 0 or raw[start : start + 4] == b"PK\x01\x02"):
+            return length
+        end = raw.find(b"PK\x05\x06", end + 1)
+    return None
 
 
 def flac(data: memoryview) -> int | None:
@@ -196,16 +219,28 @@ def ogg(data: memoryview) -> int | None:
 
 
 def mp4(data: memoryview) -> int | None:
-    """Length of all boxes from ftyp on."""
-    at = 0
+    """Length of all boxes from ftyp on, of 32-bit or 64-bit size or to the end; one must be moov or mdat."""
+    at, kinds = 0, set()
     while at + 8 <= len(data):
         size, kind = int.from_bytes(data[at : at + 4], "big"), bytes(data[at + 4 : at + 8])
-        if size < 8 or at + size > len(data) or not kind.isalnum() or (at == 0) != (kind == b"ftyp"):
+        least = 8
+        if size == 1:
+            size, least = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif size == 0 and kind in BOXES:
+            size = len(data) - at
+        if not kind.isalnum() or (at == 0) != (kind == b"ftyp"):
             break
+        if size < least or at + size > len(data):
+            if kind in BOXES:  # cut off
+                return None
+            break
+        kinds.add(kind)
         at += size
-    return at or None
+    return at if kinds & {b"moov", b"mdat"} else None
 
 
+#: Boxes that stand outermost; other names past the end are what follows the file.
+BOXES = {b"moov", b"mdat", b"moof", b"mfra", b"free", b"skip", b"meta", b"sidx", b"uuid", b"wide", b"pdin"}
 VALIDATORS = {"png": png, "jpeg": jpeg, "gif": gif, "bmp": bmp, "pdf": pdf, "zip": zip_, "flac": flac, "ogg": ogg, "mp4": mp4}
 _AUTOMATON: list = []
 
