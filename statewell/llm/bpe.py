@@ -5,7 +5,8 @@ bytes are rows (word, pos, tok) of a DuckDB relation, and the ranks a table of m
 (a, b, rank). These rows are joined with the merges and aggregated in order; a recursive
 query then contracts each word's leftmost pair of the least rank and joins the two new
 pairs beside it with the merges; a word without a pair leaves the recursion. A text's
-ids are those of its pieces.
+ids are those of its pieces. A query takes ``SLICE`` pieces at most, also of one text, and its
+database has no folder to spill to.
 
 Decoding joins all ids (text, pos, tok) with the vocabulary's bytes and aggregates them
 in order.
@@ -38,6 +39,8 @@ LONG = 64
 REMEMBERED = 400_000
 #: Bytes of text, or of ids, that are worked on at once.
 BLOCK = 1 << 20
+#: Pieces, or ids to decode, in one query; a longer text takes several.
+SLICE = 50_000
 #: Unicode's white space, which is what \s stands for in the pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -106,7 +109,7 @@ class Codec:
     def open(self) -> None:
         """A database with the merges and the vocabulary, unless there is one."""
         if self.db is None:
-            self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "128MB"})
+            self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
             for name, table in self.tables.items():
                 self.db.register("given", table)
                 self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -150,15 +153,12 @@ class Codec:
             ids += [x.cast(pa.list_(pa.int32())) for x in found.chunks]
         return names, pa.concat_arrays(ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and len + 1 bounds of each text's."""
-        cut = [pa.array(self.pattern.findall(x), pa.string()) for x in texts]
-        bound = np.r_[0, np.cumsum([len(x) for x in cut])]
-        pieces = pa.concat_arrays([pa.array([], pa.string()), *cut]).dictionary_encode()
-        del cut  # its pieces are as large as all that follows
+    def look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``pieces`` in a row, and how many each has."""
+        pieces = pieces.dictionary_encode()
         place = pc.index_in(pieces.dictionary, value_set=self.known).fill_null(-1).to_numpy().copy()
         new = place < 0
-        if len(self.known) + new.sum() > REMEMBERED:  # keeps what this block has
+        if len(self.known) + new.sum() > REMEMBERED:  # keeps what these pieces have
             self.known, self.lists = self.known.take(place[~new]), self.lists.take(place[~new])
             place[~new] = np.arange(len(self.known))
         if new.any():
@@ -167,18 +167,43 @@ class Codec:
             place[new] = len(self.known) + pc.index_in(unknown, value_set=names).to_numpy()
             self.known, self.lists = pa.concat_arrays([self.known, names]), pa.concat_arrays([self.lists, ids])
         lists = self.lists.take(place[pieces.indices.to_numpy()])
-        size = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
-        return pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<i4"), size[bound]
+        return pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<i4"), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and len + 1 bounds of each text's."""
+        count, flat, size = [], [np.zeros(0, "<i4")], [np.zeros(0, np.int64)]
+        held: list[pa.Array] = []
+
+        def flush():
+            ids, each = self.look_up(pa.concat_arrays(held))
+            flat.append(ids)
+            size.append(each.astype(np.int64))
+            held.clear()
+
+        for text in texts:
+            pieces = self.pattern.findall(text)
+            count.append(len(pieces))
+            for i in range(0, len(pieces), SLICE):
+                held.append(pa.array(pieces[i : i + SLICE], pa.string()))
+                if sum(map(len, held)) >= SLICE:
+                    flush()
+        if held:
+            flush()
+        ends = np.r_[0, np.cumsum(np.concatenate(size))]
+        return np.concatenate(flat), ends[np.r_[0, np.cumsum(count, dtype=np.int64)]]
 
     def decode(self, ids: np.ndarray, bound: np.ndarray) -> list[bytes]:
         """The bytes of the ids between each two bounds."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.valid) or not self.valid[ids].all()):
             raise ValueError("an id is not in the vocabulary")
-        out = [b""] * (len(bound) - 1)
+        out: list[list[str]] = [[] for _ in bound[1:]]
         text = np.repeat(np.arange(len(out), dtype=np.int32), np.diff(bound))
-        for row, joined in zip(*self.ask_columns(DECODE, "ids", pa.table({"text": text, "pos": np.arange(len(ids), dtype=np.int32), "tok": ids}))):
-            out[row] = joined.encode("latin-1")
-        return out
+        for i in range(0, len(ids), SLICE):
+            part = ids[i : i + SLICE]
+            table = pa.table({"text": text[i : i + SLICE], "pos": np.arange(len(part), dtype=np.int32), "tok": part})
+            for row, joined in zip(*self.ask_columns(DECODE, "ids", table)):
+                out[row].append(joined)
+        return ["".join(x).encode("latin-1") for x in out]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

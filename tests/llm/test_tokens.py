@@ -83,3 +83,14 @@ def test_counts_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_tokens) for r in token_counts.count_tokens(df, vocabulary("byte_bpe_50k.tiktoken")).collect())
     assert got == [(-1, 0, 0), (1, 0, 0), (2, 2, 2)]
     assert token_counts.count_tokens(df.limit(0), vocabulary("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_bpe_of_a_long_text_of_distinct_words(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    own, want = bpe.Codec(vocabulary(MULTI_RANKS), split_pattern()), tiktoken_encoding()
+    r = random.Random(4)
+    text = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(600_000))
+    ids, bound = own.encode(["x", text, ""])
+    assert ids[bound[1] : bound[2]].tolist() == want.encode_ordinary(text)
+    assert own.decode(ids, bound) == [b"x", text.encode(), b""]
+    assert not list(tmp_path.iterdir())  # nothing is spilled beside the session
