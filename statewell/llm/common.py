@@ -20,27 +20,44 @@ STEP_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    Unset, a local session gets a temporary folder; any other must name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"{tempfile.gettempdir()}/checkpoints"
         os.makedirs(root, exist_ok=True)
         root = f"file://{root}"
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder there, which goes when the session's file system is closed."""
+    path = f"{scratch_root(spark)}/statewell/{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that none of ``columns`` has in any case."""
+    taken = {x.lower() for x in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs a read and no recomputation. The files go when the
-    session's file system is closed.
+    A lost executor then costs a read and no recomputation.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/statewell/{uuid.uuid4().hex}/{tag}"
+    path = f"{new_folder(df.sparkSession)}/{tag}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -150,3 +167,18 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def word_values(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit value for each word."""
     return mix(span_hash(prefix_sums(BYTE_VALUES[data]), s, e) + (e - s).astype(U64))
+
+
+def long_text_words(data: np.ndarray, size: int = STEP_BYTES) -> np.ndarray:
+    """The values of one text's words, ``size`` bytes at a time, cut between words."""
+    out, lo = [], 0
+    while lo < len(data):
+        hi = min(lo + size, len(data))
+        while hi < len(data) and not SPACE[data[hi]]:  # a word isn't cut
+            ahead = np.flatnonzero(SPACE[data[hi : hi + size]])
+            hi = hi + int(ahead[0]) if len(ahead) else min(hi + size, len(data))
+        part = data[lo:hi]
+        s, e, _ = words_of(part, np.array([0, len(part)]))
+        out.append(word_values(part, s, e))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, U64)

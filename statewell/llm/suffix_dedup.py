@@ -11,7 +11,8 @@ the strings instead, which Spark can spread over tasks.
 
 Defined results: a null text is empty; a row with a null doc_id is returned untouched
 and is nothing to others; rows that repeat a doc_id count as one document; other
-columns pass unchanged; empty tables give no rows.
+columns pass unchanged, but n_bytes, n_removed, n_spans and kept are replaced; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_shuffles, materialize, tidy
-from .windows import LOW, SHIFT, covered, judge, phrase_table, repeated_windows, unclear, window_rows, with_spans
+from .windows import LOW, SHIFT, covered, phrase_table, repeated_windows, strip_rows, unclear, window_rows
 
 #: Phrases of a trigger beyond which their strings are compared by digest.
 HOT = 20_000
@@ -126,49 +127,58 @@ def order_families(table: DataFrame, length: int) -> DataFrame:
 
 
 def _strip(length: int):
-    @tidy
-    def run(batches):
-        for batch in batches:
-            texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, places in zip(texts, spans):
-                raw = (text or "").encode()
-                gone = covered(places, length, len(raw))
-                n_bytes.append(len(raw))
-                if gone is None:
-                    n_spans.append(0)
-                else:
-                    n_spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
-                    raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                n_removed.append(n_bytes[-1] - len(raw))
-                kept.append(raw)
-            names = [x for x in batch.schema.names if x not in ("__text", "__spans")]
-            new = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)] + [pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + new, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return run
+    def strip(texts: list[str | None], spans: list[list[int] | None]) -> list[pa.Array]:
+        n_bytes, n_removed, n_spans, kept = [], [], [], []
+        for text, places in zip(texts, spans):
+            raw = (text or "").encode()
+            gone = covered(places, length, len(raw))
+            n_bytes.append(len(raw))
+            if gone is None:
+                n_spans.append(0)
+            else:
+                n_spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
+                raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            n_removed.append(n_bytes[-1] - len(raw))
+            kept.append(raw)
+        return [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)] + [pa.array(kept, pa.binary())]
+
+    return strip
+
+
+def judge(table: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Places of phrases that stand earlier; and the first places of those to compare.
+
+    The second has p, doc_id, at and ``sort``, whether suffix arrays order the family.
+    Both start from sums made before the shuffle, so a common phrase or trigger is one
+    row a task.
+    """
+    rows = table.where("not known")
+    key = F.struct("doc_id", "at")
+    firsts = rows.groupBy("p", "u").agg(F.min(key).alias("key"), F.max(key).alias("last"), F.bool_or("own").alias("own"))
+    firsts = materialize(firsts.select("p", "u", "key", "own", F.expr("last > key").alias("many")), "firsts")
+    again = rows.join(firsts.where("many").select("p", "u", F.col("key").alias("first")), ["p", "u"]).where(key > F.col("first"))
+    whole = again.select("doc_id", "at").unionByName(table.where("known").select("doc_id", "at"))
+    families = firsts.groupBy("p").agg(F.count("*").alias("n"), F.bool_or("own").alias("o")).where("n > 1 or o")
+    return whole, firsts.join(families, "p").select("p", "key.doc_id", "key.at", F.lit(1).alias("age"), (F.col("n") <= hot).alias("sort"))
 
 
 def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 36, hot: int = HOT) -> DataFrame:
     """Columns of ``docs`` but text, with n_bytes, n_removed, n_spans and kept (binary).
 
     A byte goes if a string of ``length`` bytes of its document covers it that also
-    starts earlier: in a smaller doc_id, or before it in its own document.
+    starts earlier: in a smaller doc_id, or before it in its own document. Families of
+    over ``hot`` phrases are compared by digests, which gives the same rows.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[x for x in docs.columns if x in ("n_bytes", "n_removed", "n_spans", "kept", "__spans", "__text", "__id")])
-    table = phrase_table(docs, "byte", length, k).withColumn("age", F.lit(1))
-    judged = materialize(judge(table, hot), "judged")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = materialize(phrase_table(rows, "byte", length, k), "phrases")
+    whole, open_ = judge(table, hot)
+    open_ = materialize(open_, "open")
     drop_shuffles(spark)
-    dictionary = materialize(dictionary_phrases(unclear(docs, judged.where("kind = 1")), length), "dictionary")
+    dictionary = materialize(dictionary_phrases(unclear(rows, open_.where("sort")), length), "dictionary")
     drop_shuffles(spark)
     ordered = order_families(dictionary, length)
-    digests = repeated_windows(window_rows(unclear(docs, judged.where("kind = 2")), "byte", length)).select("doc_id", "at")
-    again = judged.where("kind = 0").select("doc_id", "at")
-    found = materialize(again.unionByName(ordered).unionByName(digests), "found")
+    digests = repeated_windows(window_rows(unclear(rows, open_.where("not sort")), "byte", length)).select("doc_id", "at")
+    found = materialize(whole.unionByName(ordered).unionByName(digests), "found")
     drop_shuffles(spark)
-    full = with_spans(docs.withColumnRenamed("text", "__text"), found)
-    others = [x for x in docs.columns if x != "text"]
-    fields = [docs.schema[x].simpleString().split(":", 1)[1] for x in others]
-    schema = ", ".join(f"`{x}` {t}" for x, t in zip(others, fields)) + ("," if others else "") + " n_bytes long, n_removed long, n_spans long, kept binary"
-    return full.select(*others, F.col("__text").cast("string").alias("__text"), "__spans").mapInArrow(_strip(length), schema)
+    return strip_rows(docs, found, _strip(length), "n_bytes long, n_removed long, n_spans long, kept binary")

@@ -6,9 +6,11 @@ with one trigger form a phrase: what they cover together. So
 
 1. each phrase is one row ``(p, u, doc_id, at)``: hash of the trigger, hash of the
    phrase, first window and number of windows. There are about ``2 / (window - k)``
-   rows a unit, not one a window, and one shuffle on ``p`` finds equal phrases;
+   rows a unit in prose and one in 128 units of periodic text, not one a window, and one
+   shuffle on ``p`` finds equal phrases. A long text is worked on in steps;
 2. a phrase that stands earlier makes all its windows repeats. Where a trigger has
-   several phrases (matches end there), their windows are compared one by one;
+   several phrases (matches end there), or stands twice in one, windows are compared
+   one by one;
 3. windows found in 1 and 2 are joined to their documents.
 """
 
@@ -20,20 +22,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, U64, mix, prefix_sums, span_hash, steps, text_buffers, tidy, word_values, words_of
+from .common import BYTE_VALUES, STEP_BYTES, U64, long_text_words, mix, prefix_sums, span_hash, steps, text_buffers, tidy, unused, word_values, words_of
 
-PHRASES = "doc_id long, at long, p long, u long, known boolean"
+PHRASES = "doc_id long, at long, p long, u long, own boolean, known boolean"
 WINDOWS = "doc_id long, at long, h1 long, h2 long"
 #: ``at`` holds the first window and, in the low bits, the number of windows less one.
 SHIFT, LOW = 7, 127
 
 
 def phrases(values: np.ndarray, offsets: np.ndarray, window: int, k: int):
-    """Row, packed place, trigger hash and phrase hash of each phrase in ``values``."""
+    """Row, packed place, trigger hash, phrase hash of each phrase, and whether it may repeat itself."""
     n, wide = len(values), window - k + 1
     whole = np.flatnonzero(np.diff(offsets) >= window)
     if not len(whole):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     sums = prefix_sums(values)
     at = np.arange(n - k + 1)
     grams = mix(span_hash(sums, at, at + k))
@@ -43,20 +45,37 @@ def phrases(values: np.ndarray, offsets: np.ndarray, window: int, k: int):
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:count], least[wide - span : wide - span + count])
-    trigger = (least & U64(0xFFFFFFFF)).astype(np.int64)
+    place = (least & U64(0xFFFFFFFF)).astype(np.int64)
     mark = np.zeros(count + 1, np.int8)
     mark[offsets[whole]] += 1
     mark[offsets[whole + 1] - window + 1] -= 1
     starts = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8))
-    trigger = trigger[starts]
+    place = place[starts]
+    trigger = grams[place]
     new = np.ones(len(starts), bool)
+    # equal triggers at different places make one phrase, so periodic texts have few
     new[1:] = (trigger[1:] != trigger[:-1]) | (starts[1:] != starts[:-1] + 1)
+    at = np.arange(len(starts))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % (LOW + 1) == 0
     first = np.flatnonzero(new)
-    lo, hi, trigger = starts[first], starts[np.r_[first[1:], len(starts)] - 1], trigger[first]
-    whole_phrase = span_hash(sums, lo, hi + window)
-    u = mix(whole_phrase + (hi - lo).astype(U64) * U64(0x9FB21C651E98DF25) + (trigger - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
+    last = np.r_[first[1:], len(starts)] - 1
+    lo, hi = starts[first], starts[last]
+    u = mix(span_hash(sums, lo, hi + window) + (hi - lo).astype(U64) * U64(0x9FB21C651E98DF25))
     row = np.searchsorted(offsets, lo, "right") - 1
-    return row, (lo - offsets[row]) << SHIFT | (hi - lo), grams[trigger].view(np.int64), u.view(np.int64)
+    return row, (lo - offsets[row]) << SHIFT | (hi - lo), trigger[first].view(np.int64), u.view(np.int64), place[first] != place[last]
+
+
+def long_text_phrases(data: np.ndarray, unit: str, window: int, k: int, size: int = STEP_BYTES):
+    """Packed places, trigger and phrase hashes of one text, ``size`` units at a time.
+
+    Where the text is cut a phrase is too, which costs a comparison and no match.
+    """
+    units = long_text_words(data) if unit == "word" else data
+    for lo in range(0, max(len(units) - window + 1, 0), size):
+        part = units[lo : lo + size + window - 1]
+        values = part if unit == "word" else BYTE_VALUES[part]
+        _, at, p, u, own = phrases(values, np.array([0, len(part)]), window, k)
+        yield at + (lo << SHIFT), p, u, own
 
 
 def later_here(doc: np.ndarray, at: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -72,15 +91,21 @@ def later_here(doc: np.ndarray, at: np.ndarray, p: np.ndarray, u: np.ndarray) ->
 
 
 def phrase_table(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
-    """The phrases of every whole text: doc_id, at, p, u and known.
+    """The phrases of every whole text: doc_id, at, p, u, own and known.
 
-    ``known`` says that a batch of rows has the phrase earlier. Such rows need no
-    comparison; their p and u are made different from all others, so that a phrase in
-    very many places meets as one row a batch.
+    ``own`` says that the trigger stands twice in the phrase, so windows of it may be
+    equal. ``known`` says that a batch of rows has the phrase earlier. Such rows need no
+    comparison and have no p and u (0), so that a phrase in very many places meets as
+    one row a batch.
     """
     if not 0 < window - k <= LOW:
         raise ValueError(f"window - k must be 1 to {LOW}")
 
+    def rows(doc, at, p, u, own):
+        known = later_here(doc, at, p, u)
+        p[known] = u[known] = 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, at, p, u, own.astype(bool), known)], ["doc_id", "at", "p", "u", "own", "known"])
+
     @tidy
     def run(batches):
         for batch in batches:
@@ -89,45 +114,29 @@ def phrase_table(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
             found = []
             for i, j in steps(offsets):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                if len(part) > 2 * STEP_BYTES:  # one long text
+                    for at, p, u, own in long_text_phrases(part, unit, window, k):
+                        yield rows(np.full(len(at), ids[i]), at, p, u, own)
+                    continue
                 if unit == "word":
                     s, e, _ = words_of(part, off)
                     values, off = word_values(part, s, e), np.searchsorted(s, off)
                 else:
                     values = BYTE_VALUES[part]
-                row, at, p, u = phrases(values, off, window, k)
-                found.append((ids[i:j][row], at, p, u))
+                row, at, p, u, own = phrases(values, off, window, k)
+                found.append((ids[i:j][row], at, p, u, own))
             if found:
-                doc, at, p, u = (np.concatenate(x) for x in zip(*found))
-                known = later_here(doc, at, p, u)
-                own = mix(doc[known].astype(U64) * U64(0x9E3779B97F4A7C15) + at[known].astype(U64))
-                p[known], u[known] = own.view(np.int64), mix(own).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, at, p, u, known)], ["doc_id", "at", "p", "u", "known"])
+                yield rows(*(np.concatenate(x) for x in zip(*found)))
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PHRASES)
 
 
-def judge(table: DataFrame, hot: int) -> DataFrame:
-    """doc_id, at, age, kind for the phrases whose trigger occurs again.
-
-    ``age`` orders batches, 0 is history. kind 0: the phrase stands earlier; 1: it is
-    the first of several phrases of its trigger; 2: the same, of over ``hot`` phrases.
-    Rows of one doc_id and place are one row to this: neither is earlier.
-    """
-    key = F.struct("age", "doc_id", "at")
-    first = F.min(key).over(Window.partitionBy("p", "u"))
-    # dealt by p once: this serves both windows
-    seen = table.repartition("p").withColumn("later", F.col("known") | (key > first))
-    of = Window.partitionBy("p")
-    seen = seen.withColumn("kinds", F.sum(F.expr("int(not later)")).over(of))
-    kind = F.when(F.col("later"), 0).when(F.col("kinds") > hot, 2).when(F.col("kinds") > 1, 1)
-    return seen.select("doc_id", "at", "age", F.expr("if(later, null, p)").alias("p"), kind.cast("byte").alias("kind")).where("kind is not null")
-
-
-def unclear(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Texts with the phrases (array ``unclear``) whose windows must be compared."""
-    places = judged.where("kind > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("at", "kind", "age", "p")).alias("unclear"))
+def unclear(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Texts with the phrases (array ``unclear`` of at, age and more) whose windows must be compared."""
+    fields = [x for x in places.columns if x != "doc_id"]
+    per = places.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*fields)).alias("unclear"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "unclear")
+    return texts.join(per.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "unclear")
 
 
 def window_rows(found: DataFrame, unit: str, window: int) -> DataFrame:
@@ -170,10 +179,32 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["h1", "h2"]).where(key > F.col("first")).select("doc_id", "at", "age")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` and an array ``__spans`` of the packed places that repeat."""
-    per = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("at").alias("__spans"))
-    return docs.join(per.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+def with_spans(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``docs`` and an array ``name`` of the packed places that repeat."""
+    own = unused("__id", docs.columns)
+    per = spans.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("at").alias(name))
+    return docs.join(per.hint("shuffle_hash"), docs["doc_id"].cast("long") == per[own], "left").drop(own)
+
+
+def strip_rows(docs: DataFrame, found: DataFrame, strip, new: str) -> DataFrame:
+    """Columns of ``docs`` but text and those of ``new``, then what ``strip`` makes of text and places.
+
+    ``strip(texts, places)`` returns Arrow arrays for the columns ``new`` declares.
+    """
+    made = [x.split()[0] for x in new.split(", ")]
+    others = [x for x in docs.columns if x not in ("text", *made)]
+    text = unused("__text", docs.columns)
+    spans = unused("__spans", [*docs.columns, text])
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            columns = strip(batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *columns], [*others, *made])
+
+    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in others), new])
+    full = with_spans(docs.select(*others, F.col("text").cast("string").alias(text)), found, spans)
+    return full.select(*others, text, spans).mapInArrow(run, schema)
 
 
 def covered(places: list[int] | None, window: int, n: int) -> np.ndarray | None:

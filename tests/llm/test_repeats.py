@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
 
 from statewell.llm.queries import op1_substring_dedup, op5_suffix_dedup
-from statewell.llm.substring_dedup import FingerprintIndex, dedup_substrings
+from statewell.llm.substring_dedup import FingerprintIndex, dedup_substrings, merge_join_settings
 from statewell.llm.suffix_dedup import dedup_bytes
+from statewell.llm.windows import long_text_phrases
 
 
 def brute(docs, window, split):
@@ -101,12 +104,55 @@ def test_odd_rows(spark, dedup):
     assert got == [(False, 5, False), (False, 5, False), (False, 6, True), (False, 7, False), (True, 0, False)]
 
 
-def test_compaction_keeps_history(spark):
-    text = [" ".join(f"v{i}_{j}" for j in range(40)) for i in range(4)]
+def test_runs_are_merged_and_outlive_the_session(spark, tmp_path):
+    text = [" ".join(f"v{i}_{j}" for j in range(40)) for i in range(5)]
     df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
-    index = FingerprintIndex(spark, fanout=1)
+    folder = f"file://{tmp_path}/index"
+    index = FingerprintIndex(spark, fanout=1, folder=folder)
     for i in range(4):
         assert index.add(df.where(f"doc_id = {i}"), df).count() == 0
     assert len(index.runs) == 1
-    again = spark.createDataFrame([(9, text[2])], "doc_id long, text string")
-    assert index.add(again, df.unionByName(again)).count() > 0
+    again = spark.createDataFrame([(9, text[2]), (10, text[4]), (11, text[4][: len(text[4]) // 2] + " " + text[1])], "doc_id long, text string")
+    other = spark.newSession()
+    for run, _ in index.runs:
+        spark.sql(f"DROP TABLE {run}")
+    reopened = FingerprintIndex(other, folder=folder)
+    assert reopened.runs == index.runs
+    got = {r.doc_id for r in reopened.add(*(other.createDataFrame(x.collect(), x.schema) for x in (again, df.unionByName(again)))).collect()}
+    assert got == {9, 11}
+    assert len(FingerprintIndex(other, folder=folder).runs) == 2
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    rows = [(i, " ".join(f"v{i}_{j}" for j in range(300))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = FingerprintIndex(spark, folder=f"file://{tmp_path}/index")
+    index.add(df.where("doc_id < 20"), df)
+    index.add(df.where("doc_id >= 20"), df)
+    with merge_join_settings(spark):
+        plan = index.merged(index.runs.pop()[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    assert not re.search(r"Sort \[p#\w+ ASC NULLS FIRST, u#", plan)  # a bucket is one sorted file
+
+
+@pytest.mark.parametrize("unit, window, k", [("word", 20, 5), ("byte", 100, 36)])
+def test_phrases_of_a_long_text(monkeypatch, unit, window, k):
+    """Cut at any place, all windows are in a phrase, and periodic text has few."""
+    r = random.Random(3)
+    for text in (b"a" * 50_000, b"ab " * 20_000, bytes(r.choice(b"abcdefgh ") for _ in range(50_000))):
+        data = np.frombuffer(text, np.uint8)
+        n = len(data) if unit == "byte" else len(text.split())
+        found = list(long_text_phrases(data, unit, window, k, size=3000))
+        places = [x for at, *_ in found for x in at.tolist()]
+        windows = [s for x in places for s in range(x >> 7, (x >> 7) + (x & 127) + 1)]
+        assert windows == list(range(max(n - window + 1, 0)))
+        if len(set(text.split() if unit == "word" else text)) <= 3:
+            assert len(places) <= len(windows) / 60 + 3 * 20
+
+
+@pytest.mark.parametrize("dedup", [dedup_substrings, dedup_bytes])
+def test_clashing_columns_pass(spark, dedup):
+    text = " ".join(f"v{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 4, 5, 6)], "doc_id long, text string, __id long, __TEXT long, __spans long")
+    got = sorted(tuple(r)[:4] + (r.n_removed > 0,) for r in dedup(df).collect())
+    assert got == [(1, 1, 2, 3, False), (2, 4, 5, 6, True)]
