@@ -31,9 +31,9 @@ from .common import drop_shuffles, materialize, new_folder
 from .windows import covered, phrase_table, repeated_windows, strip_rows, unclear, window_rows
 
 #: Runs beyond which two are merged into one.
-FANOUT = 2
+FANOUT = 1
 #: Ranges of doc_id in which a table is added to an index; enough to merge runs.
-BATCHES = 4
+BATCHES = 3
 RUN = "p BIGINT, u BIGINT, doc_id BIGINT, at BIGINT, own BOOLEAN, many BOOLEAN"
 
 
@@ -134,17 +134,14 @@ class FingerprintIndex:
         with merge_join_settings(self.spark):
             name = self._write(rows)
             merged = materialize(self.merged(name), "merged")
-            triggers = materialize(merged.where("open").select("p").distinct(), "triggers")
-            held = [self.run(x).join(triggers.hint("merge"), "p", "left_semi").select("doc_id", "at") for x, _ in self.runs]
-            old = materialize(union_all(held), "old") if held else None
         drop_shuffles(self.spark)
         again = merged.where("seen or many").select("p", "u", key.alias("first"), "seen")
         whole = new.where("not known").join(again, ["p", "u"]).where(F.col("seen") | (key > F.col("first"))).select("doc_id", "at")
         whole = whole.unionByName(new.where("known").select("doc_id", "at"))
-        places = merged.where("open").select("doc_id", "at", F.lit(1).alias("age"))
-        if old is not None:
-            places = places.unionByName(old.withColumn("age", F.lit(0)))
-        windows = materialize(window_rows(unclear(texts, places), "word", self.window), "windows")
+        triggers = merged.where("open").select("p").distinct()
+        places = [merged.where("open").select("doc_id", "at", F.lit(1).alias("age"))]
+        places += [self.run(x).join(triggers, "p", "left_semi").select("doc_id", "at", F.lit(0).alias("age")) for x, _ in self.runs]
+        windows = materialize(window_rows(unclear(texts, union_all(places)), "word", self.window), "windows")
         drop_shuffles(self.spark)
         parts = repeated_windows(windows).where("age = 1").select("doc_id", "at")
         found = materialize(whole.unionByName(parts), "found")
