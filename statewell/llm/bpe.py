@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, tidy
+from .common import steps, tidy, unused
 
 LONG = 64
 #: Pieces that a worker remembers the ids of; beyond that it keeps those in use.
@@ -237,7 +237,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decoded:
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            texts = batch.column("__text").fill_null("")
+            texts = batch.column(len(others)).fill_null("")
             for i, j in _steps(texts):
                 ids, bound = own.encode(texts[i:j].to_pylist())
                 raw = memoryview(ids.tobytes())
@@ -249,7 +249,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decoded:
         own.close()
 
     schema = _schema(df, others, "n_tokens long, ids binary" + ", decoded binary" * decoded)
-    return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*others, F.col(text).cast("string").alias(unused("__text", df.columns))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

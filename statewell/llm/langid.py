@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, tidy
+from .common import steps, tidy, unused
 
 DIM, SLOTS, SEED = 512, 64, 7
 _CACHE: dict = {}
@@ -130,7 +130,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     @tidy
     def run(batches):
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(len(others)).to_pylist()
             best, score = [], []
             for i, j in _blocks(texts):
                 bound, code, n = counts(texts[i:j])
@@ -148,7 +148,12 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
             yield pa.RecordBatch.from_arrays(columns, [*others, "lang_pred", "score"])
 
     fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in others)
-    return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return df.select(*others, F.col(text).cast("string").alias(unused("__text", df.columns))).mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+
+def has_letter(text: str) -> Column:
+    """Whether the text has a letter; without one no language is predicted."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
 def held_out(doc_id: Column) -> Column:

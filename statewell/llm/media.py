@@ -7,7 +7,8 @@ which corrects the declared one; valid ones further in are carved.
 
 Defined results: null or empty bytes have detected type null and nothing carved; a
 signature whose structure is broken is no detection; of overlapping embedded media the
-outer is carved; other columns pass unchanged; empty tables give no rows.
+outer is carved; other columns pass :func:`sniff_media` unchanged; empty tables give no
+rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidy, unused
 
 # Public magic bytes, by format, and the place of the signature in it.
 SIGNATURES = [
@@ -289,7 +290,7 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
     def run(batches):
         for batch in batches:
             types, sizes, carved = [], [], []
-            for data in batch.column("__content").to_pylist():
+            for data in batch.column(len(others)).to_pylist():
                 found = sniff(data) if data else []
                 whole = found[0] if found and found[0][0] == 0 else None
                 types.append(whole[2] if whole else None)
@@ -300,7 +301,7 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
             yield pa.RecordBatch.from_arrays(columns, [*others, "detected_type", "media_length", "carved"])
 
     fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in others)
-    out = df.select(*others, F.col(content).cast("binary").alias("__content")).mapInArrow(run, f"{fields}, {new}")
+    out = df.select(*others, F.col(content).cast("binary").alias(unused("__content", df.columns))).mapInArrow(run, f"{fields}, {new}")
     if declared is None:
         return out
     return out.withColumn("corrected_type", F.coalesce("detected_type", declared)).withColumn("type_matches", F.col("detected_type").eqNullSafe(F.col(declared)))
@@ -338,7 +339,8 @@ def store_text_as_media(docs: DataFrame, block: int = 192) -> DataFrame:
 def read_media(df: DataFrame) -> DataFrame:
     """``df`` (doc_id, n_bytes, media) with the sniffed type, the samples and a feature.
 
-    The feature has the type, its length and what is embedded in it.
+    The feature has the type, its length and what is embedded in it; null media have
+    null samples and feature. Other columns are dropped.
     """
 
     @tidy
@@ -346,6 +348,10 @@ def read_media(df: DataFrame) -> DataFrame:
         for batch in batches:
             payloads, features = [], []
             for data in batch.column("media").to_pylist():
+                if data is None:
+                    payloads.append(None)
+                    features.append(None)
+                    continue
                 found = sniff(data)
                 ok = bool(found) and found[0][0] == 0 and found[0][2] == "wav" and found[0][1] == len(data)
                 if not ok:
@@ -354,6 +360,6 @@ def read_media(df: DataFrame) -> DataFrame:
                 inner = [f"{t}@{s - 44}+{n}" for s, n, t in sniff(samples)]
                 payloads.append(samples)
                 features.append(";".join([f"wav:{len(data)}", *inner]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "n_bytes", "media")), pa.array(payloads, pa.binary()), pa.array(features)], ["doc_id", "n_bytes", "media", "payload", "feature"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "n_bytes", "media")), pa.array(payloads, pa.binary()), pa.array(features, pa.string())], ["doc_id", "n_bytes", "media", "payload", "feature"])
 
     return df.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidy, unused
 
 #: Distinct words that a worker remembers the counts of.
 REMEMBERED = 200_000
@@ -111,7 +111,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
         get = _counts(vocabulary).__getitem__
         for batch in batches:
             n_words, n_tokens = [], []
-            for value in batch.column("__text").to_pylist():
+            for value in batch.column(len(others)).to_pylist():
                 words = (value or "").encode().split()
                 n_words.append(len(words))
                 n_tokens.append(sum(map(get, words)))
@@ -119,4 +119,4 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays(columns, [*others, "n_words", "n_tokens"])
 
     fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in others)
-    return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}, n_words long, n_tokens long")
+    return df.select(*others, F.col(text).cast("string").alias(unused("__text", df.columns))).mapInArrow(run, f"{fields}, n_words long, n_tokens long")

@@ -1,8 +1,8 @@
 """WARC archives as a chunked record table.
 
-An archive is a table of rows (archive, record, chunk, chunks, data): the bytes of a
-record in order, the first chunk with the WARC and HTTP headers, none longer than
-``chunk_bytes``. All chunks of an archive, ordered by record and chunk, are the WARC
+An archive is a table of rows (archive, record, chunk, chunks, data, running): the bytes
+of a record in order, the first chunk with the WARC and HTTP headers, none with more than
+``chunk_bytes`` of payload, each with the digest of the payload so far. All chunks of an archive, ordered by record and chunk, are the WARC
 file. Oversized payloads are cut without a copy of the whole and read back chunk by
 chunk with a running digest; no step holds a record's chunks together.
 
@@ -10,8 +10,8 @@ Records of equal payload of ``revisit_bytes`` or more: the one with the smallest
 the response, the others are revisits with headers only.
 
 Defined results: a null payload is empty; rows with a null id are written as
-responses with an empty identifier; repeated rows are written each; empty tables give
-no records.
+responses with an empty identifier; repeated rows are written each; columns but page_id,
+url and the payload are dropped; empty tables give no records.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tidy
 
-TABLE = "archive int, record long, chunk long, chunks long, data binary"
+CHUNKS = "record long, chunk long, chunks long, data binary, running binary"
+TABLE = f"archive int, {CHUNKS}"
+#: Bytes of chunks that a writing task holds.
+WRITE_BYTES = 4 << 20
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean"
 
 
@@ -46,37 +49,58 @@ def header(page_id, url: str | None, digest: str, size: int, refers_to) -> bytes
 
 
 def plan_revisits(pages: DataFrame, payload: str = "html", revisit_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload (binary), digest, refers_to."""
+    """page_id, url, payload (binary), digest, refers_to.
+
+    Equal payloads are found from ids, sizes and digests; the payloads only meet the ids
+    that revisit, which are sent to them if Spark finds them small.
+    """
     raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    least = rows.where(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    refers = F.expr("if(least < page_id, least, null)")
-    return rows.join(least.select("digest", "least").hint("shuffle_hash"), "digest", "left").withColumn("refers_to", refers).drop("least")
+    ids = rows.where((F.length("payload") >= revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    least = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
+    revisits = materialize(ids.join(least, "digest").where("refers_to < page_id").distinct(), "revisits")
+    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_records(rows: DataFrame, chunk_bytes: int) -> DataFrame:
-    """The chunk table of ``rows`` as :func:`plan_revisits` gives them."""
+    """The chunk table of ``rows`` as :func:`plan_revisits` gives them.
+
+    Chunks leave in batches of about ``WRITE_BYTES``. ``running`` is the digest of the
+    payload up to the end of the chunk; a revisit has none.
+    """
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def chunks_of(view, head: bytes, empty: bool):
+        digest, n = hashlib.sha256(), max(1, -(-len(view) // chunk_bytes)) if not empty else 1
+        for i in range(n):
+            part = b"" if empty else view[i * chunk_bytes : (i + 1) * chunk_bytes]
+            digest.update(part)
+            data = b"".join([head if i == 0 else b"", part, b"\r\n\r\n" if i == n - 1 else b""])
+            yield i, n, data, None if empty else digest.digest()
 
     @tidy
     def run(batches):
-        record = 0
+        record, held, size = 0, [], 0
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], [x.split()[0] for x in CHUNKS.split(", ")])
+
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             for page, url, body, digest, refers in zip(*(batch.column(x) for x in ("page_id", "url", "payload", "digest", "refers_to"))):
                 view = memoryview(body.as_buffer())
                 head = header(page.as_py(), url.as_py(), digest.as_py(), len(view), refers.as_py())
-                cuts = [] if refers.is_valid else [view[i : i + chunk_bytes] for i in range(0, len(view), chunk_bytes)]
-                parts = [head + bytes(cuts[0]) if cuts else head, *cuts[1:]]
-                for i, part in enumerate(parts):
-                    data = bytes(part) + b"\r\n\r\n" if i == len(parts) - 1 else bytes(part)
-                    for x, v in zip(out, (record, i, len(parts), data)):
-                        x.append(v)
+                for chunk in chunks_of(view, head, refers.is_valid):
+                    held.append((record, *chunk))
+                    size += len(chunk[2])
+                    if size >= WRITE_BYTES:
+                        yield emit()
+                        held, size = [], 0
                 record += 1
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["record", "chunk", "chunks", "data"])
+        if held:
+            yield emit()
 
-    return rows.mapInArrow(run, "record long, chunk long, chunks long, data binary").select(F.spark_partition_id().alias("archive"), "*")
+    return rows.mapInArrow(run, CHUNKS).select(F.spark_partition_id().alias("archive"), "*")
 
 
 class _Reader:
@@ -119,12 +143,15 @@ def _read(batches):
     reader, missing = None, 0
     for batch in batches:
         out = []
-        for chunk, chunks, data in zip(*(batch.column(x).to_pylist() for x in ("chunk", "chunks", "data"))):
+        for chunk, chunks, data, running in zip(*(batch.column(x) for x in ("chunk", "chunks", "data", "running"))):
+            chunk, chunks, data, running = chunk.as_py(), chunks.as_py(), data.as_py(), running.as_py()
             if chunk == 0:
                 reader, missing = _Reader(data), chunks - 1
             else:
                 reader.feed(data)
                 missing -= 1
+            if running is not None and reader.digest.digest() != running:
+                raise ValueError("a chunk's bytes and digest differ")
             if missing == 0:
                 out.append(reader.row())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names)
@@ -132,9 +159,9 @@ def _read(batches):
 
 def read_records(table: DataFrame) -> DataFrame:
     """The records of a chunk table. Only those of several chunks are shuffled, by record."""
-    one = table.where("chunks = 1").select("chunk", "chunks", "data").mapInArrow(_read, READ)
+    one = table.where("chunks = 1").select("chunk", "chunks", "data", "running").mapInArrow(_read, READ)
     many = table.where("chunks > 1").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
-    return one.unionByName(many.select("chunk", "chunks", "data").mapInArrow(_read, READ))
+    return one.unionByName(many.select("chunk", "chunks", "data", "running").mapInArrow(_read, READ))
 
 
 def archive_pages(pages: DataFrame, payload: str = "html", chunk_bytes: int = 1 << 16, revisit_bytes: int = 100) -> DataFrame:

@@ -41,3 +41,15 @@ def test_odd_rows(spark):
     rows = sorted((r.page_id or -1, r.record_type) for r in read_records(archive_pages(df)).collect())
     assert rows == [(-1, "response"), (3, "response"), (3, "response")]
     assert read_records(archive_pages(df.limit(0))).count() == 0
+
+
+def test_a_payload_of_many_chunks(spark):
+    body = "x" * 3_000_000 + "é"
+    df = spark.createDataFrame([(1, "u", body), (2, "u", body), (2, "u", "other" * 30), (3, None, "")], "page_id long, url string, html string")
+    table = archive_pages(df, chunk_bytes=1 << 16)
+    rows = table.where("chunks > 1").orderBy("chunk").collect()
+    assert len(rows) == 46 and max(len(r.data) for r in rows) < (1 << 16) + 1000
+    raw = body.encode()
+    assert [bytes(r.running) for r in rows] == [hashlib.sha256(raw[: (i + 1) << 16]).digest() for i in range(46)]
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in read_records(table).collect())
+    assert got == [(1, 3_000_002, "response", 0), (2, 150, "response", 0), (2, 3_000_002, "revisit", 1), (3, 0, "response", 0)]
