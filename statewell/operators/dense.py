@@ -3,25 +3,48 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def weighted_sums(df: DataFrame, columns: list[str], keys: list[str]) -> dict[tuple, tuple[float, np.ndarray, np.ndarray]]:
-    """Weight, mean and covariance of ``columns`` by ``keys``; w are weights. One row a key comes to the driver."""
+def weighted_moments(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """A row for each key with weight sw, means and covariances (arrays) of ``columns``; w are weights."""
     d = len(columns)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
     w = F.col("w")
-    m = df.groupBy(*keys).agg(F.sum(w).alias("sw"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"m{i}") for i, c in enumerate(columns)])
-    dev = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(columns)]
-    rows = df.join(m, keys).groupBy(*keys).agg(F.first("sw").alias("sw"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(d)], *[(F.sum(w * dev[i] * dev[j]) / F.sum(w)).alias(f"c{i}_{j}") for i, j in pairs])
-    out = {}
-    for row in rows.collect():
-        cov = np.zeros((d, d))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-        out[tuple(row[k] for k in keys)] = (row["sw"], np.array([row[f"m{i}"] for i in range(d)]), cov)
-    return out
+    m = df.groupBy(*keys).agg(F.sum(w).alias("sw"), *[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"__m{i}") for i, c in enumerate(columns)])
+    dev = [F.col(c) - F.col(f"__m{i}") for i, c in enumerate(columns)]
+    mixed = {(i, j): F.try_divide(F.sum(w * dev[i] * dev[j]), F.sum(w)) for i in range(d) for j in range(i, d)}
+    cov = F.array(*[F.array(*[mixed[min(i, j), max(i, j)] for j in range(d)]) for i in range(d)])
+    mean = F.array(*[F.first(f"__m{i}") for i in range(d)])
+    return df.join(m, keys).groupBy(*keys).agg(F.first("sw").alias("sw"), mean.alias("mean"), cov.alias("cov"))
+
+
+def weighted_sums(df: DataFrame, columns: list[str], keys: list[str]) -> dict[tuple, tuple[float, np.ndarray, np.ndarray]]:
+    """The same by key on the driver, for keys that are few, such as states."""
+    return {tuple(r[k] for k in keys): (r["sw"], np.array(r["mean"]), np.array(r["cov"])) for r in weighted_moments(df, columns, keys).collect()}
+
+
+def by_series(moments: DataFrame, make, columns: str) -> DataFrame:
+    """The rows ``make(states, weights, means, covariances)`` gives for the moments of each series' states."""
+    names = ["series", *[x.split()[0] for x in columns.split(", ")]]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g[g["sw"] > 0].sort_values("state")
+        mean, cov = np.array(g["mean"].tolist()), np.array([np.array(x.tolist()) for x in g["cov"]])
+        rows = make(g["state"].tolist(), g["sw"].to_numpy(), mean, cov) if len(g) else []
+        return pd.DataFrame([(g["series"].iloc[0], *row) for row in rows], columns=names)
+
+    return moments.groupBy("series").applyInPandas(run, f"series string, {columns}")
+
+
+def distances(states, weights, mean, cov):
+    """All distances between each two states' Gaussians."""
+    for i in range(len(states)):
+        for j in range(i + 1, len(states)):
+            p, q = (mean[i], cov[i]), (mean[j], cov[j])
+            d = bhattacharyya(*p, *q)
+            yield states[i], states[j], kl(*p, *q), symmetric_kl(*p, *q), d, float(np.exp(-d)), mahalanobis(mean[i], mean[j], (cov[i] + cov[j]) / 2)
 
 
 def principal(cov: np.ndarray, n: int, reference: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -179,3 +179,10 @@ def lead_lag(p: DataFrame, score: str = "score", most: int = 10) -> DataFrame:
     by = shifted.join(other, ["series_a", "series_b", "m"]).groupBy("series_a", "series_b", "lag").agg(F.coalesce(_corr("a", "b"), F.lit(0.0)).alias("corr"), F.count("*").alias("n")).where("n >= 2")
     best = F.max_by(F.struct("lag", "corr"), F.struct(F.round("corr", 12), -F.col("lag")))
     return by.groupBy("series_a", "series_b").agg(best.alias("best")).select("series_a", "series_b", "best.lag", "best.corr")
+
+
+def correlation_stability(correlations: DataFrame) -> DataFrame:
+    """Mean distance (Frobenius) between the 2 x 2 correlation matrices of each two states of a series."""
+    a = correlations.where("state >= 0").select("series", F.col("state").alias("i"), F.col("corr").alias("x"))
+    b = a.toDF("series", "j", "y")
+    return a.join(b, "series").where("i < j").groupBy("series").agg(F.avg(F.sqrt(F.lit(2.0)) * F.abs(F.col("x") - F.col("y"))).alias("stability"))

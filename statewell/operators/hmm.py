@@ -1,17 +1,17 @@
-"""Hidden Markov models by expectation maximisation; restarts and state counts run in parallel.
+"""Hidden Markov models by expectation maximisation.
 
-A fit is a chain, so it is one task; Spark spreads (series, states, restart) over tasks.
+A fit is a chain, so it is one task; Spark spreads (series, states) over tasks and a task
+fits its restarts side by side.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import recursions as rec
@@ -106,40 +106,118 @@ def update_dof(c: float) -> float:
     return (lo + hi) / 2
 
 
-def fit(x: np.ndarray, k: int, seed: int = 42, covariance: str = "full", emission: str = "gaussian", init: str = "kmeans", n_iter: int = 200, tol: float = 1e-4) -> dict:
-    """One fit of scaled data: parameters, log likelihood, its history."""
+def first_guess(x: np.ndarray, k: int, seed: int, covariance: str, emission: str, init: str) -> dict:
     rng = np.random.default_rng(seed)
     label = {"kmeans": kmeans, "spectral": spectral_labels}[init](x, k, rng)
     weight = np.array([(label == i).sum() for i in range(k)], float)
     means = np.array([x[label == i].mean(0) if weight[i] else x.mean(0) for i in range(k)])
     whole = np.atleast_2d(np.cov(x.T))
-    covs = reduce_covariance(np.array([np.atleast_2d(np.cov(x[label == i].T)) if weight[i] > x.shape[1] else whole for i in range(k)]), np.maximum(weight, 1), covariance)
-    start, trans = np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k)
-    dofs = np.full(k, DOF_START) if emission == "student_t" else None
-    history, converged = [], False
+    covs = np.array([np.atleast_2d(np.cov(x[label == i].T)) if weight[i] > x.shape[1] else whole for i in range(k)])
+    return {
+        "k": k,
+        "seed": seed,
+        "history": [],
+        "converged": False,
+        "start": np.full(k, 1 / k),
+        "trans": np.full((k, k), 0.1 / k) + 0.9 * np.eye(k),
+        "means": means,
+        "covs": reduce_covariance(covs, np.maximum(weight, 1), covariance),
+        "dofs": np.full(k, DOF_START) if emission == "student_t" else None,
+    }
+
+
+def expectations(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood, state and summed transition probabilities of several models over one series.
+
+    ``log_b`` is (models, bars, states). Probabilities are scaled to one at each bar, so a
+    bar is two small products for all models at once.
+    """
+    top = log_b.max(2, keepdims=True)
+    b = np.exp(log_b - top)
+    n = b.shape[1]
+    alpha, beta, scale = np.empty_like(b), np.ones_like(b), np.empty(b.shape[:2])
+    ahead = start * b[:, 0]
+    for i in range(n):
+        if i:
+            ahead = np.matmul(alpha[:, i - 1, None], trans)[:, 0] * b[:, i]
+        scale[:, i] = ahead.sum(1)
+        alpha[:, i] = ahead / scale[:, i, None]
+    share = b / scale[:, :, None]
+    for i in range(n - 2, -1, -1):
+        beta[:, i] = np.matmul(trans, (share[:, i + 1] * beta[:, i + 1])[:, :, None])[:, :, 0]
+    gamma = alpha * beta
+    gamma /= gamma.sum(2, keepdims=True)
+    moves = trans * np.einsum("rti,rtj->rij", alpha[:, :-1], (share * beta)[:, 1:])
+    return np.log(scale).sum(1) + top.sum((1, 2)), gamma, moves
+
+
+def improve(model: dict, x: np.ndarray, maha: np.ndarray, gamma: np.ndarray, moves: np.ndarray, covariance: str) -> None:
+    """The parameters that fit the expected states best."""
+    d, dofs = x.shape[1], model["dofs"]
+    first = np.maximum(gamma[0], 1e-12)
+    moves = np.maximum(moves, 1e-12)
+    u = np.ones_like(gamma) if dofs is None else (dofs + d) / (dofs + maha)
+    n, w = gamma.sum(0) + 1e-12, gamma * u
+    means = (w.T @ x) / (w.sum(0)[:, None] + 1e-12)
+    covs = np.array([((x - m) * w[:, [i]]).T @ (x - m) / n[i] for i, m in enumerate(means)])
+    model |= {"start": first / first.sum(), "trans": moves / moves.sum(1, keepdims=True), "means": means, "covs": reduce_covariance(covs, n, covariance)}
+    if dofs is not None:
+        level = (gamma * (np.log(u) - u)).sum(0) / n
+        model["dofs"] = np.array([update_dof(float(c) + digamma((v + d) / 2) - math.log((v + d) / 2)) for c, v in zip(level, dofs)])
+
+
+def fit_many(x: np.ndarray, k: int, seeds: list[int], covariance: str = "full", emission: str = "gaussian", init: str = "kmeans", n_iter: int = 200, tol: float = 1e-4) -> list[dict]:
+    """A fit of scaled data for each seed, side by side: parameters, log likelihood, its history.
+
+    A fit leaves once it has converged or failed; failed ones are not returned.
+    """
+    done, live = [], [first_guess(x, k, s, covariance, emission, init) for s in seeds]
     for _ in range(n_iter):
-        log_b, maha = log_density(x, means, covs, dofs)
-        alpha, beta = rec.forward(log_b, start, trans), rec.backward(log_b, trans)
-        ll = float(rec.logsumexp(alpha[-1]))
-        if history and ll - history[-1] < tol:
-            converged = True
-            history.append(ll)
+        ready = []
+        for m in live:
+            try:
+                m["density"] = log_density(x, m["means"], m["covs"], m["dofs"])
+                ready.append(m)
+            except (np.linalg.LinAlgError, ValueError, FloatingPointError):
+                pass  # a failed restart is no candidate
+        live = ready
+        if not live:
             break
-        history.append(ll)
-        gamma = np.exp(alpha + beta - ll)
-        gamma /= gamma.sum(1, keepdims=True)
-        xi = np.exp(alpha[:-1, :, None] + np.log(trans)[None] + (log_b[1:] + beta[1:])[:, None, :] - ll).sum(0)
-        start = np.maximum(gamma[0], 1e-12) / np.maximum(gamma[0], 1e-12).sum()
-        trans = np.maximum(xi, 1e-12)
-        trans /= trans.sum(1, keepdims=True)
-        u = np.ones_like(gamma) if dofs is None else (dofs + x.shape[1]) / (dofs + maha)
-        n, w = gamma.sum(0) + 1e-12, gamma * u
-        means = (w.T @ x) / (w.sum(0)[:, None] + 1e-12)
-        covs = np.array([((x - m) * w[:, [i]]).T @ (x - m) / n[i] for i, m in enumerate(means)])
-        covs = reduce_covariance(covs, n, covariance)
-        if dofs is not None:
-            dofs = np.array([update_dof(float((gamma[:, i] * (np.log(u[:, i]) - u[:, i])).sum() / n[i]) + digamma((dofs[i] + x.shape[1]) / 2) - math.log((dofs[i] + x.shape[1]) / 2)) for i in range(k)])
-    return {"k": k, "seed": seed, "log_likelihood": history[-1], "history": history, "converged": converged, "start": start, "trans": trans, "means": means, "covs": covs, "dofs": dofs}
+        ll, gamma, moves = expectations(*(np.stack([m["density"][0] if c == "density" else m[c] for m in live]) for c in ("density", "start", "trans")))
+        left = []
+        for m, value, g, v in zip(live, ll.tolist(), gamma, moves):
+            m["converged"] = bool(m["history"]) and value - m["history"][-1] < tol
+            m["history"].append(value)
+            if not math.isfinite(value):
+                continue
+            if m["converged"]:
+                done.append(m)
+                continue
+            improve(m, x, m["density"][1], g, v, covariance)
+            left.append(m)
+        live = left
+    out = done + live
+    for m in out:
+        m.pop("density", None)
+        m["log_likelihood"] = m["history"][-1]
+    return sorted(out, key=lambda m: m["seed"])
+
+
+def best_of(fits: list[dict], group) -> list[dict]:
+    """The likeliest of the fits of each group."""
+    best: dict = {}
+    for m in fits:
+        if group(m) not in best or m["log_likelihood"] > best[group(m)]["log_likelihood"]:
+            best[group(m)] = m
+    return list(best.values())
+
+
+def fit(x: np.ndarray, k: int, seed: int = 42, **options) -> dict:
+    """One fit of scaled data."""
+    found = fit_many(x, k, [seed], **options)
+    if not found:
+        raise ValueError("the fit failed")
+    return found[0]
 
 
 def to_json(model: dict) -> str:
@@ -163,36 +241,37 @@ def train(df: DataFrame, features: list[str], counts: list[int], restarts: int =
     """The best fit of every series and state count: series, k, log_likelihood, aic, bic, n_params, converged, model (JSON), chosen.
 
     ``chosen`` marks each series' least criterion; of ties the smallest count. A failed
-    restart is no candidate. Each (series, count, restart) is a group and so a task's work.
+    restart is no candidate. A series is packed into one row, which goes to a task for
+    each count; its restarts are fitted there side by side.
     """
     if criterion not in ("aic", "bic"):
         raise ValueError(f"criterion is aic or bic, not {criterion!r}")
     if not counts or min(counts) < 2:
         raise ValueError("state counts start at 2")
-    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("restart")) for k in counts for i in range(restarts)])
-    jobs = df.select("series", "t", *features, F.inline(grid))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        k, i = int(group["k"].iloc[0]), int(group["restart"].iloc[0])
-        x, mean, sd = standardise(group[features].to_numpy(float))
-        row = {"series": group["series"].iloc[0], "k": k, "restart": i, "n": len(x), "log_likelihood": None, "converged": False, "model": None}
-        try:
-            model = fit(x, k, seed + i, **options)
-            if math.isfinite(model["log_likelihood"]):
-                row |= {"log_likelihood": model["log_likelihood"], "converged": model["converged"], "model": to_json(model | {"mean": mean, "sd": sd, "features": features})}
-        except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-            pass  # a failed restart has no likelihood and can't be chosen
-        return pd.DataFrame([row])
-
-    fits = jobs.groupBy("series", "k", "restart").applyInPandas(run, "series string, k int, restart int, n long, log_likelihood double, converged boolean, model string")
-    best = F.max_by(F.struct("log_likelihood", "converged", "model", "n"), F.struct("log_likelihood", -F.col("restart")))
-    rows = fits.where("log_likelihood is not null").groupBy("series", "k").agg(best.alias("b"), F.count("*").alias("finite_restarts"), F.sum(F.col("converged").cast("int")).alias("converged_restarts"))
+    bar = F.struct("t", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    packed = df.groupBy("series").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    jobs = packed.select("series", F.col("bars.x").alias("x"), F.explode(F.array(*[F.lit(k) for k in counts])).alias("k"))
+    names = ["series", "k", "log_likelihood", "converged", "model", "n", "finite_restarts", "converged_restarts"]
+
+    def run(batches):
+        for jobs in batches:
+            rows = []
+            for series, bars, k in jobs.itertuples(index=False):
+                x, mean, sd = standardise(np.array([v.tolist() for v in bars], float))
+                fits = fit_many(x, int(k), [seed + i for i in range(restarts)], **options) if len(x) > 1 else []
+                if fits:
+                    best = max(fits, key=lambda m: m["log_likelihood"])
+                    model = to_json(best | {"mean": mean, "sd": sd, "features": features})
+                    rows.append((series, int(k), best["log_likelihood"], best["converged"], model, len(x), len(fits), sum(m["converged"] for m in fits)))
+            yield pd.DataFrame(rows, columns=names)
+
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    fits = jobs.repartition(tasks, "series", "k").mapInPandas(run, "series string, k int, log_likelihood double, converged boolean, model string, n long, finite_restarts long, converged_restarts long")
     params = F.create_map(*[x for k in counts for x in (F.lit(k), F.lit(n_parameters(k, len(features), options.get("covariance", "full"), options.get("emission", "gaussian"))))])
-    rows = rows.select("series", "k", "b.*", "finite_restarts", "converged_restarts", params[F.col("k")].alias("n_params"))
+    rows = fits.withColumn("n_params", params[F.col("k")])
     rows = rows.withColumn("aic", 2 * F.col("n_params") - 2 * F.col("log_likelihood")).withColumn("bic", F.col("n_params") * F.ln("n") - 2 * F.col("log_likelihood"))
-    least = rows.groupBy("series").agg(F.min_by("k", F.struct(criterion, "k")).alias("best_k"))
-    return rows.join(least, "series").withColumn("chosen", F.col("k") == F.col("best_k")).drop("best_k")
+    least = F.min(F.struct(criterion, "k")).over(Window.partitionBy("series"))
+    return rows.withColumn("chosen", F.col("k") == least["k"])
 
 
 def apply_models(df: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
@@ -210,19 +289,44 @@ def apply_models(df: DataFrame, models: DataFrame, features: list[str]) -> DataF
 
 
 def align(reference: np.ndarray, other: np.ndarray) -> tuple[int, ...]:
-    """The order of ``other``'s states that overlaps most with ``reference``'s; states are few."""
-    overlap = reference.T @ other
-    k = len(overlap)
-    return max(permutations(range(k)), key=lambda p: sum(overlap[i, p[i]] for i in range(k)))
-
-
-def ensemble(df: DataFrame, features: list[str], k: int, models: int = 5, seed: int = 42, step: int = 100, **options) -> DataFrame:
-    """series, t, posterior, entropy, agreement: mean of aligned fits of each series with different seeds."""
+    """The order of ``other``'s states that overlaps most with ``reference``'s: shortest augmenting paths, O(k^3)."""
+    cost = -(reference.T @ other)
+    k = len(cost)
+    row_price, column_price = np.zeros(k + 1), np.zeros(k + 1)
+    owner = np.zeros(k + 1, int)  # of each column, 1-based; column 0 is where a path starts
+    for row in range(1, k + 1):
+        owner[0], column = row, 0
+        far, back, seen = np.full(k + 1, np.inf), np.zeros(k + 1, int), np.zeros(k + 1, bool)
+        while owner[column]:
+            seen[column] = True
+            free = np.flatnonzero(~seen)
+            reach = cost[owner[column] - 1, free - 1] - row_price[owner[column]] - column_price[free]
+            closer = reach < far[free]
+            far[free[closer]], back[free[closer]] = reach[closer], column
+            target = free[far[free].argmin()]
+            step = far[target]
+            row_price[owner[seen]] += step
+            column_price[seen] -= step
+            far[free] -= step
+            column = target
+        while column:
+            owner[column] = owner[back[column]]
+            column = back[column]
+    out = np.empty(k, int)
+    out[owner[1:] - 1] = np.arange(k)
+    return tuple(out.tolist())
+
+
+def ensemble(df: DataFrame, features: list[str], k: int, models: int = 5, restarts: int = 3, seed: int = 42, step: int = 100, **options) -> DataFrame:
+    """series, t, posterior, entropy, agreement: mean of aligned models of each series with different seeds.
+
+    A model is the best of ``restarts`` fits; all fits of a series run side by side.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t", kind="stable")
         x, mean, sd = standardise(group[features].to_numpy(float))
-        fits = [fit(x, k, seed + i * step, **options) for i in range(models)]
+        fits = best_of(fit_many(x, k, [seed + i * step + j for i in range(models) for j in range(restarts)], **options), lambda m: (m["seed"] - seed) // step)
         fits.sort(key=lambda m: -m["log_likelihood"])
         posts = [decode(m | {"mean": mean, "sd": sd}, group[features].to_numpy(float))["smoothed"] for m in fits]
         p = np.mean([posts[0]] + [q[:, align(posts[0], q)] for q in posts[1:]], 0)

@@ -184,16 +184,38 @@ def weighted_quantile(rows: DataFrame, value: str, q: float, keys: list[str]) ->
     return ranked.groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
-def weighted_risk(df: DataFrame, ret: str = "ret", confidence: float = 0.95, ann: float = HOURS) -> DataFrame:
-    """Mean, deviation, VaR and CVaR of each state under the posterior as weights."""
+def weighted_risk(df: DataFrame, ret: str = "ret", confidence: float = 0.95, ann: float = HOURS, mar: float = 0.0, least: float = 20) -> DataFrame:
+    """Risk of each state under the posterior as weights; nulls below a weight of ``least``.
+
+    Drawdown and what is divided by it are of the bars whose likeliest state it is.
+    """
+    keys = ["series", "k"]
+    x, w = F.col("x"), F.col("w")
     rows = exploded(df, ret).withColumnRenamed(ret, "x")
-    m = rows.groupBy("series", "k").agg(F.sum("w").alias("eff_n"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
-    v = rows.join(m, ["series", "k"]).groupBy("series", "k").agg((F.sum(F.col("w") * F.pow(F.col("x") - F.col("mean"), 2)) / F.sum("w")).alias("var_x"))
-    q = weighted_quantile(rows, "x", 1 - confidence, ["series", "k"])
-    tail = rows.join(q, ["series", "k"]).where("x <= quantile").groupBy("series", "k").agg((-F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("cvar"))
-    out = m.join(v, ["series", "k"]).join(q, ["series", "k"]).join(tail, ["series", "k"])
-    vol = F.sqrt("var_x") * ann**0.5
-    return out.select("series", F.col("k").alias("state"), "eff_n", (F.col("mean") * ann).alias("mean_ann"), vol.alias("vol_ann"), (F.col("mean") * ann / vol).alias("sharpe"), (-F.col("quantile")).alias("var"), "cvar")
+    q = weighted_quantile(rows, "x", 1 - confidence, keys)
+    m = rows.groupBy(*keys).agg(F.sum("w").alias("eff_n"), F.try_divide(F.sum(w * x), F.sum("w")).alias("mean"))
+    sums = rows.join(m.join(q, keys, "left"), keys).groupBy(*keys, "eff_n", "mean", "quantile").agg(
+        F.try_divide(F.sum(w * F.pow(x - F.col("mean"), 2)), F.sum("w")).alias("v"),
+        F.sqrt(F.try_divide(F.sum(w * F.pow(F.least(x - mar, F.lit(0.0)), 2)), F.sum("w"))).alias("down"),
+        F.try_divide(-F.sum(F.when(x <= F.col("quantile"), w * x)), F.sum(F.when(x <= F.col("quantile"), w))).alias("cvar"),
+    )
+    hard = risk_by_state(df, ret, confidence, ann, mar, int(least)).select("series", F.col("state").alias("k"), "max_drawdown", "calmar")
+    out = sums.join(hard, keys, "left")
+    vol = F.sqrt("v") * ann**0.5
+    known = lambda c: F.when(F.col("eff_n") >= least, c)
+    return out.select(
+        "series",
+        F.col("k").alias("state"),
+        "eff_n",
+        known(F.col("mean") * ann).alias("mean_ann"),
+        known(vol).alias("vol_ann"),
+        known(F.when(vol > 1e-12, F.try_divide(F.col("mean") * ann, vol))).alias("sharpe"),
+        known(F.when(F.col("down") > 1e-12, F.try_divide(F.col("mean") - mar, F.col("down")) * ann**0.5)).alias("sortino"),
+        known(-F.col("quantile")).alias("var"),
+        known(F.col("cvar")).alias("cvar"),
+        known(F.col("max_drawdown")).alias("max_drawdown"),
+        known(F.col("calmar")).alias("calmar"),
+    )
 
 
 def divergence(risk: DataFrame, metrics: tuple[str, ...] = ("mean_ann", "vol_ann", "sharpe", "var", "max_drawdown")) -> DataFrame:
@@ -204,23 +226,51 @@ def divergence(risk: DataFrame, metrics: tuple[str, ...] = ("mean_ann", "vol_ann
     return a.join(b, pair).select(F.col("a.series").alias("series"), F.col("a.state").alias("state_a"), F.col("b.state").alias("state_b"), F.col("a.metric").alias("metric"), F.abs(F.col("a.value") - F.col("b.value")).alias("diff"))
 
 
-def tails(df: DataFrame, ret: str = "ret", threshold_quantile: float = 0.9, confidence: float = 0.95, least: int = 10) -> DataFrame:
-    """Generalised Pareto tails of losses by state: moments fit of excesses over a weighted threshold."""
-    rows = exploded(df.withColumn("loss", -F.col(ret)), "loss")
+def empirical_tails(rows: DataFrame, confidence: float, keys: list[str]) -> DataFrame:
+    """var, the loss that weight 1 - ``confidence`` reaches from the largest down, and es, the weighted mean from there on."""
+    down = Window.partitionBy(*keys).orderBy(F.col("loss").desc(), "t").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("upto", F.sum("w").over(down)).withColumn("all", F.sum("w").over(Window.partitionBy(*keys)))
+    var = ranked.where(F.col("upto") >= (1 - confidence) * F.col("all") - 1e-12).groupBy(*keys).agg(F.max("loss").alias("var_emp"))
+    beyond = rows.join(var, keys).where("loss >= var_emp")
+    es = beyond.groupBy(*keys).agg((F.sum(F.col("w") * F.col("loss")) / (F.sum("w") + 1e-15)).alias("es_emp"))
+    return var.join(es, keys)
+
+
+def tails(df: DataFrame, ret: str = "ret", threshold_quantile: float = 0.9, confidence: float = 0.99, least: int = 10) -> DataFrame:
+    """Generalised Pareto tails of losses by state: moments fit of excesses over a weighted threshold.
+
+    State -1 is the whole series, each bar with weight 1 / bars. Where too little lies
+    beyond the threshold, or excesses don't vary, ``var`` and ``es`` are empirical and
+    ``fitted`` is false.
+    """
+    losses = df.withColumn("loss", -F.col(ret))
+    whole = losses.select("series", "t", "loss", F.lit(-1).alias("k"), (1 / F.count("*").over(Window.partitionBy("series"))).alias("w"))
+    rows = exploded(losses, "loss").select("series", "t", "loss", "k", "w").unionByName(whole)
     keys = ["series", "k"]
     u = weighted_quantile(rows, "loss", threshold_quantile, keys).withColumnRenamed("quantile", "threshold")
     eff = rows.groupBy(*keys).agg(F.sum("w").alias("eff_n"))
     over = rows.join(u, keys).where("loss > threshold").withColumn("y", F.col("loss") - F.col("threshold"))
     fit = over.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.count("*").alias("n_exc"), F.sum("w").alias("w_exc"))
-    xi0 = 0.5 * (1 - F.col("m") * F.col("m") / F.col("v"))
-    fit = fit.withColumn("sigma", F.greatest(F.col("m") * (1 - xi0), F.lit(1e-10))).withColumn("xi", F.greatest(F.least(xi0, F.lit(2.0)), F.lit(-0.5)))
-    out = u.join(eff, keys).join(fit, keys, "left")
-    rho = (1 - confidence) * F.floor("eff_n") / F.floor("w_exc")
-    var = F.col("threshold") + F.when(F.abs("xi") < 1e-10, -F.col("sigma") * F.ln(rho)).otherwise(F.col("sigma") / F.col("xi") * (F.pow(rho, -F.col("xi")) - 1))
-    fits = (F.col("n_exc") >= least) & (F.col("w_exc") >= least) & (F.floor("w_exc") > 0)
-    out = out.withColumn("var", F.when(fits, var))
-    es = F.when(F.col("xi") < 1, (F.col("var") + F.col("sigma") - F.col("xi") * F.col("threshold")) / (1 - F.col("xi")))
-    return out.select("series", F.col("k").alias("state"), "threshold", "eff_n", "n_exc", "xi", "sigma", "var", es.alias("es"))
+    fits = (F.col("n_exc") >= least) & (F.col("w_exc") >= least) & (F.col("v") >= 1e-15) & (F.col("m") >= 1e-15)
+    fit = fit.withColumn("xi0", F.when(fits, 0.5 * (1 - F.try_divide(F.col("m") * F.col("m"), F.col("v")))))
+    fit = fit.withColumn("sigma", F.when(fits, F.greatest(F.col("m") * (1 - F.col("xi0")), F.lit(1e-10)))).withColumn("xi", F.when(fits, F.greatest(F.least("xi0", F.lit(2.0)), F.lit(-0.5))))
+    out = u.join(eff, keys).join(fit, keys, "left").join(empirical_tails(rows, confidence, keys), keys)
+    rho = F.try_divide((1 - confidence) * F.floor("eff_n"), F.floor("w_exc"))
+    var = F.col("threshold") + F.when(F.abs("xi") < 1e-6, -F.col("sigma") * F.ln(rho)).otherwise(F.try_divide(F.col("sigma"), F.col("xi")) * (F.pow(rho, -F.col("xi")) - 1))
+    out = out.withColumn("gpd", var)
+    es = F.when(F.col("xi") < 1, F.try_divide(F.col("gpd") + F.col("sigma") - F.col("xi") * F.col("threshold"), 1 - F.col("xi")))
+    return out.select(
+        "series",
+        F.col("k").alias("state"),
+        "threshold",
+        "eff_n",
+        F.coalesce("n_exc", F.lit(0)).alias("n_exc"),
+        "xi",
+        "sigma",
+        F.coalesce("gpd", "var_emp").alias("var"),
+        F.coalesce(es, "es_emp").alias("es"),
+        F.col("gpd").isNotNull().alias("fitted"),
+    )
 
 
 def hardest(df: DataFrame) -> DataFrame:

@@ -105,27 +105,58 @@ def vwap(df: DataFrame, total: float, bucket: Column, volume: str = "volume") ->
 
 
 def order_schedule(total: float, horizon: int = 10, urgency: float = 0.5, least: float = 0.01) -> tuple[list[float], int]:
-    """Slices that fall geometrically; too small ones go to the first; also the bar of completion."""
-    w = urgency * (1 - urgency) ** np.arange(horizon)
-    sizes = total * w / w.sum() if w.sum() > 0 else np.full(horizon, total / horizon)
-    sizes[np.abs(sizes) < abs(total) * least] = 0
-    kept = np.flatnonzero(sizes)
-    sizes[kept[0] if len(kept) else 0] += total - sizes.sum()
-    done = np.flatnonzero(np.abs(np.cumsum(sizes)) >= 0.999 * abs(total))
-    return sizes.tolist(), int(done[0]) if len(done) else horizon - 1
+    """Slices of an order that shrink by a constant factor, and the bar at which it is done.
+
+    Slices below a share ``least`` of the order are left to the first one.
+    """
+    keep = 1 - min(max(urgency, 1e-6), 1 - 1e-6)
+    share = keep ** np.arange(horizon)
+    share /= share.sum()
+    share = np.where(share < least, 0.0, share)
+    if share.any():
+        share[share.argmax()] += 1 - share.sum()
+    done = int(np.searchsorted(share.cumsum(), 0.999))
+    return (total * share).tolist(), min(done, horizon - 1)
+
+
+def schedule_cost(sizes: list[float], half_spread: float, impact: float, volume: float) -> float:
+    """Expected slippage of all slices, each by its own size."""
+    return sum(abs(x) * (half_spread + impact * (abs(x) / (volume + 1e-10)) ** 0.5) for x in sizes)
+
+
+def drawdown_controlled(df: DataFrame, weight: str = "weight", ret: str = "ret", **limits: float) -> DataFrame:
+    """series, t, weight, scale and scaled: weights cut by the drawdown of the portfolio they make.
+
+    The weights of a bar earn at the next one. A portfolio is one chain of a row a bar,
+    summed over series before it is followed.
+    """
+    from ..functions.fold import fold
+    from .recursions import drawdown_scale
+
+    earned = F.coalesce(F.lag(weight).over(Window.partitionBy("series").orderBy("t")), F.lit(0.0)) * F.col(ret)
+    total = df.withColumn("__earned", earned).groupBy("t").agg(F.sum("__earned").alias("x")).withColumn("series", F.lit("portfolio"))
+
+    def run(x):
+        level = np.cumprod(1 + x)
+        return {"scale": drawdown_scale(1 - level / np.maximum.accumulate(level), **limits)}
+
+    scale = fold(total, run, ["x"], {"scale": "double"}).select("t", "scale")
+    return df.join(scale, "t").select("series", "t", weight, "scale", (F.col(weight) * F.col("scale")).alias("scaled"))
 
 
 # --- mean and variance of few series: small dense matrices, after Spark has summed ---
 
 
 def box(w: np.ndarray, low: float, high: float, rounds: int = 50) -> np.ndarray:
+    """Weights between ``low`` and ``high`` that sum to one, by clipping and scaling in turn; equal ones if nothing is left."""
+    inside = lambda v: low - 1e-9 <= v.min() and v.max() <= high + 1e-9
     for _ in range(rounds):
-        w = np.clip(w, low, high)
-        if w.sum() <= 1e-12:
-            return np.full(len(w), 1 / len(w))
-        w = w / w.sum()
-        if (w >= low - 1e-9).all() and (w <= high + 1e-9).all():
-            break
+        held = w.clip(low, high)
+        if not held.sum() > 1e-12:
+            return np.ones_like(held) / held.size
+        w = held / held.sum()
+        if inside(w):
+            return w
     return w
 
 

@@ -262,27 +262,29 @@ def drawdown_scale(drawdown: np.ndarray, most: float = 0.1, soft: float = 0.05,
 
 
 def stop_backtest(ret: np.ndarray, state: np.ndarray, targets: list[float], stops: list[float | None], takes: list[float | None], cost: float = 0.001) -> dict[str, np.ndarray]:
-    """A target by state, left at a stop or profit against the equity at entry. Positions earn from the next bar on."""
-    n = len(ret)
-    pos, equity, entry = 0.0, 1.0, 1.0
-    out = {k: np.zeros(n) for k in ("equity", "net", "position")}
-    for i in range(n):
-        k = int(state[i])
-        target = targets[k] if k < len(targets) else 0.0
-        if pos != 0:
-            gain = (equity - entry) / (entry + 1e-15)
-            stop, take = (stops[k], takes[k]) if k < len(targets) else (None, None)
-            if stop is not None and gain <= -stop or take is not None and gain >= take:
-                target = 0.0
-        change = target - pos
-        net = pos * ret[i] - abs(change) * cost
-        out["position"][i], out["net"][i] = pos, net
-        if abs(change) > 1e-10 and target != 0:
-            entry = equity
-        equity *= 1 + net
-        out["equity"][i] = equity
-        pos = target
-    return out
+    """Equity, net return, position and trade of each bar, with a target for each state.
+
+    An open position is closed where its gain since entry is outside (-stop, take) of the
+    bar's state. Positions earn from the next bar on; a state without a rule has target 0.
+    """
+    rules = {k: (targets[k], -math.inf if stops[k] is None else -stops[k], math.inf if takes[k] is None else takes[k]) for k in range(len(targets))}
+    plan = [rules.get(int(k), (0.0, -math.inf, math.inf)) for k in state]
+
+    def bars():
+        held, wealth, base = 0.0, 1.0, 1.0
+        for (target, low, high), x in zip(plan, ret):
+            since = wealth / (base + 1e-15) - base / (base + 1e-15)
+            wanted = target if held == 0 or low < since < high else 0.0
+            trade = wanted - held
+            if wanted and abs(trade) > 1e-10:
+                base = wealth
+            net = held * x - cost * abs(trade)
+            wealth *= 1 + net
+            yield wealth, net, held, trade
+            held = wanted
+
+    columns = np.array(list(bars())).reshape(len(plan), 4).T
+    return dict(zip(("equity", "net", "position", "trade"), columns))
 
 
 def alerts(state: np.ndarray, posterior: np.ndarray, sure: float = 0.6, cooldown: int = 3) -> np.ndarray:
@@ -338,3 +340,18 @@ def paper_trading(price: np.ndarray, state: np.ndarray, weights: dict[int, float
             prev = int(k)
         out["equity"][i], out["position"][i], out["realized"][i] = book.value(px), book.position, book.realized
     return out
+
+
+def switching_levels(y: np.ndarray, posterior: np.ndarray) -> dict[str, np.ndarray]:
+    """Levels filtered with each state's observation variance, and their blend by the posterior."""
+    w = posterior / posterior.sum(0)
+    var = ((y[:, None] - (w * y[:, None]).sum(0)) ** 2 * w).sum(0)
+    levels = np.stack([kalman_level_velocity(y, max(float(v), 1e-12))["level"] for v in var], 1)
+    return {"level": (posterior * levels).sum(1), "levels": levels}
+
+
+def hp_blend(y: np.ndarray, posterior: np.ndarray, lambdas: list[float]) -> np.ndarray:
+    """Trends with each state's smoothness, blended by the posterior."""
+    trends = np.stack([hp_trend(y, x) for x in lambdas], 1)
+    w = posterior[:, : len(lambdas)]
+    return (w * trends).sum(1) / (w.sum(1) + 1e-15)

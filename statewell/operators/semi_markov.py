@@ -50,39 +50,49 @@ def correct(state: np.ndarray, posterior: np.ndarray, durations: list[tuple[floa
 
 
 class NextState:
-    """Softmax regression of a state on the features of the bars before it."""
+    """Softmax regression of a state on the features of the bars before it, by Newton steps.
 
-    def __init__(self, lags: int = 1, l2: float = 0.01, rate: float = 0.1, rounds: int = 200, tol: float = 1e-6) -> None:
-        self.lags, self.l2, self.rate, self.rounds, self.tol = lags, l2, rate, rounds, tol
+    The penalised likelihood has one maximum, so there is no start to choose; slopes and
+    intercepts share the ridge ``l2``, which makes the Hessian definite.
+    """
 
-    def design(self, x: np.ndarray, ahead: bool) -> np.ndarray:
-        """Rows of the last ``lags`` bars' features, latest first; with ``ahead`` also after the last bar."""
-        n = len(x) - self.lags + ahead
-        return np.hstack([x[self.lags - j : self.lags - j + n] for j in range(1, self.lags + 1)])
+    def __init__(self, lags: int = 1, l2: float = 0.01, rounds: int = 50, tol: float = 1e-8) -> None:
+        self.lags, self.l2, self.rounds, self.tol = lags, l2, rounds, tol
+
+    def history(self, x: np.ndarray) -> np.ndarray:
+        """For each bar from the ``lags``-th on, and for the bar to come, the bars before it, latest first."""
+        view = np.lib.stride_tricks.sliding_window_view(x, self.lags, axis=0)[:, :, ::-1]
+        return view.transpose(0, 2, 1).reshape(len(view), -1)
 
     def fit(self, x: np.ndarray, state: np.ndarray) -> NextState:
-        z, y = self.design(x, False), state[self.lags :]
-        self.mean, self.sd, self.k = z.mean(0), z.std(0) + 1e-10, int(state.max()) + 1
-        z = np.c_[(z - self.mean) / self.sd, np.ones(len(z))]
-        self.w = np.random.default_rng(0).normal(0, 0.01, (z.shape[1], self.k))
-        want, last = np.eye(self.k)[y], math.inf
+        past, label = self.history(x)[:-1], np.asarray(state)[self.lags :]
+        self.centre, self.scale = past.mean(0), past.std(0) + 1e-10
+        a = self.rows(past)
+        n, d = a.shape
+        k = int(np.max(state)) + 1
+        hit = (label[:, None] == np.arange(k)).astype(float)
+        self.coefficients = np.zeros((d, k))
         for _ in range(self.rounds):
-            p = self.softmax(z @ self.w)
-            loss = -np.log(p[np.arange(len(y)), y] + 1e-15).mean() + 0.5 * self.l2 * (self.w**2).sum()
-            if abs(last - loss) < self.tol:
+            p = self.shares(a)
+            slope = a.T @ (hit - p) / n - self.l2 * self.coefficients
+            curve = np.einsum("ni,nj,nk,kl->kilj", a, a, p, np.eye(k), optimize=True) - np.einsum("ni,nj,nk,nl->kilj", a, a, p, p, optimize=True)
+            step = np.linalg.solve(curve.reshape(k * d, k * d) / n + self.l2 * np.eye(k * d), slope.T.ravel()).reshape(k, d).T
+            self.coefficients += step
+            if np.abs(step).max() < self.tol:
                 break
-            last = loss
-            self.w -= self.rate * (z.T @ (p - want) / len(y) + self.l2 * self.w)
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        z = self.design(x, True)
-        return self.softmax(np.c_[(z - self.mean) / self.sd, np.ones(len(z))] @ self.w)
+    def rows(self, past: np.ndarray) -> np.ndarray:
+        return np.hstack([np.ones((len(past), 1)), (past - self.centre) / self.scale])
 
-    @staticmethod
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+    def shares(self, a: np.ndarray) -> np.ndarray:
+        score = a @ self.coefficients
+        score = np.exp(score - score.max(1)[:, None])
+        return score / score.sum(1)[:, None]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """State probabilities of the bars from the ``lags``-th on and of the bar to come."""
+        return self.shares(self.rows(self.history(x)))
 
 
 def blend(posterior: np.ndarray, predicted: np.ndarray, alpha: float = 0.5) -> np.ndarray:

@@ -10,7 +10,7 @@ from . import hmm
 from .dense import rand_index
 
 
-def across_seeds(df: DataFrame, features: list[str], k: int, runs: int = 3, restarts: int = 2, seed: int = 42, **options) -> DataFrame:
+def across_seeds(df: DataFrame, features: list[str], k: int, runs: int = 3, restarts: int = 10, seed: int = 42, **options) -> DataFrame:
     """series, mean and least adjusted Rand index over all pairs of runs, spread of means and transitions (unaligned).
 
     A series is a task's work; its runs are few.
@@ -20,7 +20,8 @@ def across_seeds(df: DataFrame, features: list[str], k: int, runs: int = 3, rest
         group = group.sort_values("t", kind="stable")
         raw = group[features].to_numpy(float)
         x, mean, sd = hmm.standardise(raw)
-        models = [max((hmm.fit(x, k, seed + 100 * i + j, **options) for j in range(restarts)), key=lambda m: m["log_likelihood"]) for i in range(runs)]
+        seeds = [seed + 100 * i + j for i in range(runs) for j in range(restarts)]
+        models = hmm.best_of(hmm.fit_many(x, k, seeds, **options), lambda m: (m["seed"] - seed) // 100)
         paths = [hmm.decode(m | {"mean": mean, "sd": sd}, raw)["state"] for m in models]
         index = [rand_index(np.histogram2d(a, b, bins=k, range=[[-0.5, k - 0.5]] * 2)[0]) for i, a in enumerate(paths) for b in paths[:i]]
         spread = lambda name: float(np.std([m[name] for m in models], 0).mean())

@@ -94,3 +94,21 @@ def current_state(df: DataFrame) -> DataFrame:
     return run_lengths(df).groupBy("series").agg(F.max("t").alias("t"), F.max_by("state", at).alias("state"), F.max_by("run_length", at).alias("run_length"))
 
 
+
+
+def chains(df: DataFrame, k: int, make, columns: str) -> DataFrame:
+    """The rows ``make(matrix)`` gives for the empirical transition matrix of each series.
+
+    A state that is never left for another bar stays. One matrix is one small group.
+    """
+    import pandas as pd
+
+    names = ["series", *[x.split()[0] for x in columns.split(", ")]]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((k, k))
+        m[g["state"], g["to"]] = g["p"]
+        m[m.sum(1) == 0] = np.eye(k)[m.sum(1) == 0]
+        return pd.DataFrame([(g["series"].iloc[0], *row) for row in make(m)], columns=names)
+
+    return transition_matrix(df).groupBy("series").applyInPandas(run, f"series string, {columns}")

@@ -61,12 +61,7 @@ def walk_forward(df: DataFrame, features: list[str], k: int, days: int = 180, re
         if len(train) < max(k, 20) or not len(test):
             return pd.DataFrame({x: [] for x in names})
         x, mean, sd = hmm.standardise(train[features].to_numpy(float))
-        fits = []
-        for i in range(restarts):
-            try:
-                fits.append(hmm.fit(x, k, seed + i, **options))
-            except (np.linalg.LinAlgError, ValueError):
-                continue  # a failed restart is no candidate
+        fits = hmm.fit_many(x, k, [seed + i for i in range(restarts)], **options)
         if not fits:
             return pd.DataFrame({x: [] for x in names})
         model = max(fits, key=lambda m: m["log_likelihood"]) | {"mean": mean, "sd": sd}

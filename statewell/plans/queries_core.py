@@ -97,13 +97,6 @@ START, TRANS = np.array([0.5, 0.3, 0.2]), np.array([[0.7, 0.2, 0.1], [0.25, 0.5,
 MEANS, SDS = np.array([-1.5, 0.0, 1.5]), np.array([1.2, 0.8, 1.2])
 
 
-@query(f"""WITH RECURSIVE a AS (SELECT * FROM (VALUES {", ".join(f"({i},{j},{TRANS[i, j]}::DOUBLE)" for i in range(3) for j in range(3))}) v(i, j, p)),
-m AS (SELECT 1 AS h, i, j, p FROM a UNION ALL SELECT h + 1, m.i, a.j, sum(m.p * a.p) FROM m JOIN a ON m.j = a.i WHERE h < 24 GROUP BY h, m.i, a.j)
-SELECT h AS horizon, i AS state, j AS "to", {r('p')} AS p FROM m WHERE h IN (1, 6, 24)""")
-def transition_forecast(spark: Spark, sf: str) -> DataFrame:
-    return rounded(spark.createDataFrame(st.forecast(TRANS, (1, 6, 24)), "horizon int, state int, to int, p double"))
-
-
 _STATS = STATES + """, m AS (
     SELECT series, state, count(*) AS n, avg(ret) AS mean, coalesce(stddev_samp(ret), 0) AS sd, stddev_pop(ret) AS sp, quantile_cont(ret, 0.05) AS q,
            avg((ret > 0)::INT) AS win_rate, kurtosis_pop(ret) AS kurt FROM s GROUP BY 1, 2
@@ -236,9 +229,14 @@ def weighted_quantile(spark: Spark, sf: str) -> DataFrame:
     return rounded(perf.weighted_quantile(rows, "ret", 0.05, ["series", "k"]).withColumnRenamed("k", "state"))
 
 
-@query(STATES + _WQ.format(x="ret") + f""", q AS (SELECT series, k, min(x) AS q FROM c WHERE share >= 0.05 GROUP BY 1, 2), m AS (SELECT series, k, sum(w) AS n, sum(w * ret) / sum(w) AS mean FROM e GROUP BY 1, 2),
-v AS (SELECT e.series, e.k, sum(w * power(ret - mean, 2)) / sum(w) AS v FROM e JOIN m USING (series, k) GROUP BY 1, 2), cv AS (SELECT e.series, e.k, -sum(w * ret) / sum(w) AS cvar FROM e JOIN q USING (series, k) WHERE ret <= q GROUP BY 1, 2)
-SELECT series, k AS state, {r('n')} AS eff_n, {r('mean * 8760')} AS mean_ann, {r('sqrt(v) * sqrt(8760)')} AS vol_ann, {r('mean * 8760 / (sqrt(v) * sqrt(8760))')} AS sharpe, {r('-q')} AS var, {r('cvar')} AS cvar FROM m JOIN v USING (series, k) JOIN q USING (series, k) JOIN cv USING (series, k)""")
+_HARD = """, lv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY series, state ORDER BY t)) AS level FROM s), dd AS (SELECT series, state, ret, (max(level) OVER w - level) / max(level) OVER w AS dd FROM lv WINDOW w AS (PARTITION BY series, state ORDER BY t)),
+hd AS (SELECT series, state AS k, CASE WHEN count(*) >= 20 THEN max(dd) END AS mdd, CASE WHEN count(*) >= 20 AND max(dd) > 1e-12 THEN avg(ret) * 8760 / max(dd) END AS calmar FROM dd GROUP BY 1, 2)"""
+
+
+@query(STATES + _WQ.format(x="ret") + _HARD + f""", q AS (SELECT series, k, min(x) AS q FROM c WHERE share >= 0.05 GROUP BY 1, 2), m AS (SELECT series, k, sum(w) AS n, sum(w * ret) / sum(w) AS mean FROM e GROUP BY 1, 2),
+v AS (SELECT e.series, e.k, sum(w * power(ret - mean, 2)) / sum(w) AS v, sqrt(sum(w * power(least(ret, 0), 2)) / sum(w)) AS down FROM e JOIN m USING (series, k) GROUP BY 1, 2), cv AS (SELECT e.series, e.k, -sum(w * ret) / sum(w) AS cvar FROM e JOIN q USING (series, k) WHERE ret <= q GROUP BY 1, 2)
+SELECT series, k AS state, {r('n')} AS eff_n, """ + ", ".join(f"CASE WHEN n >= 20 THEN {r(x)} END AS {y}" for x, y in (("mean * 8760", "mean_ann"), ("sqrt(v) * sqrt(8760)", "vol_ann"), ("mean * 8760 / (sqrt(v) * sqrt(8760))", "sharpe"), ("CASE WHEN down > 1e-12 THEN mean / down * sqrt(8760) END", "sortino"), ("-q", "var"), ("cvar", "cvar"), ("mdd", "max_drawdown"), ("calmar", "calmar"))) + """
+FROM m JOIN v USING (series, k) JOIN q USING (series, k) JOIN cv USING (series, k) LEFT JOIN hd USING (series, k)""")
 def regime_risk_weighted(spark: Spark, sf: str) -> DataFrame:
     return rounded(perf.weighted_risk(states(spark, sf)))
 
@@ -249,21 +247,26 @@ def running_drawdown(spark: Spark, sf: str) -> DataFrame:
     return rounded(df.select("series", "t", drawdown(F.col("level")).alias("drawdown")))
 
 
-_TAIL = STATES + """, l AS (SELECT *, -ret AS loss FROM e), c AS (SELECT *, sum(w) OVER (PARTITION BY series, k ORDER BY loss, t) / sum(w) OVER (PARTITION BY series, k) AS share FROM l),
-u AS (SELECT series, k, min(loss) AS u FROM c WHERE share >= 0.9 GROUP BY 1, 2), n AS (SELECT series, k, sum(w) AS n FROM e GROUP BY 1, 2),
-x AS (SELECT l.series, l.k, avg(loss - u) AS m, var_pop(loss - u) AS v, count(*) AS ne, sum(w) AS we, any_value(u) AS u FROM l JOIN u USING (series, k) WHERE loss > u GROUP BY 1, 2),
-g AS (SELECT *, greatest(m * (1 - 0.5 * (1 - m * m / v)), 1e-10) AS sigma, greatest(-0.5, least(2.0, 0.5 * (1 - m * m / v))) AS xi FROM x),
-gv AS (SELECT *, CASE WHEN ne >= 10 AND we >= 10 THEN u + CASE WHEN abs(xi) < 1e-10 THEN -sigma * ln(rho) ELSE sigma / xi * (power(rho, -xi) - 1) END END AS var FROM (SELECT g.*, n.n AS n, 0.05 * floor(n.n) / floor(we) AS rho FROM g JOIN n USING (series, k)))
+_TAIL = STATES + """, l AS (SELECT series, t, k, w, -ret AS loss FROM e UNION ALL SELECT series, t, -1, 1.0 / count(*) OVER (PARTITION BY series), -ret FROM s),
+c AS (SELECT *, sum(w) OVER (PARTITION BY series, k ORDER BY loss, t) / sum(w) OVER (PARTITION BY series, k) AS share, sum(w) OVER (PARTITION BY series, k ORDER BY loss DESC, t) AS upto, sum(w) OVER (PARTITION BY series, k) AS total FROM l),
+u AS (SELECT series, k, min(loss) AS u FROM c WHERE share >= 0.9 GROUP BY 1, 2), n AS (SELECT series, k, sum(w) AS n FROM l GROUP BY 1, 2),
+ve AS (SELECT series, k, max(loss) AS ve FROM c WHERE upto >= 0.01 * total - 1e-12 GROUP BY 1, 2), ee AS (SELECT l.series, l.k, sum(w * loss) / (sum(w) + 1e-15) AS ee FROM l JOIN ve USING (series, k) WHERE loss >= ve GROUP BY 1, 2),
+x AS (SELECT l.series, l.k, avg(loss - u) AS m, var_pop(loss - u) AS v, count(*) AS ne, sum(w) AS we FROM l JOIN u USING (series, k) WHERE loss > u GROUP BY 1, 2),
+y AS (SELECT *, CASE WHEN ne >= 10 AND we >= 10 AND v >= 1e-15 AND m >= 1e-15 THEN 0.5 * (1 - m * m / v) END AS x0 FROM x),
+g AS (SELECT *, CASE WHEN x0 IS NOT NULL THEN greatest(m * (1 - x0), 1e-10) END AS sigma, CASE WHEN x0 IS NOT NULL THEN greatest(-0.5, least(2.0, x0)) END AS xi FROM y),
+z AS (SELECT u.series, u.k, u, n, coalesce(ne, 0) AS ne, xi, sigma, ve, ee, 0.01 * floor(n) / nullif(floor(we), 0) AS rho FROM u JOIN n USING (series, k) JOIN ve USING (series, k) JOIN ee USING (series, k) LEFT JOIN g USING (series, k)),
+gz AS (SELECT *, u + CASE WHEN abs(xi) < 1e-6 THEN -sigma * ln(rho) ELSE sigma / xi * (power(rho, -xi) - 1) END AS gpd FROM z),
+gv AS (SELECT *, coalesce(gpd, ve) AS var, coalesce(CASE WHEN xi < 1 THEN (gpd + sigma - xi * u) / (1 - xi) END, ee) AS es FROM gz)
 """
 
 
-@query(_TAIL + f"SELECT series, k AS state, {r('u')} AS threshold, {r('n')} AS eff_n, ne AS n_exc, {r('xi')} AS xi, {r('sigma')} AS sigma, {r('var')} AS var, {r('CASE WHEN xi < 1 THEN (var + sigma - xi * u) / (1 - xi) END')} AS es FROM gv")
+@query(_TAIL + f"SELECT series, k AS state, {r('u')} AS threshold, {r('n')} AS eff_n, ne AS n_exc, {r('xi')} AS xi, {r('sigma')} AS sigma, {r('var')} AS var, {r('es')} AS es, gpd IS NOT NULL AS fitted FROM gv")
 def gpd_tail(spark: Spark, sf: str) -> DataFrame:
-    return rounded(perf.tails(states(spark, sf)).select("series", "state", "threshold", "eff_n", "n_exc", "xi", "sigma", "var", "es"))
+    return rounded(perf.tails(states(spark, sf)))
 
 
-@query(_TAIL + f""", d AS (SELECT series, k, var, CASE WHEN xi < 1 THEN (var + sigma - xi * u) / (1 - xi) END AS es FROM gv), last AS (SELECT series, arg_max(p0, t) AS p0, arg_max(p1, t) AS p1, arg_max(p2, t) AS p2 FROM s GROUP BY 1)
-SELECT series, k AS state, {r('CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END')} AS weight, {r('CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END * var')} AS var_part, {r('CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END * es')} AS es_part FROM d JOIN last USING (series)""")
+@query(_TAIL + f""", d AS (SELECT series, k, var, es FROM gv), last AS (SELECT series, arg_max(p0, t) AS p0, arg_max(p1, t) AS p1, arg_max(p2, t) AS p2 FROM s GROUP BY 1)
+SELECT series, k AS state, {r('CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END')} AS weight, {r('CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END * var')} AS var_part, {r('CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END * es')} AS es_part FROM d JOIN last USING (series) WHERE k >= 0""")
 def tail_decomposition(spark: Spark, sf: str) -> DataFrame:
     df = states(spark, sf)
     now = df.groupBy("series").agg(F.max_by("posterior", "t").alias("p")).select("series", F.posexplode("p").alias("state", "weight"))

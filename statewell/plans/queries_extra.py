@@ -46,19 +46,6 @@ def trend_signal(spark: Spark, sf: str) -> DataFrame:
     return rounded(states(spark, sf).select("series", "t", F.greatest(F.least(z, F.lit(1.0)), F.lit(-1.0)).alias("trend")))
 
 
-@query()
-def regime_switching_kalman(spark: Spark, sf: str) -> DataFrame:
-    """Levels filtered with each state's observation variance, blended by the posterior."""
-
-    def run(y, p):
-        w = p / p.sum(0)
-        var = ((y[:, None] - (w * y[:, None]).sum(0)) ** 2 * w).sum(0)
-        levels = np.stack([rec.kalman_level_velocity(y, max(float(v), 1e-12))["level"] for v in var], 1)
-        return {"level": (p * levels).sum(1), "levels": levels.tolist()}
-
-    return fold(states(spark, sf), run, ["log_return", "posterior"], {"level": "double", "levels": "array<double>"})
-
-
 @query()
 def change_alignment(spark: Spark, sf: str) -> DataFrame:
     """States before and after each change point (-1 before the first bar)."""

@@ -3,49 +3,53 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fold import fold
+from ..functions.posterior import gaussian_posterior
 from ..functions.rolling import order
 from ..operators import dense, hmm, semi_markov, simulation, stability, walk_forward
+from ..operators import portfolio as pf
 from ..operators import recursions as rec
 from ..operators.performance import Backtest, tails
 from ..sources import bars
 from ..streaming.trading import Live, replay
-from .base import STATES, query, r, rounded, states
+from .base import CENTRES, SD, STATES, query, r, rounded, states
 from .queries_core import MEANS, SDS, START, TRANS
 from .queries_more import panel
 
 Spark = SparkSession
 _FEATURES = ["log_return", "volatility_w24"]
+#: State counts to choose from, and most rounds of a fit; it ends earlier at its tolerance.
+COUNTS, ROUNDS = [2, 3, 4, 5, 6], 1000
 
 
 @query()
 def hmm_fit_select(spark: Spark, sf: str) -> DataFrame:
-    out = hmm.train(states(spark, sf), _FEATURES, [2, 3], restarts=2, n_iter=60)
+    out = hmm.train(states(spark, sf), _FEATURES, COUNTS, n_iter=ROUNDS)
     return out.select("series", "k", "log_likelihood", "aic", "bic", "n_params", "finite_restarts", "converged_restarts", "chosen")
 
 
 @query()
 def hmm_decode(spark: Spark, sf: str) -> DataFrame:
     df = states(spark, sf)
-    return hmm.apply_models(df, hmm.train(df, _FEATURES, [2], restarts=2, n_iter=60), _FEATURES)
+    return hmm.apply_models(df, hmm.train(df, _FEATURES, COUNTS, n_iter=ROUNDS), _FEATURES)
 
 
 @query()
 def student_t_fit(spark: Spark, sf: str) -> DataFrame:
-    return hmm.train(states(spark, sf), _FEATURES, [2], restarts=1, n_iter=40, emission="student_t", init="spectral").drop("model")
+    return hmm.train(states(spark, sf), _FEATURES, [2], n_iter=ROUNDS, emission="student_t", init="spectral").drop("model")
 
 
 @query()
 def ensemble(spark: Spark, sf: str) -> DataFrame:
-    return hmm.ensemble(states(spark, sf), _FEATURES, 2, models=3, n_iter=40)
+    return hmm.ensemble(states(spark, sf), _FEATURES, 2, n_iter=ROUNDS)
 
 
 @query()
 def fit_stability(spark: Spark, sf: str) -> DataFrame:
-    return stability.across_seeds(states(spark, sf), _FEATURES, 2, runs=3, restarts=1, n_iter=40)
+    return stability.across_seeds(states(spark, sf), _FEATURES, 2, n_iter=ROUNDS)
 
 
 _WF = """WITH RECURSIVE b AS (SELECT epoch(o_orderdate)::BIGINT AS t FROM orders WHERE o_totalprice > 0 GROUP BY 1), sp AS (SELECT min(t) AS first, max(t) AS last FROM b),
@@ -62,7 +66,7 @@ def walk_forward_folds(spark: Spark, sf: str) -> DataFrame:
 @query()
 def walk_forward_backtest(spark: Spark, sf: str) -> DataFrame:
     df = bars.daily_orders(spark, sf).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(order())) / 100).where("ret is not null")
-    out = walk_forward.walk_forward_backtest(df, ["ret"], 2, Backtest(bars_per_year=365.0), restarts=1, n_iter=25)
+    out = walk_forward.walk_forward_backtest(df, ["ret"], 2, Backtest(bars_per_year=365.0), restarts=5, n_iter=ROUNDS)
     return out.select("series", "t", "fold", "state", "signal", "net", "equity")
 
 
@@ -80,7 +84,7 @@ def simulate_garch_paths(spark: Spark, sf: str) -> DataFrame:
 
 @query()
 def stress_losses(spark: Spark, sf: str) -> DataFrame:
-    rows = tails(states(spark, sf)).where("var is not null").groupBy("state").agg(F.avg("threshold").alias("threshold"), F.avg("xi").alias("xi"), F.avg("sigma").alias("sigma")).orderBy("state").collect()
+    rows = tails(states(spark, sf)).where("fitted").groupBy("state").agg(F.avg("threshold").alias("threshold"), F.avg("xi").alias("xi"), F.avg("sigma").alias("sigma")).orderBy("state").collect()
     return simulation.stress(spark, [x.asDict() for x in rows], [1 / max(1, len(rows))] * len(rows))
 
 
@@ -93,16 +97,6 @@ def change_points(spark: Spark, sf: str) -> DataFrame:
     return fold(states(spark, sf), run, ["log_return"], {"p": "double", "change": "boolean"})
 
 
-@query()
-def hp_trend(spark: Spark, sf: str) -> DataFrame:
-    return fold(states(spark, sf), lambda x: {"trend": rec.hp_trend(x, 1600.0)}, ["log_return"], {"trend": "double"})
-
-
-@query()
-def adaptive_kalman(spark: Spark, sf: str) -> DataFrame:
-    return fold(states(spark, sf), lambda x, p: {"level": rec.kalman_smoother(x, p[:, :2] @ np.array([1e-3, 1e-4]) / (p[:, :2].sum(1) + 1e-15), 0.01)}, ["log_return", "posterior"], {"level": "double"})
-
-
 @query()
 def garch_fit(spark: Spark, sf: str) -> DataFrame:
     """Parameters of each series and state, one fit a group."""
@@ -112,7 +106,7 @@ def garch_fit(spark: Spark, sf: str) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t", kind="stable")
-        out = rec.fit_garch(g["ret"].to_numpy(), g["w"].to_numpy(), 60)
+        out = rec.fit_garch(g["ret"].to_numpy(), g["w"].to_numpy())
         return pd.DataFrame([{"series": g["series"].iloc[0], "state": int(g["state"].iloc[0]), **out}])
 
     return rows.groupBy("series", "state").applyInPandas(run, "series string, state int, omega double, alpha double, beta double, mu double, persistence double")
@@ -128,14 +122,6 @@ def duration_params(spark: Spark, sf: str) -> DataFrame:
     return rounded(semi_markov.fit_durations(states(spark, sf)))
 
 
-@query()
-def duration_correction(spark: Spark, sf: str) -> DataFrame:
-    def run(k, p):
-        return {"corrected": semi_markov.correct(k, p, [(1.5, 0.4), (2.0, 0.3), (1.5, 0.4)]).tolist()}
-
-    return fold(states(spark, sf), run, ["state", "posterior"], {"corrected": "array<double>"})
-
-
 @query()
 def next_state(spark: Spark, sf: str) -> DataFrame:
     def run(x, v, k):
@@ -158,44 +144,94 @@ def factor_shares(spark: Spark, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "series string, state int, share_1 double"))
 
 
-@query()
-def state_distances(spark: Spark, sf: str) -> DataFrame:
-    """All distances between each two states' Gaussians of a series."""
-    sums = dense.weighted_sums(_weighted(states(spark, sf), _FEATURES), _FEATURES, ["series", "state"])
-    rows = []
-    for (s, i), (_, m, c) in sorted(sums.items()):
-        for (s2, j), (_, m2, c2) in sorted(sums.items()):
-            if s == s2 and i < j:
-                d = dense.bhattacharyya(m, c, m2, c2)
-                rows.append((s, i, j, dense.kl(m, c, m2, c2), dense.symmetric_kl(m, c, m2, c2), d, float(np.exp(-d)), dense.mahalanobis(m, m2, (c + c2) / 2)))
-    return spark.createDataFrame(rows, "series string, state_a int, state_b int, kl double, symmetric_kl double, bhattacharyya double, coefficient double, mahalanobis double")
+def _wide(spark: Spark, sf: str) -> tuple[DataFrame, list[str]]:
+    """Returns and last returns of all series side by side, for each of three states and for all (-1) with its weight w.
+
+    Lags are taken within each series; the state is that of the mean return.
+    """
+    df = panel(spark, sf).withColumn("back", F.lag("ret").over(order()))
+    names = [x.series for x in df.select("series").distinct().orderBy("series").collect()]
+    wide = df.groupBy("t").pivot("series", names).agg(F.first("ret").alias("now"), F.first("back").alias("back")).na.drop()
+    wide = wide.select("t", *[F.col(f"{n}_now").alias(n) for n in names], *[F.col(f"{n}_back").alias(f"{n}_1") for n in names])
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names) * 100
+    weights = F.array_append(gaussian_posterior(mean, CENTRES, SD), F.lit(1.0))
+    rows = wide.select("*", F.posexplode(weights).alias("k", "w")).withColumn("state", F.when(F.col("k") == len(CENTRES), -1).otherwise(F.col("k")))
+    return rows.withColumn("series", F.lit("panel")), names
+
+
+def _var(spark: Spark, sf: str, make, columns: str) -> DataFrame:
+    rows, names = _wide(spark, sf)
+    moments = dense.weighted_moments(rows, names + [f"{x}_1" for x in names], ["series", "state"])
+
+    def each(found, weights, mean, cov):
+        for k, w, m, c in zip(found, weights, mean, cov):
+            yield from ((k, *row) for row in make(names, *dense.var_model(m, c, len(names), 1, weight=w)))
+
+    return rounded(dense.by_series(moments, each, f"state int, {columns}").drop("series"))
 
 
 @query()
 def regime_var(spark: Spark, sf: str) -> DataFrame:
-    """Impulse responses of a vector autoregression of the panel's returns."""
-    df = panel(spark, sf)
-    names = [x.series for x in df.select("series").distinct().orderBy("series").collect()]
-    wide = df.groupBy("t").pivot("series", names).agg(F.first("ret")).na.drop()
-    back = Window.partitionBy("series").orderBy("t")
-    lagged = wide.withColumn("series", F.lit("panel")).select("series", F.lit(1.0).alias("w"), *names, *[F.lag(n).over(back).alias(f"{n}_1") for n in names]).na.drop()
-    (n, mean, cov), = dense.weighted_sums(lagged, names + [f"{x}_1" for x in names], ["series"]).values()
-    _, coefficients, residual = dense.var_model(mean, cov, len(names), 1, weight=n)
-    rows = [(names[i], h, names[j], float(v)) for i in range(len(names)) for h, row in enumerate(dense.impulse_response(coefficients, residual, i, 5)) for j, v in enumerate(row)]
-    return spark.createDataFrame(rows, "shock string, horizon int, series string, response double")
+    """Impulse responses of each state's vector autoregression of the panel's returns; -1 is all bars."""
+
+    def make(names, _, coefficients, residual):
+        for i, shock in enumerate(names):
+            for h, row in enumerate(dense.impulse_response(coefficients, residual, i, 10)):
+                yield from ((shock, h, name, float(v)) for name, v in zip(names, row))
+
+    return _var(spark, sf, make, "shock string, horizon int, response_of string, response double")
+
+
+@query()
+def granger_table(spark: Spark, sf: str) -> DataFrame:
+    """How much each series' past moves each other, by state."""
+
+    def make(names, _, coefficients, residual):
+        effect = dense.granger(coefficients)
+        return [(a, b, float(effect[j, i])) for i, a in enumerate(names) for j, b in enumerate(names)]
+
+    return _var(spark, sf, make, "cause string, effect string, strength double")
+
+
+def _moments(spark: Spark, sf: str, make, columns: str) -> DataFrame:
+    rows, names = _wide(spark, sf)
+    moments = dense.weighted_moments(rows, names, ["series", "state"])
+
+    def each(found, weights, mean, cov):
+        for k, m, c in zip(found, mean, cov):
+            yield from ((k, *row) for row in make(names, m, c + 1e-6 * np.eye(len(names))))
+
+    return rounded(dense.by_series(moments, each, f"state int, {columns}").drop("series"))
 
 
 @query()
 def mean_variance(spark: Spark, sf: str) -> DataFrame:
-    from ..operators import portfolio as pf
+    """Weights of least variance and of the best ratio, by state and for all bars (-1)."""
+    return _moments(spark, sf, lambda names, m, c: zip(names, pf.min_variance(c).tolist(), pf.max_sharpe(m, c).tolist()), "asset string, min_variance double, max_sharpe double")
 
-    df = panel(spark, sf)
-    names = [x.series for x in df.select("series").distinct().orderBy("series").collect()]
-    wide = df.groupBy("t").pivot("series", names).agg(F.first("ret")).na.drop().withColumn("key", F.lit(0)).withColumn("w", F.lit(1.0))
-    (_, mean, cov), = dense.weighted_sums(wide, names, ["key"]).values()
-    cov = cov + 1e-6 * np.eye(len(names))
-    low, best = pf.min_variance(cov), pf.max_sharpe(mean, cov)
-    return spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(names, low, best)], "series string, min_variance double, max_sharpe double")
+
+@query()
+def blended_mean_variance(spark: Spark, sf: str) -> DataFrame:
+    """The states' best weights mixed by each bar's posterior."""
+    rows, names = _wide(spark, sf)
+    best = mean_variance(spark, sf).where("state >= 0").select("state", "asset", "max_sharpe")
+    return rounded(rows.where("state >= 0").select("t", "state", "w").join(best, "state").groupBy("t", "asset").agg((F.sum(F.col("w") * F.col("max_sharpe")) / F.sum("w")).alias("weight")))
+
+
+@query()
+def efficient_frontier(spark: Spark, sf: str) -> DataFrame:
+    """Volatility and return of mixes between the two portfolios of each state."""
+    return _moments(spark, sf, lambda names, m, c: [(i, *p) for i, p in enumerate(pf.frontier(m, c))], "point int, volatility double, mean double")
+
+
+@query()
+def black_litterman(spark: Spark, sf: str) -> DataFrame:
+    """Each state's means drawn toward the view that all earn 0.0005, with precision 1000."""
+
+    def make(names, m, c):
+        return zip(names, pf.black_litterman(m, c, np.full(len(m), 5e-4), np.full(len(m), 1e3)).tolist())
+
+    return _moments(spark, sf, make, "asset string, posterior_mean double")
 
 
 @query()

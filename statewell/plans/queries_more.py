@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import fold
 from ..functions.posterior import dot, numbers
-from ..functions.rolling import order
+from ..functions.rolling import order, so_far
 from ..operators import dependence as dep
 from ..operators import portfolio as pf
 from ..operators import recursions as rec
@@ -74,12 +74,12 @@ def drawdown_scale(spark: Spark, sf: str) -> DataFrame:
 UNION ALL SELECT series, n, t, eq * (1 + pos * ret - abs(target - pos) * 0.001), CASE WHEN abs(target - pos) > 1e-10 AND target != 0 THEN eq ELSE entry END, target, pos * ret - abs(target - pos) * 0.001, pos FROM (
 SELECT o.series, o.n, o.t, o.ret, b.eq, b.entry, b.pos, CASE WHEN b.pos != 0 AND ((b.eq - b.entry) / (b.entry + 1e-15) <= -0.03 OR (b.eq - b.entry) / (b.entry + 1e-15) >= 0.05) THEN 0.0 ELSE CASE o.state WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END END::DOUBLE AS target
 FROM b JOIN o ON o.series = b.series AND o.n = b.n + 1))
-SELECT series, t, {r('eq')} AS equity, {r('net')} AS net, {r('held')} AS position FROM b WHERE n > 0""")
+SELECT series, t, {r('eq')} AS equity, {r('net')} AS net, {r('held')} AS position, {r('pos - held')} AS trade FROM b WHERE n > 0""")
 def backtest_stop_loss(spark: Spark, sf: str) -> DataFrame:
     def run(ret, state):
         return rec.stop_backtest(ret, state, [0.0, 0.5, 1.0], [0.03] * 3, [0.05] * 3)
 
-    return rounded(fold(states(spark, sf), run, ["ret", "state"], {"equity": "double", "net": "double", "position": "double"}))
+    return rounded(fold(states(spark, sf), run, ["ret", "state"], {"equity": "double", "net": "double", "position": "double", "trade": "double"}))
 
 
 @query(STATES + _N + """, a AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, -1 AS prev, 0 AS since, false AS fired, false AS alert FROM (SELECT DISTINCT series FROM s)
@@ -91,17 +91,19 @@ def alerts_replay(spark: Spark, sf: str) -> DataFrame:
     return out.where("alert").select("series", "t")
 
 
-@query(STATES + _N + f""", w AS (SELECT *, CASE state WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM o),
-b AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS pos, -1.0::DOUBLE AS prev, 0.0::DOUBLE AS px FROM (SELECT DISTINCT series FROM s)
-UNION ALL SELECT series, n, t, CASE WHEN abs(change) < 1e-10 THEN cash ELSE cash - change * px * CASE WHEN change > 0 THEN 1.0005 ELSE 0.9995 END END, pos + CASE WHEN abs(change) < 1e-10 THEN 0 ELSE change END, w, px FROM (
-SELECT w.series, w.n, w.t, b.cash, b.pos, w.w, w.close AS px, CASE WHEN b.prev < 0 OR abs(w.w - b.prev) > 0.01 THEN (b.cash + b.pos * w.close) * w.w / w.close - b.pos ELSE 0.0 END AS change FROM b JOIN w ON w.series = b.series AND w.n = b.n + 1))
-SELECT series, t, {r('(cash + pos * px) / 1e6', 4)} AS equity_m FROM b WHERE n > 0 AND n <= 40""")
+@query(STATES + _N + f""", w AS (SELECT *, CASE state WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS w, exp(sum(ret) OVER (PARTITION BY series ORDER BY t)) * 100 AS price FROM o),
+b AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS average, 0.0::DOUBLE AS realized, -1.0::DOUBLE AS prev, 0.0::DOUBLE AS px FROM (SELECT DISTINCT series FROM s)
+UNION ALL SELECT series, n, t, cash - change * fill, CASE WHEN abs(pos + change) < 1e-12 THEN 0.0 ELSE pos + change END,
+CASE WHEN abs(pos + change) < 1e-12 THEN 0.0 WHEN change > 0 THEN (pos * average + change * fill) / (pos + change) ELSE average END,
+realized + CASE WHEN change < 0 THEN least(-change, pos) * (fill - average) ELSE 0.0 END, w, px FROM (
+SELECT *, px * CASE WHEN change > 0 THEN 1.0005 ELSE 0.9995 END AS fill FROM (SELECT *, CASE WHEN abs(raw) < 1e-10 THEN 0.0 ELSE raw END AS change FROM (
+SELECT w.series, w.n, w.t, b.cash, b.pos, b.average, b.realized, w.w, w.price AS px, CASE WHEN b.prev < 0 OR abs(w.w - b.prev) > 0.01 THEN (b.cash + b.pos * w.price) * w.w / w.price - b.pos ELSE 0.0 END AS raw FROM b JOIN w ON w.series = b.series AND w.n = b.n + 1))))
+SELECT series, t, {r('cash + pos * px', 4)} AS equity, {r('pos', 4)} AS position, {r('realized', 4)} AS realized FROM b WHERE n > 0""")
 def paper_portfolio_replay(spark: Spark, sf: str) -> DataFrame:
-    out = fold(states(spark, sf), lambda px, k: rec.paper_trading(px, k, {0: 0.0, 1: 0.5, 2: 1.0}), ["close", "state"], {"equity": "double", "position": "double", "realized": "double"})
-    from pyspark.sql import Window
-
-    first = out.withColumn("n", F.row_number().over(Window.partitionBy("series").orderBy("t"))).where("n <= 40")
-    return rounded(first.select("series", "t", (F.col("equity") / 1e6).alias("equity_m")), 4)
+    """An account that holds the weight of each bar's state, on an index of the returns that starts at 100."""
+    df = states(spark, sf).withColumn("price", F.exp(F.sum("ret").over(so_far())) * 100)
+    out = fold(df, lambda px, k: rec.paper_trading(px, k, {0: 0.0, 1: 0.5, 2: 1.0}), ["price", "state"], {"equity": "double", "position": "double", "realized": "double"})
+    return rounded(out, 4)
 
 
 _W = """, wr AS (SELECT series, t, k, CASE WHEN sum(w) OVER (PARTITION BY series, k) < 20 THEN 1.0 ELSE w END AS w, {x} AS x, {y} AS y FROM e UNION ALL SELECT series, t, -1, 1.0, {x}, {y} FROM s)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_core, queries_extra, queries_models, queries_more  # noqa: F401  register
+from . import queries_chain, queries_core, queries_extra, queries_models, queries_more  # noqa: F401  register
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

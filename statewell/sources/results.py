@@ -35,7 +35,7 @@ def load_results(spark: SparkSession, root: str) -> DataFrame:
     missing = {"t", "ret", "state"} - set(bars.columns)
     if missing:
         raise KeyError(f"regimes.parquet lacks {sorted(missing)}")
-    return bars.join(F.broadcast(scores), ["series", "state"])  # a row for each symbol and state
+    return bars.join(scores, ["series", "state"], "left").fillna(0.0, [x for x in scores.columns if x not in ("series", "state")])
 
 
 def backtest_inputs(regimes: DataFrame, signals: DataFrame, ret: str = "ret", signal: str = "signal") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from statewell.plans.registry import ORACLES, QUERIES
 
 #: Twelve months of days are needed, or more common hours than the smallest tables have.
-LARGER = {"stress_losses", "walk_forward_folds", "walk_forward_backtest", "regime_var", "mean_variance", *(n for n in QUERIES if "corr" in n or "agreement" in n)}
+LARGER = {"stress_losses", "walk_forward_folds", "walk_forward_backtest", "regime_var", "granger_table", "mean_variance", "blended_mean_variance", "efficient_frontier", "black_litterman", *(n for n in QUERIES if "corr" in n or "agreement" in n)}
 
 
 @pytest.fixture(scope="module")
