@@ -201,7 +201,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 class Classifier:
     """Weights, bias and temperature; the word pairs of each template."""
 
-    def __init__(self, negatives: list[str], rounds: int = 150, rate: float = 0.5, decay: float = 1e-4, seed: int = 5, agree: float = 0.6) -> None:
+    def __init__(self, negatives: list[str], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, seed: int = 5, agree: float = 0.6) -> None:
         r = np.random.default_rng(seed)
         self.templates = [(c, np.unique(pairs_of(t))) for c, name in enumerate(CLASSES) if c for t in templates(name)]
         self.size = np.array([len(t) for _, t in self.templates])
