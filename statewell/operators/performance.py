@@ -177,10 +177,10 @@ def exploded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def weighted_quantile(rows: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
-    """The first value at which the summed weight w reaches ``q`` of all, by ``keys``."""
+    """The first value at which the summed weight w reaches ``q`` of all, by ``keys``; no row for keys without weight."""
     up = Window.partitionBy(*keys).orderBy(value, "t").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    ranked = rows.withColumn("share", F.sum("w").over(up) / F.sum("w").over(whole)).where(F.col("share") >= q)
+    ranked = rows.withColumn("share", F.try_divide(F.sum("w").over(up), F.sum("w").over(whole))).where(F.col("share") >= q)
     return ranked.groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
@@ -241,7 +241,7 @@ def tails(df: DataFrame, ret: str = "ret", threshold_quantile: float = 0.9, conf
 
     State -1 is the whole series, each bar with weight 1 / bars. Where too little lies
     beyond the threshold, or excesses don't vary, ``var`` and ``es`` are empirical and
-    ``fitted`` is false.
+    ``fitted`` is false. States without weight have no row.
     """
     losses = df.withColumn("loss", -F.col(ret))
     whole = losses.select("series", "t", "loss", F.lit(-1).alias("k"), (1 / F.count("*").over(Window.partitionBy("series"))).alias("w"))
