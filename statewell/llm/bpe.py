@@ -5,7 +5,7 @@ bytes are rows (word, pos, tok) of a DuckDB relation, and the ranks a table of m
 (a, b, rank). These rows are joined with the merges and aggregated in order; a recursive
 query then contracts each word's leftmost pair of the least rank and joins the two new
 pairs beside it with the merges; a word without a pair leaves the recursion. A text's
-ids are those of its pieces. A query takes ``SLICE`` pieces at most, also of one text, and its
+ids are those of its pieces. A query takes ``SLICE`` new pieces at most, also of one text, and its
 database has no folder to spill to.
 
 Decoding joins all ids (text, pos, tok) with the vocabulary's bytes and aggregates them
@@ -38,9 +38,11 @@ LONG = 64
 #: Pieces that a worker remembers the ids of; beyond that it keeps those in use.
 REMEMBERED = 400_000
 #: Bytes of text, or of ids, that are worked on at once.
-BLOCK = 1 << 20
-#: Pieces, or ids to decode, in one query; a longer text takes several.
+BLOCK = 2 << 20
+#: New pieces, or ids to decode, in one query; a longer text takes several.
 SLICE = 50_000
+#: Pieces that are looked up at once among those remembered.
+LOOK = 400_000
 #: Unicode's white space, which is what \s stands for in the pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -163,7 +165,8 @@ class Codec:
             place[~new] = np.arange(len(self.known))
         if new.any():
             unknown = pieces.dictionary.filter(pa.array(new))
-            names, ids = self.learn(unknown.to_pylist())
+            learnt = [self.learn(unknown[i : i + SLICE].to_pylist()) for i in range(0, len(unknown), SLICE)]
+            names, ids = (pa.concat_arrays(x) for x in zip(*learnt))
             place[new] = len(self.known) + pc.index_in(unknown, value_set=names).to_numpy()
             self.known, self.lists = pa.concat_arrays([self.known, names]), pa.concat_arrays([self.lists, ids])
         lists = self.lists.take(place[pieces.indices.to_numpy()])
@@ -183,9 +186,9 @@ class Codec:
         for text in texts:
             pieces = self.pattern.findall(text)
             count.append(len(pieces))
-            for i in range(0, len(pieces), SLICE):
-                held.append(pa.array(pieces[i : i + SLICE], pa.string()))
-                if sum(map(len, held)) >= SLICE:
+            for i in range(0, len(pieces), LOOK):
+                held.append(pa.array(pieces[i : i + LOOK], pa.string()))
+                if sum(map(len, held)) >= LOOK:
                     flush()
         if held:
             flush()
