@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_shuffles, materialize, tidy
@@ -145,21 +145,19 @@ def _strip(length: int):
     return strip
 
 
-def judge(table: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Places of phrases that stand earlier; and the first places of those to compare.
+def judge(table: DataFrame, hot: int) -> DataFrame:
+    """doc_id, at, p, kind of phrases that stand earlier (0) or must be compared (1; 2 in families of over ``hot``).
 
-    The second has p, doc_id, at and ``sort``, whether suffix arrays order the family.
-    Both start from sums made before the shuffle, so a common phrase or trigger is one
-    row a task.
+    Phrases are dealt by trigger once, which serves both windows; known ones, which are
+    compared with none, are spread by their place.
     """
-    rows = table.where("not known")
     key = F.struct("doc_id", "at")
-    firsts = rows.groupBy("p", "u").agg(F.min(key).alias("key"), F.max(key).alias("last"), F.bool_or("own").alias("own"))
-    firsts = materialize(firsts.select("p", "u", "key", "own", F.expr("last > key").alias("many")), "firsts")
-    again = rows.join(firsts.where("many").select("p", "u", F.col("key").alias("first")), ["p", "u"]).where(key > F.col("first"))
-    whole = again.select("doc_id", "at").unionByName(table.where("known").select("doc_id", "at"))
-    families = firsts.groupBy("p").agg(F.count("*").alias("n"), F.bool_or("own").alias("o")).where("n > 1 or o")
-    return whole, firsts.join(families, "p").select("p", "key.doc_id", "key.at", F.lit(1).alias("age"), (F.col("n") <= hot).alias("sort"))
+    rows = table.withColumn("p", F.expr("if(known, xxhash64(doc_id, at), p)")).repartition("p")
+    rows = rows.withColumn("later", F.col("known") | (key > F.min(key).over(Window.partitionBy("p", "u"))))
+    of = Window.partitionBy("p")
+    rows = rows.withColumn("kinds", F.sum(F.expr("int(not later)")).over(of)).withColumn("self", F.max(F.expr("own and not later")).over(of))
+    kind = F.when(F.col("later"), 0).when(F.col("kinds") > hot, 2).when((F.col("kinds") > 1) | F.col("self"), 1)
+    return rows.select("doc_id", "at", F.expr("if(later, null, p)").alias("p"), kind.cast("byte").alias("kind")).where("kind is not null")
 
 
 def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 36, hot: int = HOT) -> DataFrame:
@@ -171,14 +169,14 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 36, hot: int = HOT)
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(phrase_table(rows, "byte", length, k), "phrases")
-    whole, open_ = judge(table, hot)
-    open_ = materialize(open_, "open")
+    judged = materialize(judge(phrase_table(rows, "byte", length, k), hot), "judged")
     drop_shuffles(spark)
-    dictionary = materialize(dictionary_phrases(unclear(rows, open_.where("sort")), length), "dictionary")
+    places = judged.select("p", "doc_id", "at", F.lit(1).alias("age"), "kind")
+    dictionary = materialize(dictionary_phrases(unclear(rows, places.where("kind = 1").drop("kind")), length), "dictionary")
     drop_shuffles(spark)
     ordered = order_families(dictionary, length)
-    digests = repeated_windows(window_rows(unclear(rows, open_.where("not sort")), "byte", length)).select("doc_id", "at")
+    digests = repeated_windows(window_rows(unclear(rows, places.where("kind = 2").drop("kind", "p")), "byte", length)).select("doc_id", "at")
+    whole = judged.where("kind = 0").select("doc_id", "at")
     found = materialize(whole.unionByName(ordered).unionByName(digests), "found")
     drop_shuffles(spark)
     return strip_rows(docs, found, _strip(length), "n_bytes long, n_removed long, n_spans long, kept binary")
