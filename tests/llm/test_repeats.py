@@ -116,7 +116,7 @@ def test_runs_are_merged_and_outlive_the_session(spark, tmp_path):
     other = spark.newSession()
     for run, _ in index.runs:
         spark.sql(f"DROP TABLE {run}")
-    reopened = FingerprintIndex(other, folder=folder)
+    reopened = FingerprintIndex(other, fanout=2, folder=folder)
     assert reopened.runs == index.runs
     got = {r.doc_id for r in reopened.add(*(other.createDataFrame(x.collect(), x.schema) for x in (again, df.unionByName(again)))).collect()}
     assert got == {9, 11}
