@@ -126,7 +126,7 @@ def test_runs_are_merged_and_outlive_the_session(spark, tmp_path):
 def test_history_is_not_shuffled(spark, tmp_path):
     rows = [(i, " ".join(f"v{i}_{j}" for j in range(300))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    index = FingerprintIndex(spark, folder=f"file://{tmp_path}/index")
+    index = FingerprintIndex(spark, fanout=2, folder=f"file://{tmp_path}/index")
     index.add(df.where("doc_id < 20"), df)
     index.add(df.where("doc_id >= 20"), df)
     with merge_join_settings(spark):
