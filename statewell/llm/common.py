@@ -50,12 +50,18 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables that nothing reads any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def materialize(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or ``folder`` there, and read it back, which cuts its lineage.
 
     A lost executor then costs a read and no recomputation.
     """
-    path = f"{new_folder(df.sparkSession)}/{tag}"
+    path = f"{folder or new_folder(df.sparkSession)}/{tag}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

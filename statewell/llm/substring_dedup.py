@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, materialize, new_folder
+from .common import delete, drop_shuffles, materialize, new_folder
 from .windows import covered, phrase_table, repeated_windows, strip_rows, unclear, window_rows
 
 #: Runs beyond which two are merged into one.
@@ -61,7 +61,8 @@ class FingerprintIndex:
 
     ``folder`` is on storage that driver and executors share. If it holds a manifest the
     index goes on from there, in this session or another; without ``folder`` the index
-    lives in the scratch folder and goes with the session.
+    lives in the scratch folder and goes with the session. Runs that a new manifest no
+    longer names are deleted, so an index is open in one session at a time.
     """
 
     def __init__(self, spark: SparkSession, window: int = 20, k: int = 5, fanout: int = FANOUT, folder: str | None = None) -> None:
@@ -105,6 +106,10 @@ class FingerprintIndex:
             self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (p) SORTED BY (p, u) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
         return self.spark.table(name)
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, f"{self.folder}/{name}")
+
     def merged(self, name: str) -> DataFrame:
         """The rows of a batch's run that repeat or must be compared; no side is shuffled.
 
@@ -125,15 +130,16 @@ class FingerprintIndex:
         """Places in ``batch`` (doc_id, at) that history or the batch itself has earlier.
 
         ``texts`` has the texts of the batch and of history. With ``keep`` the batch's
-        run stays in the index.
+        run stays in the index. Tables of the batch alone are deleted when its places are written.
         """
-        new = materialize(phrase_table(batch, "word", self.window, self.k), "phrases")
+        own = new_folder(self.spark)
+        new = materialize(phrase_table(batch, "word", self.window, self.k), "phrases", own)
         key = F.struct("doc_id", "at")
         rows = new.where("not known").groupBy("p", "u").agg(F.min(key).alias("key"), F.max(key).alias("last"), F.bool_or("own").alias("own"))
         rows = rows.repartition(self.buckets, "p").select("p", "u", "key.doc_id", "key.at", "own", F.expr("last > key").alias("many"))
         with merge_join_settings(self.spark):
             name = self._write(rows)
-            merged = materialize(self.merged(name), "merged")
+            merged = materialize(self.merged(name), "merged", own)
         drop_shuffles(self.spark)
         again = merged.where("seen or many").select("p", "u", key.alias("first"), "seen")
         whole = new.where("not known").join(again, ["p", "u"]).where(F.col("seen") | (key > F.col("first"))).select("doc_id", "at")
@@ -141,20 +147,26 @@ class FingerprintIndex:
         triggers = merged.where("open").select("p").distinct()
         places = [merged.where("open").select("doc_id", "at", F.lit(1).alias("age"))]
         places += [self.run(x).join(triggers, "p", "left_semi").select("doc_id", "at", F.lit(0).alias("age")) for x, _ in self.runs]
-        windows = materialize(window_rows(unclear(texts, union_all(places)), "word", self.window), "windows")
+        windows = materialize(window_rows(unclear(texts, union_all(places)), "word", self.window), "windows", own)
         drop_shuffles(self.spark)
         parts = repeated_windows(windows).where("age = 1").select("doc_id", "at")
         found = materialize(whole.unionByName(parts), "found")
+        delete(self.spark, own)
         if keep:
             self.runs.append((name, self.run(name).count()))
+            merged_away = []
             while len(self.runs) > self.fanout:
-                self.compact()
+                merged_away += self.compact()
             self._commit()
+            for old in merged_away:
+                self._drop(old)
+        else:
+            self._drop(name)
         drop_shuffles(self.spark)
         return found
 
-    def compact(self) -> None:
-        """Merge the two neighbouring runs of the fewest rows into one, in their order."""
+    def compact(self) -> tuple[str, str]:
+        """Merge the two neighbouring runs of the fewest rows into one, in their order; their names."""
         i = min(range(len(self.runs) - 1), key=lambda n: self.runs[n][1] + self.runs[n + 1][1])
         (one, _), (two, _) = self.runs[i : i + 2]
         with merge_join_settings(self.spark):
@@ -162,6 +174,7 @@ class FingerprintIndex:
             both = left.join(right.hint("merge"), ["p", "u"], "full_outer").withColumn("key", F.least("key_0", "key_1"))
             name = self._write(both.select("p", "u", "key.doc_id", "key.at", F.coalesce("own_0", "own_1").alias("own"), F.lit(False).alias("many")))
         self.runs[i : i + 2] = [(name, self.run(name).count())]
+        return one, two
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
