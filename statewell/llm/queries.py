@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, licenses, media, simhash, token_counts, warc
+from . import bpe, decontamination, exact_dedup, filter_audit, langid, licenses, media, simhash, source_divergence, token_counts, warc
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_bytes
 
@@ -93,6 +93,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = exact_dedup.exact_copies(_table(spark, sf_dir, "documents"), keep="largest")
+    return copies.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_license_scan,
         op10_byte_bpe,
+        op11_exact_dedup,
+        op12_filter_audit,
+        op13_source_divergence,
     )
 }
 
@@ -163,4 +179,79 @@ ORACLES: dict[str, str] = {
                sha256(CASE WHEN b IS NULL THEN h ELSE unhex(kept || hex(h[b + 1 :])) END) AS kept_sha256
         FROM t LEFT JOIN k USING (doc_id)
     """,
+    "op11_exact_dedup": """
+        WITH n AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), g AS (
+            SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM n
+        )
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
+    """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), f AS (
+            SELECT part,
+                   CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+                   + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails,
+                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+                   doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+            FROM d
+        ), g AS (
+            SELECT part, fails, count(*) AS n, coalesce(sum(good::INT), 0) AS good, coalesce(sum(toxic::INT), 0) AS toxic FROM f GROUP BY 1, 2
+        ), l AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+        ), o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+        ), s AS (
+            SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1 : i - 1]), 0)::INT AS past FROM o, range(1, 6) t(i)
+        ), r AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN fails & (past | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN fails & past = 0 AND fails & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN fails & past > 0 AND fails & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN fails & past = 0 AND fails & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN fails & past = 0 AND fails & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM g, s GROUP BY 1, 2, 3, 4
+        )
+        SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+    """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), o AS (
+            SELECT r, lang, source, unnest(w) AS term FROM d
+        ), k AS (
+            SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3
+        ), v AS (
+            SELECT lang, count(*) AS v FROM k GROUP BY 1
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3
+        ), t AS (
+            SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2
+        ), p AS (
+            SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p
+            FROM t JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+        ), q AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM c GROUP BY 1, 2
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+        ), x AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ), y AS (
+            SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM x
+        )
+        SELECT * FROM y WHERE part = 'pair' OR rank <= 200
+    """,
 }
