@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, U64, mix, prefix_sums, span_hash, steps, text_buffers, tidy
+from .common import U64, mix, prefix_sums, span_hash, steps, text_buffers, tidy, word_values
 
 LEAKS = "doc_id long, item_id long, item_tokens long, n_tiles long, covered long, coverage double"
 WORD = np.zeros(256, bool)
@@ -38,8 +38,7 @@ def token_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     start[1:] &= ~solid[:-1] | edge[1:-1]
     end[:-1] &= ~solid[1:] | edge[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    values = mix(span_hash(prefix_sums(BYTE_VALUES[data]), s, e) + (e - s).astype(U64))
-    return values, np.searchsorted(s, offsets)
+    return word_values(data, s, e), np.searchsorted(s, offsets)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -4,11 +4,13 @@ The index is a folder of immutable runs and a manifest that names them. A run ho
 phrases (trigger fingerprint ``p``, phrase hash ``u``, first place) of the documents of
 one batch, one row for each distinct phrase, bucketed and sorted by ``p`` and ``u``. A new
 batch is dealt and sorted once, which makes its run; that is merge-joined with each older
-run in their common order, so history is never shuffled. What only looks alike is
-verified window by window, by 128-bit digests of the words, read from the texts. Beyond
-``fanout`` runs the two smallest neighbours are merged, again in their order.
+run in their common order, so runs are never shuffled again. What only looks alike is
+verified window by window, by 128-bit digests of the words, read from the texts. A run is
+merged with the one before it, in their order, unless that has over ``RATIO`` times its rows: runs shrink
+geometrically from the oldest on, and a row is written again O(log n) times.
 
-A phrase is taken as repeated if trigger and phrase hash, 128 bits together, are equal.
+A phrase is taken as repeated if its trigger's value and the xxh3 of all its words are
+equal, 128 bits together, neither of which is linear in the words' letters.
 
 Defined results: a null text has no words; a row with a null doc_id is returned
 untouched and is not history for others; rows that repeat a doc_id count as one
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import delete, drop_shuffles, materialize, new_folder
 from .windows import covered, phrase_table, repeated_windows, strip_rows, unclear, window_rows
 
-#: Runs beyond which two are merged into one.
-FANOUT = 1
+#: How many times the rows of a new run the one before it may have and be merged with it.
+RATIO = 2
 #: Ranges of doc_id in which a table is added to an index; enough to merge runs.
 BATCHES = 3
 RUN = "p BIGINT, u BIGINT, doc_id BIGINT, at BIGINT, own BOOLEAN, many BOOLEAN"
@@ -62,10 +64,11 @@ class FingerprintIndex:
     ``folder`` is on storage that driver and executors share. If it holds a manifest the
     index goes on from there, in this session or another; without ``folder`` the index
     lives in the scratch folder and goes with the session. Runs that a new manifest no
-    longer names are deleted, so an index is open in one session at a time.
+    longer names are deleted, so an index is open in one session at a time. ``fanout``
+    instead merges neighbours of the fewest rows until so many runs are left.
     """
 
-    def __init__(self, spark: SparkSession, window: int = 20, k: int = 5, fanout: int = FANOUT, folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, window: int = 20, k: int = 5, fanout: int | None = None, folder: str | None = None) -> None:
         self.spark, self.fanout = spark, fanout
         self.folder = folder or new_folder(spark)
         self._path = spark._jvm.org.apache.hadoop.fs.Path
@@ -155,8 +158,8 @@ class FingerprintIndex:
         if keep:
             self.runs.append((name, self.run(name).count()))
             merged_away = []
-            while len(self.runs) > self.fanout:
-                merged_away += self.compact()
+            while (i := self.to_merge()) is not None:
+                merged_away += self.compact(i)
             self._commit()
             for old in merged_away:
                 self._drop(old)
@@ -165,9 +168,15 @@ class FingerprintIndex:
         drop_shuffles(self.spark)
         return found
 
-    def compact(self) -> tuple[str, str]:
-        """Merge the two neighbouring runs of the fewest rows into one, in their order; their names."""
-        i = min(range(len(self.runs) - 1), key=lambda n: self.runs[n][1] + self.runs[n + 1][1])
+    def to_merge(self) -> int | None:
+        """The run to be merged with the next one, if any is."""
+        sizes = [n for _, n in self.runs]
+        if self.fanout is None:
+            return len(sizes) - 2 if len(sizes) > 1 and sizes[-2] <= RATIO * sizes[-1] else None
+        return min(range(len(sizes) - 1), key=lambda i: sizes[i] + sizes[i + 1]) if len(sizes) > self.fanout else None
+
+    def compact(self, i: int) -> tuple[str, str]:
+        """Merge run ``i`` and the next one into one, in their order; their names."""
         (one, _), (two, _) = self.runs[i : i + 2]
         with merge_join_settings(self.spark):
             left, right = (self.run(x).select("p", "u", F.struct("doc_id", "at").alias(f"key_{n}"), F.col("own").alias(f"own_{n}")) for n, x in enumerate((one, two)))
@@ -200,7 +209,7 @@ def _strip(window: int):
     return strip
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 5, batches: int = BATCHES, fanout: int = FANOUT, folder: str | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 5, batches: int = BATCHES, fanout: int | None = None, folder: str | None = None) -> DataFrame:
     """Columns of ``docs`` but text, with n_words, n_removed and kept_text.
 
     A word goes if a window of ``window`` words covers it that also starts earlier:

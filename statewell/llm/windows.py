@@ -30,8 +30,12 @@ WINDOWS = "doc_id long, at long, h1 long, h2 long"
 SHIFT, LOW = 7, 127
 
 
-def phrases(values: np.ndarray, offsets: np.ndarray, window: int, k: int):
-    """Row, packed place, trigger hash, phrase hash of each phrase, and whether it may repeat itself."""
+def phrases(units: np.ndarray, offsets: np.ndarray, window: int, k: int):
+    """Row, packed place, trigger hash, phrase hash of each phrase, and whether it may repeat itself.
+
+    ``units`` are bytes or 64-bit values of words. The phrase hash is xxh3 of all its units.
+    """
+    values = BYTE_VALUES[units] if units.dtype == np.uint8 else units
     n, wide = len(values), window - k + 1
     whole = np.flatnonzero(np.diff(offsets) >= window)
     if not len(whole):
@@ -60,7 +64,8 @@ def phrases(values: np.ndarray, offsets: np.ndarray, window: int, k: int):
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(starts)] - 1
     lo, hi = starts[first], starts[last]
-    u = mix(span_hash(sums, lo, hi + window) + (hi - lo).astype(U64) * U64(0x9FB21C651E98DF25))
+    raw, size = memoryview(np.ascontiguousarray(units)).cast("B"), units.itemsize
+    u = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((lo * size).tolist(), ((hi + window) * size).tolist())), U64, len(lo))
     row = np.searchsorted(offsets, lo, "right") - 1
     return row, (lo - offsets[row]) << SHIFT | (hi - lo), trigger[first].view(np.int64), u.view(np.int64), place[first] != place[last]
 
@@ -73,8 +78,7 @@ def long_text_phrases(data: np.ndarray, unit: str, window: int, k: int, size: in
     units = long_text_words(data) if unit == "word" else data
     for lo in range(0, max(len(units) - window + 1, 0), size):
         part = units[lo : lo + size + window - 1]
-        values = part if unit == "word" else BYTE_VALUES[part]
-        _, at, p, u, own = phrases(values, np.array([0, len(part)]), window, k)
+        _, at, p, u, own = phrases(part, np.array([0, len(part)]), window, k)
         yield at + (lo << SHIFT), p, u, own
 
 
@@ -120,10 +124,8 @@ def phrase_table(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
                     continue
                 if unit == "word":
                     s, e, _ = words_of(part, off)
-                    values, off = word_values(part, s, e), np.searchsorted(s, off)
-                else:
-                    values = BYTE_VALUES[part]
-                row, at, p, u, own = phrases(values, off, window, k)
+                    part, off = word_values(part, s, e), np.searchsorted(s, off)
+                row, at, p, u, own = phrases(part, off, window, k)
                 found.append((ids[i:j][row], at, p, u, own))
             if found:
                 yield rows(*(np.concatenate(x) for x in zip(*found)))

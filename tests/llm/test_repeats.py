@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from statewell.llm.common import word_values, words_of
 from statewell.llm.queries import op1_substring_dedup, op5_suffix_dedup
 from statewell.llm.substring_dedup import FingerprintIndex, dedup_substrings, merge_join_settings
 from statewell.llm.suffix_dedup import dedup_bytes
@@ -156,3 +157,45 @@ def test_clashing_columns_pass(spark, dedup):
     df = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 4, 5, 6)], "doc_id long, text string, __id long, __TEXT long, __spans long")
     got = sorted(tuple(r)[:4] + (r.n_removed > 0,) for r in dedup(df).collect())
     assert got == [(1, 1, 2, 3, False), (2, 4, 5, 6, True)]
+
+
+def thue_morse(n: int, a: str = "a", b: str = "b") -> str:
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_of_two_letters_in_a_pattern_are_told_apart(spark):
+    """Polynomials modulo 2**64 give a Thue-Morse word and its complement one value, whatever their base."""
+    n = 1 << 11
+    one, other = thue_morse(n), thue_morse(n, "b", "a")
+    rest = [f"v{i}" for i in range(19)]
+    docs = [(1, " ".join([*rest, one])), (2, " ".join([*rest, other])), (3, " ".join([*rest, one]))]
+    # the same pattern of two words, and short words of the letters
+    docs += [(4, " ".join(thue_morse(n))), (5, " ".join(thue_morse(n, "b", "a"))), (6, " ".join(thue_morse(32) + x for x in "pq") + " " + " ".join(rest))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(df).collect()}
+    assert got == words_result(docs, 20) and got[2][1] == 0 and got[3][1] == 20
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup_bytes(df).collect()}
+    assert got == bytes_result(docs, 100)
+
+
+@pytest.mark.parametrize("size", [1, 8, 9, 64, 65, 128, 1024])
+def test_values_of_words(size):
+    words = [thue_morse(size), thue_morse(size, "b", "a"), "a" * size, "a" * (size - 1) + "b", "b" + "a" * (size - 1)]
+    raw = " ".join(words + words).encode()
+    data = np.frombuffer(raw, np.uint8)
+    s, e, _ = words_of(data, np.array([0, len(data)]))
+    values = word_values(data, s, e).tolist()
+    assert values[: len(words)] == values[len(words) :]
+    assert len(set(values)) == len(set(words))
+
+
+def test_runs_shrink_geometrically(spark, tmp_path):
+    rows = [(i, " ".join(f"v{i}_{j}" for j in range(60))) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = FingerprintIndex(spark, folder=f"file://{tmp_path}/index")
+    for i in range(9):
+        assert index.add(df.where(f"doc_id = {i}"), df).count() == 0
+    sizes = [n for _, n in index.runs]
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) <= 4
+    again = spark.createDataFrame([(20, rows[0][1]), (21, rows[8][1]), (22, "new " * 3)], df.schema)
+    assert {r.doc_id for r in index.add(again, df.unionByName(again)).collect()} == {20, 21}
