@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import running
 from ..functions.posterior import dot
 from ..functions.rolling import order, rolling
+from ..functions.tables import stored
 
 
 def weighted_moments(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
@@ -44,31 +48,88 @@ def state_correlation(df: DataFrame, x: str, y: str, method: str = "pearson") ->
     """Weighted correlation of two columns by state."""
     rows = weighted_rows(df, x, y)
     if method == "spearman":
-        whole = Window.partitionBy("series", "k")
-
-        def rank(name: str) -> Column:
-            up = whole.orderBy(name, "t").rowsBetween(Window.unboundedPreceding, 0)
-            return (F.sum("w").over(up) - F.col("w") / 2) / F.sum("w").over(whole)
-
-        rows = rows.withColumn("rx", rank(x)).withColumn("ry", rank(y)).select("series", "t", "k", "w", F.col("rx").alias(x), F.col("ry").alias(y))
+        rows = running(rows, ["series", "k"], [x, "t"], {"rx": F.col("w")})
+        rows = running(rows, ["series", "k"], [y, "t"], {"ry": F.col("w")})
+        rank = lambda r: (F.col(r) - F.col("w") / 2) / F.col(f"all_{r}")
+        rows = rows.select("series", "t", "k", "w", rank("rx").alias(x), rank("ry").alias(y))
     return correlation(weighted_moments(rows, x, y, ["series", "k"])).select("series", F.col("k").alias("state"), "eff_n", "corr")
 
 
-def kendall(df: DataFrame, x: str, y: str, bucket: int = 256) -> DataFrame:
-    """Weighted Kendall concordance of each state: all pairs of bars of a series, a block at a time.
+def concordant(rank: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of w_i * w_j over pairs i < j with rank[i] < rank[j], for each column of ``w``.
 
-    The pairs are the statistic itself. Bars are numbered and dealt in blocks; a task has
-    one pair of blocks, so no task holds a series.
+    Sorted halves are merged, all of one width at once: a row of a right half meets the
+    running weight of the left rows that rank below it.
+    """
+    n, at, out, width = len(rank), np.arange(len(rank)), np.zeros(w.shape[1]), 1
+    while width < n:
+        pair = at // (2 * width)
+        order = np.lexsort((rank, pair))
+        left = (at[order] // width % 2 == 0)[:, None]
+        below = np.cumsum(np.where(left, w[order], 0.0), 0)
+        head = np.flatnonzero(np.r_[True, np.diff(pair[order]) > 0])
+        base = np.vstack([np.zeros(w.shape[1]), below])[head]
+        below -= np.repeat(base, np.diff(np.r_[head, n]), 0)
+        out += np.where(left, 0.0, w[order] * below).sum(0)
+        width *= 2
+    return out
+
+
+def kendall(df: DataFrame, x: str, y: str, least: int = 4096) -> DataFrame:
+    """Weighted Kendall concordance of each state: sum of w_i w_j sign(dx) sign(dy) over sum of w_i w_j, over all pairs of bars.
+
+    No pair is made. Bars get strict ranks in x (ties by y, then t) and in y (ties by x,
+    then t), in which every tied pair counts as concordant, so what ties add is known from
+    sums over equal values. Ranks are cut in blocks of at least ``least`` bars, about the cube root of the bars
+    many. Concordant pairs within a block of x, and within a block of y, are counted by merging
+    sorted halves in one task each; those that differ in both blocks come from the
+    grid of summed weights.
     """
-    n = F.row_number().over(Window.partitionBy("series").orderBy("t")) - 1
-    a = df.select("series", n.alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), "posterior").withColumn("block", F.floor(F.col("i") / bucket))
-    blocks = a.groupBy("series").agg((F.max("block") + 1).alias("blocks"))
-    left = a.join(blocks, "series").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).drop("blocks")
-    b = a.select("series", F.col("block").alias("other"), F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("posterior").alias("p2"))
-    pairs = left.join(b, ["series", "other"]).where("i < j")
-    sign = F.signum(F.col("x") - F.col("x2")) * F.signum(F.col("y") - F.col("y2"))
-    long = pairs.select("series", sign.alias("s"), F.posexplode(F.zip_with("posterior", "p2", lambda u, v: u * v)).alias("state", "w"))
-    return long.groupBy("series", "state").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("tau"))
+    columns = ["series", "t", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), "posterior"]
+    a = running(df.select(*columns), ["series"], ["x", "y", "t"], {"rx": F.lit(1)})
+    a = running(a, ["series"], ["y", "x", "t"], {"ry": F.lit(1)})
+    size = F.greatest(F.lit(least), F.ceil(F.col("all_rx") / F.ceil(F.cbrt("all_rx")))).cast("long")
+    block = lambda r: F.floor((F.col(r) - 1) / size).alias(r.replace("r", "b"))
+    rows = stored(a.select("series", "x", "y", "posterior", "rx", "ry", block("rx"), block("ry")))
+    long = rows.select("series", "x", "y", "bx", "by", F.posexplode("posterior").alias("state", "w"))
+    kind = "series string, state int, c double"
+
+    def counted(series: str, sums: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"series": series, "state": range(len(sums)), "c": sums})
+
+    def in_x(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rx")
+        return counted(g["series"].iloc[0], concordant(g["ry"].to_numpy(), np.array(g["posterior"].tolist())))
+
+    def in_y(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rx")
+        w = np.array(g["posterior"].tolist())
+        both = concordant(g["ry"].to_numpy(), w)
+        for at in g.groupby("bx").indices.values():  # counted within a block of x
+            both = both - concordant(g["ry"].to_numpy()[at], w[at])
+        return counted(g["series"].iloc[0], both)
+
+    def grid(g: pd.DataFrame) -> pd.DataFrame:
+        w = np.zeros((g["bx"].max() + 1, g["by"].max() + 1))
+        w[g["bx"], g["by"]] = g["w"]
+        below = np.zeros_like(w)
+        below[1:, 1:] = w.cumsum(0).cumsum(1)[:-1, :-1]
+        return pd.DataFrame({"series": g["series"].iloc[:1], "state": g["state"].iloc[:1], "c": [(w * below).sum()]})
+
+    cells = long.groupBy("series", "state", "bx", "by").agg(F.sum("w").alias("w"))
+    counts = rows.groupBy("series", "bx").applyInPandas(in_x, kind).unionByName(rows.groupBy("series", "by").applyInPandas(in_y, kind)).unionByName(cells.groupBy("series", "state").applyInPandas(grid, kind))
+    counts = counts.groupBy("series", "state").agg(F.sum("c").alias("c"))
+
+    def pairs_of(*by: str) -> DataFrame:
+        """Sum of w_i w_j over pairs with equal values of ``by``."""
+        name = f"p_{'_'.join(by)}"
+        groups = long.groupBy("series", "state", *by).agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+        return groups.groupBy("series", "state").agg((F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias(name))
+
+    for p in (pairs_of(), pairs_of("x"), pairs_of("y"), pairs_of("x", "y")):
+        counts = counts.join(p, ["series", "state"])
+    tied = F.col("p_x") + F.col("p_y") - F.col("p_x_y")
+    return counts.select("series", "state", F.try_divide(2 * F.col("c") - F.col("p_") - tied, F.col("p_")).alias("tau"))
 
 
 def blended_correlation(df: DataFrame, by_state: DataFrame) -> DataFrame:
@@ -84,10 +145,10 @@ def breakdown(df: DataFrame, column: str = "dcc", window: int = 20) -> DataFrame
 
 def tail_dependence(df: DataFrame, x: str, y: str, q: float = 0.1) -> DataFrame:
     """Weighted share of bars with both columns in a tail among those with ``y`` in it, by state."""
-    n = F.count("*").over(Window.partitionBy("series"))
-    u = F.row_number().over(Window.partitionBy("series").orderBy(x, "t")) / (n + 1)
-    v = F.row_number().over(Window.partitionBy("series").orderBy(y, "t")) / (n + 1)
-    rows = df.withColumn("u", u).withColumn("v", v).select("series", "u", "v", F.posexplode("posterior").alias("state", "w"))
+    ranked = running(df.select("series", "t", x, y, "posterior"), ["series"], [x, "t"], {"u": F.lit(1)})
+    ranked = running(ranked, ["series"], [y, "t"], {"v": F.lit(1)})
+    share_of = lambda r: (F.col(r) / (F.col(f"all_{r}") + 1)).alias(r)
+    rows = ranked.select("series", share_of("u"), share_of("v"), F.posexplode("posterior").alias("state", "w"))
 
     def share(a: Column, b: Column) -> Column:
         return F.sum(F.when(a & b, F.col("w")).otherwise(0.0)) / F.greatest(F.sum(F.when(b, F.col("w")).otherwise(0.0)), F.lit(1e-15))

@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import moments
 from . import recursions as rec
 
+#: Bars of a series beyond which fits and decoding run over its blocks, and bars that a fit then starts from.
+PACKED_BARS, START_BARS = 200_000, 20_000
 FLOOR = 1e-4
 DOF_LOW, DOF_HIGH, DOF_START = 2.001, 200.0, 5.0
 
@@ -42,14 +45,28 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50) ->
     return label
 
 
-def spectral_labels(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+def spectral_labels(x: np.ndarray, k: int, rng: np.random.Generator, lagged: np.ndarray | None = None) -> np.ndarray:
     """k-means on the leading left singular directions of the lag-one cross products; on ``x`` itself if k > d."""
     if k > x.shape[1]:
         return kmeans(x, k, rng)
-    u, _, _ = np.linalg.svd(x[:-1].T @ x[1:] / (len(x) - 1))
+    u, _, _ = np.linalg.svd(x[:-1].T @ x[1:] / (len(x) - 1) if lagged is None else lagged)
     return kmeans(x @ u[:, :k], k, rng)
 
 
+def tensor_labels(x: np.ndarray, k: int, rng: np.random.Generator, mean: np.ndarray, sums: tuple[np.ndarray, np.ndarray, int] | None = None) -> np.ndarray:
+    """The nearest of the means that lagged moments hold; ``mean`` is that of features scaled by their deviations.
+
+    Spectral labels if k > d, with fewer than 10 d^2 bars, or if the moments hold fewer
+    than k components. ``sums`` are the moments and bars of a longer series ``x`` was taken from.
+    """
+    d = x.shape[1]
+    m2, m3, bars = sums or (*moments.numpy_moments(x + mean), len(x))
+    found = moments.tensor_means(m2, m3, k, rng) if k <= d and bars >= 10 * d * d else None
+    if found is None:
+        return spectral_labels(x, k, rng)
+    return ((x[:, None] - (found - mean)) ** 2).sum(2).argmin(1)
+
+
 def n_parameters(k: int, d: int, covariance: str = "full", emission: str = "gaussian") -> int:
     cov = {"full": k * d * (d + 1) // 2, "diag": k * d, "tied": d * (d + 1) // 2, "spherical": k}[covariance]
     return k * (k - 1) + k - 1 + k * d + cov + (k if emission == "student_t" else 0)
@@ -106,9 +123,18 @@ def update_dof(c: float) -> float:
     return (lo + hi) / 2
 
 
-def first_guess(x: np.ndarray, k: int, seed: int, covariance: str, emission: str, init: str) -> dict:
+def next_dofs(dofs: np.ndarray, level: np.ndarray, d: int) -> np.ndarray:
+    """Degrees of freedom from the states' means of ln u - u."""
+    return np.array([update_dof(float(c) + digamma((v + d) / 2) - math.log((v + d) / 2)) for c, v in zip(level, dofs)])
+
+
+def first_guess(x: np.ndarray, k: int, seed: int, covariance: str, emission: str, init: str, mean: np.ndarray | None = None, sums: tuple | None = None) -> dict:
+    """A model to start from, of scaled data; ``mean`` and ``sums`` are for init "tensor"."""
     rng = np.random.default_rng(seed)
-    label = {"kmeans": kmeans, "spectral": spectral_labels}[init](x, k, rng)
+    if init == "tensor":
+        label = tensor_labels(x, k, rng, np.zeros(x.shape[1]) if mean is None else mean, sums)
+    else:
+        label = {"kmeans": kmeans, "spectral": spectral_labels}[init](x, k, rng)
     weight = np.array([(label == i).sum() for i in range(k)], float)
     means = np.array([x[label == i].mean(0) if weight[i] else x.mean(0) for i in range(k)])
     whole = np.atleast_2d(np.cov(x.T))
@@ -162,16 +188,15 @@ def improve(model: dict, x: np.ndarray, maha: np.ndarray, gamma: np.ndarray, mov
     covs = np.array([((x - m) * w[:, [i]]).T @ (x - m) / n[i] for i, m in enumerate(means)])
     model |= {"start": first / first.sum(), "trans": moves / moves.sum(1, keepdims=True), "means": means, "covs": reduce_covariance(covs, n, covariance)}
     if dofs is not None:
-        level = (gamma * (np.log(u) - u)).sum(0) / n
-        model["dofs"] = np.array([update_dof(float(c) + digamma((v + d) / 2) - math.log((v + d) / 2)) for c, v in zip(level, dofs)])
+        model["dofs"] = next_dofs(dofs, (gamma * (np.log(u) - u)).sum(0) / n, d)
 
 
-def fit_many(x: np.ndarray, k: int, seeds: list[int], covariance: str = "full", emission: str = "gaussian", init: str = "kmeans", n_iter: int = 200, tol: float = 1e-4) -> list[dict]:
+def fit_many(x: np.ndarray, k: int, seeds: list[int], covariance: str = "full", emission: str = "gaussian", init: str = "kmeans", n_iter: int = 200, tol: float = 1e-4, mean: np.ndarray | None = None) -> list[dict]:
     """A fit of scaled data for each seed, side by side: parameters, log likelihood, its history.
 
     A fit leaves once it has converged or failed; failed ones are not returned.
     """
-    done, live = [], [first_guess(x, k, s, covariance, emission, init) for s in seeds]
+    done, live = [], [first_guess(x, k, s, covariance, emission, init, mean) for s in seeds]
     for _ in range(n_iter):
         ready = []
         for m in live:
@@ -237,19 +262,26 @@ def decode(model: dict, x: np.ndarray) -> dict[str, np.ndarray]:
     return {"state": rec.viterbi(log_b, model["start"], model["trans"]), "smoothed": rec.smooth(log_b, model["start"], model["trans"]), "filtered": rec.online_filter(log_b, model["start"], model["trans"])}
 
 
-def train(df: DataFrame, features: list[str], counts: list[int], restarts: int = 10, seed: int = 42, criterion: str = "bic", **options) -> DataFrame:
+def long_series(df: DataFrame, bars: int) -> DataFrame:
+    return df.groupBy("series").count().where(F.col("count") > bars).select("series")
+
+
+def train(df: DataFrame, features: list[str], counts: list[int], restarts: int = 10, seed: int = 42, criterion: str = "bic", packed_bars: int = PACKED_BARS, **options) -> DataFrame:
     """The best fit of every series and state count: series, k, log_likelihood, aic, bic, n_params, converged, model (JSON), chosen.
 
     ``chosen`` marks each series' least criterion; of ties the smallest count. A failed
-    restart is no candidate. A series is packed into one row, which goes to a task for
-    each count; its restarts are fitted there side by side.
+    restart is no candidate. A series of up to ``packed_bars`` bars is packed into one row,
+    which goes to a task for each count; its restarts are fitted there side by side. The rounds
+    of a longer one are Spark jobs over its blocks (``scan.fit_long``).
     """
     if criterion not in ("aic", "bic"):
         raise ValueError(f"criterion is aic or bic, not {criterion!r}")
     if not counts or min(counts) < 2:
         raise ValueError("state counts start at 2")
     bar = F.struct("t", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    packed = df.groupBy("series").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    long = long_series(df, packed_bars)
+    any_long = not long.isEmpty()
+    packed = (df.join(long, "series", "left_anti") if any_long else df).groupBy("series").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
     jobs = packed.select("series", F.col("bars.x").alias("x"), F.explode(F.array(*[F.lit(k) for k in counts])).alias("k"))
     names = ["series", "k", "log_likelihood", "converged", "model", "n", "finite_restarts", "converged_restarts"]
 
@@ -258,7 +290,7 @@ def train(df: DataFrame, features: list[str], counts: list[int], restarts: int =
             rows = []
             for series, bars, k in jobs.itertuples(index=False):
                 x, mean, sd = standardise(np.array([v.tolist() for v in bars], float))
-                fits = fit_many(x, int(k), [seed + i for i in range(restarts)], **options) if len(x) > 1 else []
+                fits = fit_many(x, int(k), [seed + i for i in range(restarts)], mean=mean / sd, **options) if len(x) > 1 else []
                 if fits:
                     best = max(fits, key=lambda m: m["log_likelihood"])
                     model = to_json(best | {"mean": mean, "sd": sd, "features": features})
@@ -267,6 +299,10 @@ def train(df: DataFrame, features: list[str], counts: list[int], restarts: int =
 
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     fits = jobs.repartition(tasks, "series", "k").mapInPandas(run, "series string, k int, log_likelihood double, converged boolean, model string, n long, finite_restarts long, converged_restarts long")
+    if any_long:
+        from .scan import fit_long
+
+        fits = fits.unionByName(fit_long(df.join(long, "series", "left_semi"), features, counts, restarts, seed, **options))
     params = F.create_map(*[x for k in counts for x in (F.lit(k), F.lit(n_parameters(k, len(features), options.get("covariance", "full"), options.get("emission", "gaussian"))))])
     rows = fits.withColumn("n_params", params[F.col("k")])
     rows = rows.withColumn("aic", 2 * F.col("n_params") - 2 * F.col("log_likelihood")).withColumn("bic", F.col("n_params") * F.ln("n") - 2 * F.col("log_likelihood"))
@@ -274,9 +310,16 @@ def train(df: DataFrame, features: list[str], counts: list[int], restarts: int =
     return rows.withColumn("chosen", F.col("k") == least["k"])
 
 
-def apply_models(df: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
-    """series, t, state, smoothed and filtered of each series under its chosen model."""
+def apply_models(df: DataFrame, models: DataFrame, features: list[str], packed_bars: int = PACKED_BARS) -> DataFrame:
+    """series, t, state, smoothed and filtered of each series under its chosen model; longer ones by blocks."""
     chosen = models.where("chosen").select("series", "model")
+    long, blocks = long_series(df, packed_bars), None
+    if not long.isEmpty():
+        from .scan import block_rows, decode
+
+        rows = block_rows(df.join(long, "series", "left_semi"), features)
+        blocks = decode(rows, chosen.join(long, "series", "left_semi").withColumn("id", F.lit(""))).drop("id")
+        df = df.join(long, "series", "left_anti")
 
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t", kind="stable")
@@ -285,7 +328,8 @@ def apply_models(df: DataFrame, models: DataFrame, features: list[str]) -> DataF
         out = decode(from_json(model["model"].iloc[0]), rows[features].to_numpy(float))
         return pd.DataFrame({"series": rows["series"], "t": rows["t"], "state": out["state"], "smoothed": out["smoothed"].tolist(), "filtered": out["filtered"].tolist()})
 
-    return df.select("series", "t", *features).groupBy("series").cogroup(chosen.groupBy("series")).applyInPandas(run, "series string, t long, state int, smoothed array<double>, filtered array<double>")
+    out = df.select("series", "t", *features).groupBy("series").cogroup(chosen.groupBy("series")).applyInPandas(run, "series string, t long, state int, smoothed array<double>, filtered array<double>")
+    return out if blocks is None else out.unionByName(blocks)
 
 
 def align(reference: np.ndarray, other: np.ndarray) -> tuple[int, ...]:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import crossing
 from ..functions.posterior import argmax, dot
 from ..functions.rolling import order, so_far
 from .states import run_drawdown
@@ -177,11 +178,13 @@ def exploded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def weighted_quantile(rows: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
-    """The first value at which the summed weight w reaches ``q`` of all, by ``keys``; no row for keys without weight."""
-    up = Window.partitionBy(*keys).orderBy(value, "t").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    ranked = rows.withColumn("share", F.try_divide(F.sum("w").over(up), F.sum("w").over(whole))).where(F.col("share") >= q)
-    return ranked.groupBy(*keys).agg(F.min(value).alias("quantile"))
+    """The first value at which the summed weight w reaches ``q`` of all, by ``keys``; no row for keys without weight.
+
+    Rows are dealt by ranges of value; only the range that crosses is summed row by row.
+    """
+    rows = rows.select(*keys, "t", value, "w")
+    met = crossing(rows, keys, [value, "t"], F.col("w"), lambda upto, whole: F.try_divide(upto, whole) >= q)
+    return met.groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
 def weighted_risk(df: DataFrame, ret: str = "ret", confidence: float = 0.95, ann: float = HOURS, mar: float = 0.0, least: float = 20) -> DataFrame:
@@ -228,9 +231,8 @@ def divergence(risk: DataFrame, metrics: tuple[str, ...] = ("mean_ann", "vol_ann
 
 def empirical_tails(rows: DataFrame, confidence: float, keys: list[str]) -> DataFrame:
     """var, the loss that weight 1 - ``confidence`` reaches from the largest down, and es, the weighted mean from there on."""
-    down = Window.partitionBy(*keys).orderBy(F.col("loss").desc(), "t").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("upto", F.sum("w").over(down)).withColumn("all", F.sum("w").over(Window.partitionBy(*keys)))
-    var = ranked.where(F.col("upto") >= (1 - confidence) * F.col("all") - 1e-12).groupBy(*keys).agg(F.max("loss").alias("var_emp"))
+    met = crossing(rows.select(*keys, "t", "loss", "w"), keys, [F.col("loss").desc(), "t"], F.col("w"), lambda upto, whole: upto >= (1 - confidence) * whole - 1e-12)
+    var = met.groupBy(*keys).agg(F.max("loss").alias("var_emp"))
     beyond = rows.join(var, keys).where("loss >= var_emp")
     es = beyond.groupBy(*keys).agg((F.sum(F.col("w") * F.col("loss")) / (F.sum("w") + 1e-15)).alias("es_emp"))
     return var.join(es, keys)

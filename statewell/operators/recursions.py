@@ -27,10 +27,11 @@ def online_filter(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray, carry
     return np.exp(out)
 
 
-def forward(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def forward(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray, carry: np.ndarray | None = None) -> np.ndarray:
+    """Log weights of all paths so far. ``carry`` is that of the bar before the first, if there is one."""
     with np.errstate(divide="ignore"):
         log_a, alpha = np.log(trans), np.empty_like(log_b)
-        alpha[0] = np.log(start) + log_b[0]
+        alpha[0] = log_b[0] + (np.log(start) if carry is None else logsumexp(carry[:, None] + log_a, 0))
     for i in range(1, len(log_b)):
         alpha[i] = log_b[i] + logsumexp(alpha[i - 1][:, None] + log_a, 0)
     return alpha
@@ -40,10 +41,12 @@ def log_likelihood(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> f
     return float(logsumexp(forward(log_b, start, trans)[-1]))
 
 
-def backward(log_b: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def backward(log_b: np.ndarray, trans: np.ndarray, after: np.ndarray | float = 0.0) -> np.ndarray:
+    """Log weights of all paths from here on; ``after`` is that of the last bar."""
     with np.errstate(divide="ignore"):
         log_a = np.log(trans)
     beta = np.zeros_like(log_b)
+    beta[-1] = after
     for i in range(len(log_b) - 2, -1, -1):
         beta[i] = logsumexp(log_a + log_b[i + 1] + beta[i + 1], 1)
     return beta
@@ -54,16 +57,18 @@ def smooth(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarra
     return np.exp(g - logsumexp(g, 1)[:, None])
 
 
-def viterbi(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def viterbi(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray, carry: np.ndarray | None = None, last: int | None = None) -> np.ndarray:
+    """The likeliest path. ``carry``: weights of the bar before the first; ``last``: the state to end in."""
     with np.errstate(divide="ignore"):
-        log_a, v = np.log(trans), np.log(start) + log_b[0]
+        log_a = np.log(trans)
+        v = log_b[0] + (np.log(start) if carry is None else (carry[:, None] + log_a).max(0))
     back = np.zeros(log_b.shape, int)
     for i in range(1, len(log_b)):
         step = v[:, None] + log_a
         back[i] = step.argmax(0)
         v = step.max(0) + log_b[i]
     path = np.empty(len(log_b), int)
-    path[-1] = v.argmax()
+    path[-1] = v.argmax() if last is None else last
     for i in range(len(log_b) - 1, 0, -1):
         path[i - 1] = back[i, path[i]]
     return path

@@ -72,7 +72,7 @@ def load(path: str | Path) -> Config:
         raise ValueError("candidate_states start at 2")
     _one_of("covariance_type", config.model.covariance_type, ("full", "diag", "tied", "spherical"))
     _one_of("emission_dist", config.model.emission_dist, ("gaussian", "student_t"))
-    _one_of("init_strategy", config.model.init_strategy, ("kmeans", "spectral"))
+    _one_of("init_strategy", config.model.init_strategy, ("kmeans", "spectral", "tensor"))
     _one_of("criterion", config.criterion, ("aic", "bic"))
     _one_of("walk_forward_recalibration", config.evaluation.walk_forward_recalibration, ("monthly",))
     days(config.evaluation.walk_forward_train_window)

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fold import fold
-from ..operators import dense, hmm, semi_markov
+from ..operators import dense, hmm, scan, semi_markov
 from ..operators import dependence as dep
 from ..operators import performance as perf
 from ..operators import portfolio as pf
 from ..operators import recursions as rec
 from ..operators import states as st
 from .base import STATES, query, r, rounded, states
-from .queries_core import _LOGB, _RISK, START, TRANS, _density, _lse
+from .queries_core import _LOGB, _RISK, START, TRANS, _lse, fixed_scan
 from .queries_more import _CORR, _DD, _M, _N, _W, _X, _Y, PANEL, panel
 
 Spark = SparkSession
@@ -68,23 +68,37 @@ UNION ALL SELECT b.series, b.n, b.t, {", ".join(f"b{k} + " + _lse([f"a{j} - grea
 SELECT series, {r("ln(exp(a0 - greatest(a0, a1, a2)) + exp(a1 - greatest(a0, a1, a2)) + exp(a2 - greatest(a0, a1, a2))) + greatest(a0, a1, a2)")} AS log_likelihood FROM l""")
 def log_likelihood(spark: Spark, sf: str) -> DataFrame:
     """Of each series under the fixed model."""
-    import pandas as pd
+    return rounded(scan.log_likelihood(*fixed_scan(spark, sf)).drop("id"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("t", kind="stable")["log_return"].to_numpy(float)
-        return pd.DataFrame({"series": g["series"].iloc[:1], "log_likelihood": [rec.log_likelihood(_density(x), START, TRANS)]})
 
-    return rounded(states(spark, sf).select("series", "t", "log_return").groupBy("series").applyInPandas(run, "series string, log_likelihood double"))
+_SMOOTH = _FORWARD + f""", bw AS (SELECT ob.series, ob.n, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1, 0.0::DOUBLE AS e2 FROM ob JOIN (SELECT series, max(n) AS n FROM ob GROUP BY 1) USING (series, n)
+UNION ALL SELECT series, n, x0 - top, x1 - top, x2 - top FROM (SELECT *, greatest(x0, x1, x2) AS top FROM (SELECT bw.series, bw.n - 1 AS n, {", ".join(_lse([f"ln({TRANS[j, k]}) + b{k} + e{k}" for k in range(3)]) + f" AS x{j}" for j in range(3))} FROM bw JOIN ob ON ob.series = bw.series AND ob.n = bw.n WHERE bw.n > 1))),
+gm AS (SELECT fw.series, fw.t, fw.n, {", ".join(f"exp(a{k} + e{k} - greatest(a0 + e0, a1 + e1, a2 + e2)) AS g{k}" for k in range(3))} FROM fw JOIN bw ON fw.series = bw.series AND fw.n = bw.n)"""
 
 
-@query(_FORWARD + f""", bw AS (SELECT ob.series, ob.n, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1, 0.0::DOUBLE AS e2 FROM ob JOIN (SELECT series, max(n) AS n FROM ob GROUP BY 1) USING (series, n)
-UNION ALL SELECT series, n, x0 - top, x1 - top, x2 - top FROM (SELECT *, greatest(x0, x1, x2) AS top FROM (SELECT bw.series, bw.n - 1 AS n, {", ".join(_lse([f"ln({TRANS[j, k]}) + b{k} + e{k}" for k in range(3)]) + f" AS x{j}" for j in range(3))} FROM bw JOIN ob ON ob.series = bw.series AND ob.n = bw.n WHERE bw.n > 1))),
-gm AS (SELECT fw.series, fw.t, {", ".join(f"exp(a{k} + e{k} - greatest(a0 + e0, a1 + e1, a2 + e2)) AS g{k}" for k in range(3))} FROM fw JOIN bw ON fw.series = bw.series AND fw.n = bw.n)
-SELECT series, t, {", ".join(r(f"g{k} / (g0 + g1 + g2)") + f" AS s{k}" for k in range(3))} FROM gm""")
+@query(_SMOOTH + f""" SELECT series, t, {", ".join(r(f"g{k} / (g0 + g1 + g2)") + f" AS s{k}" for k in range(3))} FROM gm""")
 def smoothed_fixed(spark: Spark, sf: str) -> DataFrame:
     """Forward-backward posteriors under the fixed model."""
-    out = fold(states(spark, sf), lambda x: {"s": rec.smooth(_density(x), START, TRANS).tolist()}, ["log_return"], {"s": "array<double>"})
-    return rounded(out.select("series", "t", *[F.col("s")[k].alias(f"s{k}") for k in range(3)]))
+    out = scan.smoothed(*fixed_scan(spark, sf))
+    return rounded(out.select("series", "t", *[F.col("value")[k].alias(f"s{k}") for k in range(3)]))
+
+
+@query(_SMOOTH + f""", gx AS (SELECT gm.series, gm.n, o.log_return AS x, unnest([0, 1, 2]) AS state, unnest([g0, g1, g2]) / (g0 + g1 + g2) AS g FROM gm JOIN o ON o.series = gm.series AND o.n = gm.n),
+mn AS (SELECT series, state, sum(g * x) / sum(g) AS mean, sum(CASE WHEN n = 1 THEN g END) AS start FROM gx GROUP BY 1, 2),
+va AS (SELECT series, state, any_value(mean) AS mean, any_value(start) AS start, sum(g * power(x - mean, 2)) / sum(g) + 1e-4 AS var FROM gx JOIN mn USING (series, state) GROUP BY 1, 2),
+ij AS (SELECT unnest([0, 0, 0, 1, 1, 1, 2, 2, 2]) AS i, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2]) AS j, unnest({[float(v) for v in TRANS.ravel()]}) AS p),
+xi AS (SELECT fw.series, fw.n, i, j, [a0, a1, a2][i + 1] - greatest(a0, a1, a2) + ln(p) + [b0 + e0, b1 + e1, b2 + e2][j + 1] AS v FROM fw JOIN ob ON ob.series = fw.series AND ob.n = fw.n + 1 JOIN bw ON bw.series = fw.series AND bw.n = fw.n + 1, ij),
+xn AS (SELECT series, n, i, j, exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY series, n) AS g FROM (SELECT *, max(v) OVER (PARTITION BY series, n) AS m FROM xi)),
+xs AS (SELECT series, i, j, sum(g) AS c FROM xn GROUP BY 1, 2, 3),
+xt AS (SELECT series, i AS state, sum(CASE WHEN j = 0 THEN c END) / sum(c) AS t0, sum(CASE WHEN j = 1 THEN c END) / sum(c) AS t1, sum(CASE WHEN j = 2 THEN c END) / sum(c) AS t2 FROM xs GROUP BY 1, 2),
+l AS (SELECT series, arg_max(a0, n) AS a0, arg_max(a1, n) AS a1, arg_max(a2, n) AS a2 FROM fw GROUP BY 1)
+SELECT series, state, {r('start')} AS start, {r('mean')} AS mean, {r('var')} AS var, {r('t0')} AS t0, {r('t1')} AS t1, {r('t2')} AS t2,
+{r("ln(exp(a0 - greatest(a0, a1, a2)) + exp(a1 - greatest(a0, a1, a2)) + exp(a2 - greatest(a0, a1, a2))) + greatest(a0, a1, a2)")} AS log_likelihood FROM va JOIN xt USING (series, state) JOIN l USING (series)""")
+def em_step(spark: Spark, sf: str) -> DataFrame:
+    """One round of expectation maximisation from the fixed model, and the likelihood before it."""
+    out = scan.parameters(scan.em_round(*fixed_scan(spark, sf)))
+    t = F.col("trans")
+    return rounded(out.select("series", "state", "start", F.col("mean")[0].alias("mean"), F.col("cov")[0][0].alias("var"), *[t[k].alias(f"t{k}") for k in range(3)], "log_likelihood"))
 
 
 @query(STATES + ", q AS (SELECT *, " + ", ".join("(" + " + ".join(f"p{i} * {TRANS[i, j]}" for i in range(3)) + f")::DOUBLE AS q{j}" for j in range(3)) + " FROM s) SELECT series, t, " + ", ".join(r(f"0.5 * p{k} + 0.5 * q{k}") + f" AS b{k}" for k in range(3)) + " FROM q")

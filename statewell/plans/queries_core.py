@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fold import fold
-from ..functions.posterior import entropy
+from ..functions.posterior import argmax, entropy
 from ..functions.rolling import so_far, drawdown
 from ..operators import performance as perf
 from ..operators import recursions as rec
+from ..operators import scan
 from ..operators import states as st
 from ..operators.features import log_returns, log_volume, rolling_volatility, smoothed_returns, volume_zscore
 from ..sources import bars
@@ -280,8 +281,10 @@ def current_state(spark: Spark, sf: str) -> DataFrame:
     return st.current_state(states(spark, sf)).select("series", "t", "state", F.col("run_length").cast("long"))
 
 
-def _density(x):
-    return rec.gaussian_log_density(x, MEANS, SDS)
+def fixed_scan(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of log returns and the fixed model of each series."""
+    df = states(spark, sf).select("series", "t", "log_return")
+    return scan.block_rows(df, ["log_return"]), scan.one_model(scan.gaussian_model(START, TRANS, MEANS, SDS, "log_return"), df)
 
 
 _LOGB = ", ".join(f"-0.5 * power((log_return - ({m})) / {s}, 2) - ln({s}) - 0.5 * ln(2 * pi()) AS b{k}" for k, (m, s) in enumerate(zip(MEANS, SDS)))
@@ -300,14 +303,15 @@ UNION ALL SELECT series, n, t, {", ".join(f"u{k} - ln(exp(u0) + exp(u1) + exp(u2
 
 @query(_FILTER + f"SELECT series, t, {r('exp(a0)')} AS f0, {r('exp(a1)')} AS f1, {r('exp(a2)')} AS f2 FROM fl WHERE n > 0")
 def online_filter_fixed(spark: Spark, sf: str) -> DataFrame:
-    out = fold(states(spark, sf), lambda x: {"f": rec.online_filter(_density(x), START, TRANS).tolist()}, ["log_return"], {"f": "array<double>"})
-    return rounded(out.select("series", "t", *[F.col("f")[k].alias(f"f{k}") for k in range(3)]))
+    out = scan.filtered(*fixed_scan(spark, sf))
+    return rounded(out.select("series", "t", *[F.col("value")[k].alias(f"f{k}") for k in range(3)]))
 
 
 @query(_FILTER + f"""SELECT series, state, count(*) AS n, {r('avg(ret)')} AS mean, {r('stddev_samp(ret)')} AS sd FROM (SELECT *, CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END AS state FROM fl WHERE n > 0) GROUP BY 1, 2""")
 def filtered_state_stats(spark: Spark, sf: str) -> DataFrame:
     """The flagship: bars, features, causal filter, statistics by state."""
-    out = fold(states(spark, sf), lambda x, ret: {"ret": ret, "state": rec.online_filter(_density(x), START, TRANS).argmax(1)}, ["log_return", "ret"], {"ret": "double", "state": "int"})
+    found = scan.filtered(*fixed_scan(spark, sf)).select("series", "t", argmax(F.col("value")).alias("state"))
+    out = states(spark, sf).select("series", "t", "ret").join(found, ["series", "t"])
     return rounded(out.groupBy("series", "state").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd")))
 
 
@@ -320,4 +324,4 @@ bk AS (SELECT v.series, v.n, v.t, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1
 UNION ALL SELECT v.series, v.n, v.t, CASE bk.state WHEN 0 THEN bk.k0 WHEN 1 THEN bk.k1 ELSE bk.k2 END, v.k0, v.k1, v.k2 FROM bk JOIN v ON v.series = bk.series AND v.n = bk.n - 1)
 SELECT series, t, state FROM bk""")
 def viterbi_fixed(spark: Spark, sf: str) -> DataFrame:
-    return fold(states(spark, sf), lambda x: {"state": rec.viterbi(_density(x), START, TRANS)}, ["log_return"], {"state": "int"})
+    return scan.viterbi(*fixed_scan(spark, sf)).select("series", "t", F.col("value").alias("state"))
