@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -134,6 +135,57 @@ def run_stream(bars: DataFrame, config: Live) -> DataFrame:
     return bars.groupBy("series").transformWithStateInPandas(_Processor(config), OUT, "Append", "None")
 
 
+class _Ordered(StatefulProcessor):
+    """Holds bars back until the watermark has passed them, and steps through them in order of time."""
+
+    def __init__(self, config: Live) -> None:
+        self.config = config
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("account", "saved string")
+        self.held = handle.getMapState("held", "t long", "x double, price double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for t, x, price in frame[["t", self.config.feature, "close"]].itertuples(index=False):
+                if not self.held.containsKey((int(t),)):  # of bars of one time the first that came counts
+                    self.held.updateValue((int(t),), (float(x), float(price)))
+                    self.handle.registerTimer(int(t) * 1000)
+        yield pd.DataFrame(columns=OUT.fieldNames())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(t for (t,) in self.held.keys() if t * 1000 <= passed)
+        if due:
+            saved = self.state.get()
+            account = Account(self.config, saved[0] if saved is not None else None)
+            frame = pd.DataFrame([(t, *self.held.getValue((t,))) for t in due], columns=["t", self.config.feature, "close"])
+            out = _steps(account, key[0], frame)
+            for t in due:
+                self.held.removeKey((t,))
+            self.state.update((account.save(),))
+            yield out
+        else:
+            yield pd.DataFrame(columns=OUT.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def run_live(bars: DataFrame, config: Live, late: str = "2 hours") -> DataFrame:
+    """Like :func:`run_stream` for bars that come in any order, up to ``late`` behind the newest one.
+
+    Bars wait in state, by time, until the watermark has passed them; an event-time timer lets them
+    go in order, so a shuffled stream gives the rows of :func:`replay`. Repeated bars are dropped, and
+    those that come later than the watermark. Bars of the last ``late`` wait for newer ones.
+    """
+    _check(bars, config)
+    timed = bars.select("series", "t", config.feature, "close", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", late)
+    once = timed.dropDuplicatesWithinWatermark(["series", "t"])
+    return once.groupBy("series").transformWithStateInPandas(_Ordered(config), OUT, "Append", "EventTime")
+
+
 def replay(bars: DataFrame, config: Live) -> DataFrame:
     """The same over a table."""
     _check(bars, config)
