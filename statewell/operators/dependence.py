@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import running
-from ..functions.posterior import dot
+from ..functions.posterior import dot, total
 from ..functions.rolling import order, rolling
 from ..functions.tables import stored
 
@@ -170,8 +170,47 @@ def half_life(df: DataFrame, spread: str) -> DataFrame:
     before = F.lag(spread).over(order())
     rows = df.select("series", (F.col(spread) - before).alias("d"), before.alias("s")).where("s is not null")
     fit = rows.groupBy("series").agg(F.regr_slope("d", "s").alias("b"), F.count("*").alias("n"))
-    reverts = (F.col("n") >= 2) & (F.col("b") < 0) & (F.col("b") > -2) & (F.abs(1 + F.col("b")) > 1e-15)
-    return fit.select("series", "b", F.when(reverts, -F.ln(F.lit(2.0)) / F.ln(F.abs(1 + F.col("b")))).alias("half_life"))
+    return fit.select("series", "b", mean_reversion(F.col("b"), F.col("n")).alias("half_life"))
+
+
+def mean_reversion(b: Column, bars: Column) -> Column:
+    """Half-life of a spread whose change is ``b`` times its level; null where it doesn't revert."""
+    reverts = (bars >= 2) & (b < 0) & (b > -2) & (F.abs(1 + b) > 1e-15)
+    return F.when(reverts, -F.ln(F.lit(2.0)) / F.ln(F.abs(1 + b)))
+
+
+def state_spreads(df: DataFrame, y: str, x: str, least: float = 20.0, most: float = 1000.0) -> DataFrame:
+    """The spread y - alpha - beta x of each state (-1: all bars), and how fast it reverts.
+
+    series, state, eff_n, alpha, beta, spread_mean, spread_sd, half_life and eigenvalue, the
+    larger one of the weighted covariance of changes of y and x. A state of less weight than ``least`` has
+    the regression and half-life of all bars; half-lives are ``most`` at most, and where nothing reverts.
+    """
+    keys = ["series", "state"]
+    step = order()
+    own = df.select("series", "t", F.col(y).alias("y"), F.col(x).alias("x"), "posterior", (F.col(y) - F.lag(y).over(step)).alias("dy"), (F.col(x) - F.lag(x).over(step)).alias("dx"), F.lag(y).over(step).alias("y1"), F.lag(x).over(step).alias("x1"))
+    whole = total(F.col("posterior")) + 1e-15
+    rows = own.select("*", F.posexplode(F.array_append(F.transform("posterior", lambda p: p / whole), F.lit(1.0))).alias("k", "w"))
+    rows = stored(rows.withColumn("state", F.when(F.col("k") == F.size("posterior"), -1).otherwise(F.col("k"))).drop("k", "posterior"))
+    of_all = lambda c: F.max(F.when(F.col("state") == -1, F.col(c))).over(Window.partitionBy("series"))
+    m = weighted_moments(rows, "x", "y", keys)
+    slope = F.col("cxy") / (F.col("vx") + 1e-15)
+    fits = m.select(*keys, "eff_n", slope.alias("beta"), (F.col("my") - slope * F.col("mx")).alias("alpha"))
+    few = (F.col("state") >= 0) & (F.col("eff_n") < least)
+    fits = stored(fits.select(*keys, "eff_n", *(F.when(few, of_all(c)).otherwise(F.col(c)).alias(c) for c in ("alpha", "beta"))))
+    rows = rows.join(fits, keys)
+    spread = lambda a, b: F.col(a) - F.col("alpha") - F.col("beta") * F.col(b)
+    rows = rows.withColumn("s", spread("y", "x")).withColumn("s1", spread("y1", "x1"))
+    known = F.col("dy").isNotNull()
+    w, weight = F.col("w"), F.greatest(F.first("eff_n"), F.lit(1.0))
+    mean = rows.groupBy(*keys).agg((F.sum(w * F.col("s")) / weight).alias("spread_mean"), F.regr_slope(F.col("s") - F.col("s1"), F.col("s1")).alias("b"), F.count("s1").alias("bars"))
+    spread_of = rows.join(mean.select(*keys, "spread_mean"), keys).groupBy(*keys).agg(F.sqrt(F.sum(w * F.pow(F.col("s") - F.col("spread_mean"), 2)) / weight).alias("spread_sd"))
+    moves = weighted_moments(rows.where(known).select(*keys, "w", "dx", "dy"), "dx", "dy", keys)
+    half = (F.col("vx") + F.col("vy")) / 2
+    eigen = moves.select(*keys, (half + F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.pow("cxy", 2)) + 1e-10).alias("eigenvalue"))
+    out = fits.join(mean, keys).join(spread_of, keys).join(eigen, keys).withColumn("half_life", mean_reversion(F.col("b"), F.col("bars")))
+    own_life = F.when(few, of_all("half_life")).otherwise(F.col("half_life"))
+    return out.select(*keys, "eff_n", "alpha", "beta", "spread_mean", "spread_sd", F.least(F.coalesce(own_life, F.lit(most)), F.lit(most)).alias("half_life"), "eigenvalue")
 
 
 def spread_zscore(df: DataFrame, spread: str, window: int = 20) -> DataFrame:

@@ -140,6 +140,48 @@ def attribution(df: DataFrame, ret: str = "ret", ann: float = 252.0) -> DataFram
     return rows.where("series is not null")
 
 
+def trades(result: DataFrame, cost: float = 0.001) -> DataFrame:
+    """series, t, direction, size and cost of each change of position of a backtest with stops."""
+    size = F.abs("trade")
+    return result.where(size > 1e-10).select("series", "t", F.signum("trade").cast("int").alias("direction"), size.alias("size"), (size * cost).alias("cost"))
+
+
+def tearsheet(result: DataFrame, ann: float = 252.0, mar: float = 0.0) -> DataFrame:
+    """One row a series: return, risk and trades of a backtest with stops (net, equity from 1, trade).
+
+    sortino is null where no bar is below ``mar``; avg_trade_size is 0 without trades.
+    """
+    net, size = F.col("net"), F.abs("trade")
+    top = F.max("equity").over(so_far())
+    m = result.withColumn("dd", (top - F.col("equity")) / (top + 1e-15)).groupBy("series").agg(
+        F.max_by("equity", "t").alias("last"),
+        F.count("*").alias("n_bars"),
+        F.avg(net).alias("mean"),
+        F.stddev_samp(net).alias("sd"),
+        F.count(F.when(net < mar, net)).alias("n_down"),
+        F.coalesce(F.stddev_samp(F.when(net < mar, net)), F.lit(0.0)).alias("down"),
+        F.max("dd").alias("max_drawdown"),
+        F.avg((net > 0).cast("double")).alias("win_rate"),
+        F.count(F.when(size > 1e-10, size)).alias("n_trades"),
+        F.coalesce(F.avg(F.when(size > 1e-10, size)), F.lit(0.0)).alias("avg_trade_size"),
+    )
+    year = F.pow("last", ann / F.col("n_bars")) - 1
+    return m.select(
+        "series",
+        (F.col("last") - 1).alias("total_return"),
+        year.alias("ann_return"),
+        (F.col("sd") * ann**0.5).alias("ann_vol"),
+        (F.col("mean") / (F.col("sd") + 1e-15) * ann**0.5).alias("sharpe"),
+        F.when(F.col("n_down") > 0, (F.col("mean") - mar) / (F.col("down") + 1e-15) * ann**0.5).alias("sortino"),
+        "max_drawdown",
+        (year / (F.col("max_drawdown") + 1e-15)).alias("calmar"),
+        "win_rate",
+        "n_trades",
+        "avg_trade_size",
+        "n_bars",
+    )
+
+
 def risk_by_state(df: DataFrame, ret: str = "ret", confidence: float = 0.95, ann: float = HOURS, mar: float = 0.0, least: int = 20) -> DataFrame:
     """Risk of the bars of each state, joined one after another; nulls below ``least`` bars."""
     r = F.col(ret)

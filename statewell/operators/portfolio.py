@@ -147,17 +147,20 @@ def drawdown_controlled(df: DataFrame, weight: str = "weight", ret: str = "ret",
 # --- mean and variance of few series: small dense matrices, after Spark has summed ---
 
 
-def box(w: np.ndarray, low: float, high: float, rounds: int = 50) -> np.ndarray:
-    """Weights between ``low`` and ``high`` that sum to one, by clipping and scaling in turn; equal ones if nothing is left."""
-    inside = lambda v: low - 1e-9 <= v.min() and v.max() <= high + 1e-9
-    for _ in range(rounds):
-        held = w.clip(low, high)
-        if not held.sum() > 1e-12:
-            return np.ones_like(held) / held.size
-        w = held / held.sum()
-        if inside(w):
-            return w
-    return w
+def box(w: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The nearest weights between ``low`` and ``high`` that sum to one; equal ones where no weights do.
+
+    Nearest weights are w less one multiplier, clipped. Their sum falls as the multiplier
+    grows, so it is found by bisection.
+    """
+    n = len(w)
+    if not n * low <= 1 <= n * high or not np.isfinite(w).all():
+        return np.full(n, 1 / n)
+    below, above = w.min() - high, w.max() - low  # all at high, all at low
+    for _ in range(200):
+        mid = (below + above) / 2
+        below, above = (mid, above) if np.clip(w - mid, low, high).sum() > 1 else (below, mid)
+    return np.clip(w - (below + above) / 2, low, high)
 
 
 def min_variance(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:

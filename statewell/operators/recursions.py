@@ -266,30 +266,41 @@ def drawdown_scale(drawdown: np.ndarray, most: float = 0.1, soft: float = 0.05,
     return out
 
 
-def stop_backtest(ret: np.ndarray, state: np.ndarray, targets: list[float], stops: list[float | None], takes: list[float | None], cost: float = 0.001) -> dict[str, np.ndarray]:
+def stop_backtest(ret: np.ndarray, state: np.ndarray, targets: list[float], stops: list[float | None], takes: list[float | None], cost: float = 0.001, ahead: int = 1024) -> dict[str, np.ndarray]:
     """Equity, net return, position and trade of each bar, with a target for each state.
 
     An open position is closed where its gain since entry is outside (-stop, take) of the
     bar's state. Positions earn from the next bar on; a state without a rule has target 0.
+
+    Between two trades a position is constant, so its wealth is a running product. The
+    bars up to the next trade are found and filled at once, ``ahead`` bars at a time.
     """
-    rules = {k: (targets[k], -math.inf if stops[k] is None else -stops[k], math.inf if takes[k] is None else takes[k]) for k in range(len(targets))}
-    plan = [rules.get(int(k), (0.0, -math.inf, math.inf)) for k in state]
-
-    def bars():
-        held, wealth, base = 0.0, 1.0, 1.0
-        for (target, low, high), x in zip(plan, ret):
-            since = wealth / (base + 1e-15) - base / (base + 1e-15)
-            wanted = target if held == 0 or low < since < high else 0.0
-            trade = wanted - held
-            if wanted and abs(trade) > 1e-10:
-                base = wealth
-            net = held * x - cost * abs(trade)
-            wealth *= 1 + net
-            yield wealth, net, held, trade
-            held = wanted
-
-    columns = np.array(list(bars())).reshape(len(plan), 4).T
-    return dict(zip(("equity", "net", "position", "trade"), columns))
+    n, known = len(ret), len(targets)
+    rule = np.where((state >= 0) & (state < known), state, known).astype(int)
+    of = lambda values, default, sign: np.array([default if v is None else sign * v for v in values] + [default], float)[rule]
+    target, low, high = of(targets, 0.0, 1), of(stops, -math.inf, -1), of(takes, math.inf, 1)
+    net, held, trade = np.zeros(n), np.zeros(n), np.zeros(n)
+    wealth, entry, position, i = 1.0, 1.0, 0.0, 0
+    while i < n:
+        end = min(i + ahead, n)
+        # wealth before each of the next bars, if nothing is traded until then
+        level = wealth * np.cumprod(np.r_[1.0, 1 + position * ret[i:end]])
+        gain = level[:-1] / entry - 1
+        closed = (position != 0) & ((gain <= low[i:end]) | (gain >= high[i:end]))
+        wanted = np.where(closed, 0.0, target[i:end])
+        moves = np.flatnonzero(wanted != position)
+        quiet = int(moves[0]) if len(moves) else end - i
+        held[i : i + quiet], net[i : i + quiet] = position, position * ret[i : i + quiet]
+        wealth, i = float(level[quiet]), i + quiet
+        if quiet == end - (i - quiet):
+            continue
+        change = float(wanted[quiet]) - position
+        held[i], trade[i] = position, change
+        net[i] = position * ret[i] - cost * abs(change)
+        if wanted[quiet] and abs(change) > 1e-10:
+            entry = wealth
+        wealth, position, i = wealth * (1 + net[i]), float(wanted[quiet]), i + 1
+    return {"equity": np.cumprod(1 + net), "net": net, "position": held, "trade": trade}
 
 
 def alerts(state: np.ndarray, posterior: np.ndarray, sure: float = 0.6, cooldown: int = 3) -> np.ndarray:

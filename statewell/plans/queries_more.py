@@ -10,6 +10,8 @@ from ..functions.fold import fold
 from ..functions.posterior import dot, numbers
 from ..functions.rolling import order, so_far
 from ..operators import dependence as dep
+from ..operators import moments, scan
+from ..operators import performance as perf
 from ..operators import portfolio as pf
 from ..operators import recursions as rec
 from ..sources import bars
@@ -70,16 +72,35 @@ def drawdown_scale(spark: Spark, sf: str) -> DataFrame:
     return rounded(fold(states(spark, sf), run, ["ret"], {"scale": "double"}))
 
 
-@query(STATES + _N + f""", b AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 1.0::DOUBLE AS eq, 1.0::DOUBLE AS entry, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS net, 0.0::DOUBLE AS held FROM (SELECT DISTINCT series FROM s)
+_STOPS = STATES + _N + f""", b AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 1.0::DOUBLE AS eq, 1.0::DOUBLE AS entry, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS net, 0.0::DOUBLE AS held FROM (SELECT DISTINCT series FROM s)
 UNION ALL SELECT series, n, t, eq * (1 + pos * ret - abs(target - pos) * 0.001), CASE WHEN abs(target - pos) > 1e-10 AND target != 0 THEN eq ELSE entry END, target, pos * ret - abs(target - pos) * 0.001, pos FROM (
 SELECT o.series, o.n, o.t, o.ret, b.eq, b.entry, b.pos, CASE WHEN b.pos != 0 AND ((b.eq - b.entry) / (b.entry + 1e-15) <= -0.03 OR (b.eq - b.entry) / (b.entry + 1e-15) >= 0.05) THEN 0.0 ELSE CASE o.state WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END END::DOUBLE AS target
-FROM b JOIN o ON o.series = b.series AND o.n = b.n + 1))
-SELECT series, t, {r('eq')} AS equity, {r('net')} AS net, {r('held')} AS position, {r('pos - held')} AS trade FROM b WHERE n > 0""")
+FROM b JOIN o ON o.series = b.series AND o.n = b.n + 1))"""
+
+
+@query(_STOPS + f" SELECT series, t, {r('eq')} AS equity, {r('net')} AS net, {r('held')} AS position, {r('pos - held')} AS trade FROM b WHERE n > 0")
 def backtest_stop_loss(spark: Spark, sf: str) -> DataFrame:
+    return rounded(_stops(spark, sf))
+
+
+def _stops(spark: Spark, sf: str) -> DataFrame:
     def run(ret, state):
         return rec.stop_backtest(ret, state, [0.0, 0.5, 1.0], [0.03] * 3, [0.05] * 3)
 
-    return rounded(fold(states(spark, sf), run, ["ret", "state"], {"equity": "double", "net": "double", "position": "double", "trade": "double"}))
+    return fold(states(spark, sf), run, ["ret", "state"], {"equity": "double", "net": "double", "position": "double", "trade": "double"})
+
+
+@query(_STOPS + f" SELECT series, t, sign(pos - held)::INT AS direction, {r('abs(pos - held)')} AS size, {r('abs(pos - held) * 0.001')} AS cost FROM b WHERE n > 0 AND abs(pos - held) > 1e-10")
+def backtest_trades(spark: Spark, sf: str) -> DataFrame:
+    return rounded(perf.trades(_stops(spark, sf)))
+
+
+@query(_STOPS + f""", x AS (SELECT *, (max(eq) OVER w - eq) / (max(eq) OVER w + 1e-15) AS dd, abs(pos - held) AS size FROM b WHERE n > 0 WINDOW w AS (PARTITION BY series ORDER BY n)),
+y AS (SELECT series, arg_max(eq, n) AS last, count(*) AS n_bars, avg(net) AS mean, stddev_samp(net) AS sd, coalesce(stddev_samp(net) FILTER (net < 0), 0) AS down, count(*) FILTER (net < 0) AS n_down, max(dd) AS mdd, avg((net > 0)::INT) AS win, count(*) FILTER (size > 1e-10) AS n_trades, coalesce(avg(size) FILTER (size > 1e-10), 0) AS avg_size FROM x GROUP BY 1)
+SELECT series, {r('last - 1')} AS total_return, {r('power(last, 252.0 / n_bars) - 1')} AS ann_return, {r('sd * sqrt(252)')} AS ann_vol, {r('mean / (sd + 1e-15) * sqrt(252)')} AS sharpe, {r('CASE WHEN n_down > 0 THEN mean / (down + 1e-15) * sqrt(252) END')} AS sortino, {r('mdd')} AS max_drawdown,
+{r('(power(last, 252.0 / n_bars) - 1) / (mdd + 1e-15)')} AS calmar, {r('win')} AS win_rate, n_trades, {r('avg_size')} AS avg_trade_size, n_bars FROM y""")
+def backtest_tearsheet(spark: Spark, sf: str) -> DataFrame:
+    return rounded(perf.tearsheet(_stops(spark, sf)))
 
 
 @query(STATES + _N + """, a AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, -1 AS prev, 0 AS since, false AS fired, false AS alert FROM (SELECT DISTINCT series FROM s)
@@ -285,3 +306,32 @@ def return_histogram(spark: Spark, sf: str) -> DataFrame:
     return df.groupBy("series", "width_bucket").agg(F.count("*").alias("n"))
 
 
+
+
+@query(STATES + """, d0 AS (SELECT *, volatility_w24 AS y, log_return AS x, lag(volatility_w24) OVER w AS y1, lag(log_return) OVER w AS x1 FROM s WINDOW w AS (PARTITION BY series ORDER BY t)),
+z AS (SELECT series, t, y, x, y1, x1, unnest([0, 1, 2, -1]) AS state, unnest([p0, p1, p2, 1.0]) AS w FROM d0), m AS (SELECT series, state, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM z GROUP BY 1, 2),
+f AS (SELECT series, state, any_value(sw) AS sw, sum(w * (x - mx) * (y - my)) / any_value(sw) / (sum(w * power(x - mx, 2)) / any_value(sw) + 1e-15) AS beta, any_value(my) AS my, any_value(mx) AS mx FROM z JOIN m USING (series, state) GROUP BY 1, 2),
+g AS (SELECT a.series, a.state, a.sw, CASE WHEN a.state >= 0 AND a.sw < 20 THEN b.beta ELSE a.beta END AS beta, CASE WHEN a.state >= 0 AND a.sw < 20 THEN b.my - b.beta * b.mx ELSE a.my - a.beta * a.mx END AS alpha FROM f a JOIN f b ON a.series = b.series AND b.state = -1),
+sp AS (SELECT series, state, w, sw, alpha, beta, y - alpha - beta * x AS s, y1 - alpha - beta * x1 AS s1, y - y1 AS dy, x - x1 AS dx FROM z JOIN g USING (series, state)),
+sm AS (SELECT series, state, any_value(sw) AS eff_n, any_value(alpha) AS alpha, any_value(beta) AS beta, sum(w * s) / greatest(any_value(sw), 1) AS mean, regr_slope(s - s1, s1) AS b FROM sp GROUP BY 1, 2),
+sd AS (SELECT series, state, sqrt(sum(w * power(s - mean, 2)) / greatest(any_value(sw), 1)) AS sd FROM sp JOIN sm USING (series, state) GROUP BY 1, 2),
+dm AS (SELECT series, state, sum(w) AS w0, sum(w * dx) / sum(w) AS ax, sum(w * dy) / sum(w) AS ay FROM sp WHERE dy IS NOT NULL GROUP BY 1, 2),
+dv AS (SELECT series, state, sum(w * power(dx - ax, 2)) / any_value(w0) AS vx, sum(w * power(dy - ay, 2)) / any_value(w0) AS vy, sum(w * (dx - ax) * (dy - ay)) / any_value(w0) AS c FROM sp JOIN dm USING (series, state) WHERE dy IS NOT NULL GROUP BY 1, 2),
+hl AS (SELECT *, CASE WHEN b < 0 AND b > -2 AND abs(1 + b) > 1e-15 THEN -ln(2) / ln(abs(1 + b)) END AS hl FROM sm),
+hw AS (SELECT a.*, least(coalesce(CASE WHEN a.state >= 0 AND a.eff_n < 20 THEN b.hl ELSE a.hl END, 1000), 1000) AS half_life FROM hl a JOIN hl b ON a.series = b.series AND b.state = -1)
+""" + f"SELECT series, state, {r('eff_n')} AS eff_n, {r('alpha')} AS alpha, {r('beta')} AS beta, {r('mean')} AS spread_mean, {r('sd')} AS spread_sd, {r('half_life', 4)} AS half_life, {r('(vx + vy) / 2 + sqrt(power((vx - vy) / 2, 2) + c * c) + 1e-10')} AS eigenvalue FROM hw JOIN sd USING (series, state) JOIN dv USING (series, state)")
+def regime_spreads(spark: Spark, sf: str) -> DataFrame:
+    """Spread, half-life and leading eigenvalue of each state."""
+    return rounded(dep.state_spreads(states(spark, sf), _Y, _X).withColumn("half_life", F.round("half_life", 4)))
+
+
+@query(STATES + """, sc AS (SELECT series, stddev_pop(log_return) AS d0, stddev_pop(volatility_w24) AS d1, count(*) AS n FROM s GROUP BY 1),
+z AS (SELECT series, n, [log_return / d0, volatility_w24 / d1] AS z, lead([log_return / d0, volatility_w24 / d1], 1) OVER w AS z1, lead([log_return / d0, volatility_w24 / d1], 2) OVER w AS z2 FROM s JOIN sc USING (series) WINDOW w AS (PARTITION BY series ORDER BY t)),
+i AS (SELECT unnest([0, 0, 0, 0, 1, 1, 1, 1]) AS a, unnest([0, 0, 1, 1, 0, 0, 1, 1]) AS b, unnest([0, 1, 0, 1, 0, 1, 0, 1]) AS c)
+""" + f"SELECT series, a, b, c, {r('avg(z[a + 1] * z1[b + 1] * z2[c + 1])')} AS third, {r('sum(CASE WHEN c = 0 THEN z[a + 1] * z1[b + 1] END) / nullif(sum(CASE WHEN c = 0 AND z1 IS NOT NULL THEN 1 ELSE 0 END), 0)')} AS second FROM z, i GROUP BY series, a, b, c")
+def third_moments(spark: Spark, sf: str) -> DataFrame:
+    """Products of three consecutive bars' scaled features, and of two (with c = 0), summed over blocks."""
+    names = [_X, _Y]
+    m = moments.lagged_moments(scan.block_rows(states(spark, sf), names, 64), names)
+    cells = F.array(*(F.struct(F.lit(i // 4).alias("a"), F.lit(i // 2 % 2).alias("b"), F.lit(i % 2).alias("c"), F.col("m3")[i].alias("third"), (F.col("m2")[i // 2] if i % 2 == 0 else F.lit(None).cast("double")).alias("second")) for i in range(8)))
+    return rounded(m.select("series", F.explode(cells).alias("x")).select("series", "x.*"))
