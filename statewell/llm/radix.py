@@ -14,7 +14,17 @@ class Node:
     __slots__ = ("edge", "gone", "kids", "value")
 
     def __init__(self, edge: bytes) -> None:
-        self.edge, self.kids, self.value, self.gone = edge, {}, None, False
+        self.edge, self.kids, self.value, self.gone = edge, _NO_KIDS, None, False
+
+    def put(self, kid: Node) -> Node:
+        if self.kids is _NO_KIDS:
+            self.kids = {}
+        self.kids[kid.edge[0]] = kid
+        return kid
+
+
+#: What all leaves share, never written to.
+_NO_KIDS: dict[int, Node] = {}
 
 
 def shared(edge: bytes, key: bytes, at: int) -> int:
@@ -47,21 +57,21 @@ class Trie:
 
         Who sets the ``value`` of a new end counts it in ``ends``.
         """
-        node, at = self.root, 0
-        while at < len(key) and not node.gone:
+        node, at, size = self.root, 0, len(key)
+        while at < size and not node.gone:
             kid = node.kids.get(key[at])
             if kid is None:
-                kid = node.kids[key[at]] = Node(key[at:])
-                self.size += len(key) - at + NODE_BYTES
-                return kid
-            same = shared(kid.edge, key, at)
-            if same < len(kid.edge):  # the edge branches here
-                fork = node.kids[key[at]] = Node(kid.edge[:same])
-                kid.edge = kid.edge[same:]
-                fork.kids[kid.edge[0]] = kid
-                self.size += NODE_BYTES
-                kid = fork
-            node, at = kid, at + same
+                self.size += size - at + NODE_BYTES
+                return node.put(Node(key[at:]))
+            if key.startswith(kid.edge, at):
+                node, at = kid, at + len(kid.edge)
+                continue
+            same = shared(kid.edge, key, at)  # the edge branches here
+            fork = node.put(Node(kid.edge[:same]))
+            kid.edge = kid.edge[same:]
+            fork.put(kid)
+            self.size += NODE_BYTES
+            node, at = fork, at + same
         return None if node.gone else node
 
     def walk(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, Node]]:
@@ -104,7 +114,7 @@ class Trie:
                     return
                 yield from self.walk(kid, path + kid.edge)
                 self.size, self.ends = self.size - size + len(kid.edge) + NODE_BYTES, self.ends - ends
-                kid.kids, kid.value, kid.gone = {}, None, True
+                kid.kids, kid.value, kid.gone = _NO_KIDS, None, True
             if inside is not None:
                 path += inside.edge
             node = inside

@@ -26,98 +26,156 @@ from .radix import Trie
 
 #: What stands between terms: ASCII other than letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes that may be part of a term.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Bytes of text that are split at once, and counters that wait to be merged.
+STEP, STEP_COUNTERS = 8 << 20, 500_000
 #: Counters and bytes of a task's trie beyond which it is written.
-BUDGET_COUNTERS, BUDGET_BYTES = 300_000, 64 << 20
+BUDGET_COUNTERS, BUDGET_BYTES = 3_000_000, 192 << 20
+#: Low bits of a counter's key, which number its group within a task.
+GROUP_BITS = 24
 #: Partial counters that a range gets, about.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 400_000
 #: Numbers of one step of arithmetic on terms and sources.
 CELLS = 1 << 19
 UNIT = 1_000_000_000
 
 PARTIAL = "lang string, source string, term binary, n long, docs long"
+PARTIAL_NAMES = [x.split()[0] for x in PARTIAL.split(", ")]
 KEPT = "lang string, range int, term binary, sources array<string>, counts array<long>"
 
 
-def _partial_rows(lang: list, source: list, term: list, n: list, docs: list) -> pa.RecordBatch:
-    arrays = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
+class Counted:
+    """A trie of terms whose ends have counters of occurrences and documents for each group.
 
+    An end has a number; counters are sorted arrays of (end, group), so adding many is
+    one merge and no step per counter.
+    """
 
-def batch_terms(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self) -> None:
+        self.trie, self.groups = Trie(), {}
+        self.keys = self.n = self.docs = np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def ends(self, terms: list[bytes]) -> np.ndarray:
+        """The numbers of the terms' ends; -1 for the empty one."""
+        out, end, trie = np.full(len(terms), -1, np.int64), self.trie.end, self.trie
+        for i, term in enumerate(terms):
+            if term:
+                node = end(term)
+                if node.value is None:
+                    node.value = trie.ends
+                    trie.ends += 1
+                out[i] = node.value
+        return out
+
+    def group(self, names: list) -> np.ndarray:
+        return np.array([self.groups.setdefault(x, len(self.groups)) for x in names], np.int64)
+
+    def add(self, ends: np.ndarray, groups: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        real = ends >= 0
+        self.new.append((ends[real] << GROUP_BITS | groups[real], n[real], docs[real]))
+        self.waiting += int(real.sum())
+        if self.waiting > max(len(self.keys), STEP_COUNTERS):
+            self.merge()
+
+    def merge(self) -> None:
+        columns = [np.concatenate([x, *y]) for x, y in zip((self.keys, self.n, self.docs), zip(*self.new))] if self.new else [self.keys, self.n, self.docs]
+        order = np.argsort(columns[0], kind="stable")
+        keys, n, docs = (x[order] for x in columns)
+        head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.keys = keys[head]
+        self.n, self.docs = (np.add.reduceat(x, head) if len(head) else x for x in (n, docs))
+        self.new, self.waiting = [], 0
+
+    def walk(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms in the order of their bytes; and for each counter, in that order: term, group, occurrences, documents."""
+        self.merge()
+        terms, rank = [], np.zeros(self.trie.ends, np.int64)
+        for term, node in self.trie.walk():
+            rank[node.value] = len(terms)
+            terms.append(term)
+        term, group = rank[self.keys >> GROUP_BITS], self.keys & ((1 << GROUP_BITS) - 1)
+        order = np.lexsort((group, term))
+        return terms, term[order], group[order], self.n[order], self.docs[order]
+
+
+def terms_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct terms of some texts, and for each pair that occurs: text, term, occurrences."""
     pieces = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=BETWEEN)
     rows = pc.list_parent_indices(pieces).to_numpy()
     flat = pc.list_flatten(pieces).dictionary_encode()
-    codes = flat.indices.to_numpy()
     words = flat.dictionary.cast(pa.binary()).to_pylist()
-    pairs, n = np.unique(rows.astype(np.int64) * len(words) + codes, return_counts=True) if words else (np.zeros(0, np.int64),) * 2
-    width = max(len(words), 1)
-    return words, pairs // width, pairs % width, n
+    if not words:
+        return words, *(np.zeros(0, np.int64) for _ in range(3))
+    pairs, n = np.unique(rows.astype(np.int64) * len(words) + flat.indices.to_numpy(), return_counts=True)
+    return words, pairs // len(words), pairs % len(words), n
+
+
+def _pieces(text: bytes, size: int):
+    """``text`` in pieces of about ``size`` bytes, cut between terms."""
+    lo, data = 0, np.frombuffer(text, np.uint8)
+    while lo < len(text):
+        hi = min(lo + size, len(text))
+        while hi < len(text) and LETTER[data[hi]]:
+            ahead = np.flatnonzero(~LETTER[data[hi : hi + size]])
+            hi = hi + int(ahead[0]) if len(ahead) else min(hi + size, len(text))
+        yield text[lo:hi].decode()
+        lo = hi
 
 
 def count_terms(docs: DataFrame, counters: int = BUDGET_COUNTERS, size: int = BUDGET_BYTES) -> DataFrame:
-    """Partial counts of (lang, source, text as large as it comes): a row for each end and counter of each trie.
+    """Partial counts of (lang, source, text): a row for each end and counter of each trie, in the order of terms.
 
-    A group that a task meets has a row with a null term besides.
+    A group that a task meets has a row with a null term besides. Longer texts than a
+    step are counted in pieces, and are one document.
     """
 
-    def written(trie: Trie, groups: dict):
-        names = list(groups)
-        out: list[list] = [[], [], [], [], []]
-
-        def add(group, term, n, docs):
-            for x, v in zip(out, (*names[group], term, n, docs)):
-                x.append(v)
-
-        for i in range(len(names)):
-            add(i, None, 0, 0)
-        for term, node in trie.walk():
-            for group, (n, docs) in node.value.items():
-                add(group, term, n, docs)
-            if len(out[0]) > 50_000:
-                yield _partial_rows(*out)
-                for x in out:
-                    x.clear()
-        yield _partial_rows(*out)
+    def written(found: Counted):
+        names = list(found.groups)
+        lang, source = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
+        if names:
+            none = pa.nulls(len(names), pa.binary())
+            zero = pa.array(np.zeros(len(names), np.int64))
+            yield pa.RecordBatch.from_arrays([lang, source, none, zero, zero], PARTIAL_NAMES)
+        terms, term, group, n, of = found.walk()
+        words = pa.array(terms, pa.binary())
+        for lo in range(0, len(term), 100_000):
+            part = slice(lo, lo + 100_000)
+            who = pa.array(group[part])
+            yield pa.RecordBatch.from_arrays([lang.take(who), source.take(who), words.take(pa.array(term[part])), pa.array(n[part]), pa.array(of[part])], PARTIAL_NAMES)
+
+    def count(found: Counted, part: pa.RecordBatch, long: bool) -> None:
+        group = found.group(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist())))
+        if not long:
+            words, row, term, n = terms_of(part.column(2))
+            found.add(found.ends(words)[term], group[row], n, np.ones(len(n), np.int64))
+            return
+        ends, times = [], []
+        for piece in _pieces(part.column(2)[0].as_py().encode(), STEP):
+            words, _, term, n = terms_of(pa.array([piece], pa.string()))
+            ends.append(found.ends(words)[term])
+            times.append(n)
+        ends, place = np.unique(np.concatenate(ends), return_inverse=True)
+        n = np.zeros(len(ends), np.int64)
+        np.add.at(n, place, np.concatenate(times))
+        found.add(ends, np.full(len(ends), group[0]), n, np.ones(len(ends), np.int64))
 
     @tidy
     def run(batches):
-        trie, groups, held = Trie(), {}, 0
+        found = Counted()
         for batch in batches:
             _, offsets = text_buffers(batch.column(2))
-            for lo, hi in steps(offsets):
-                part = batch.slice(lo, hi - lo)
-                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-                group = np.array([groups.setdefault(x, len(groups)) for x in keys], np.int64)
-                words, row, term, n = batch_terms(part.column(2))
-                # occurrences and documents of each term in each group of these texts
-                pair, place = np.unique(term * len(groups) + group[row], return_inverse=True)
-                count = np.bincount(place, weights=n, minlength=len(pair)).astype(np.int64).tolist()
-                documents = np.bincount(place, minlength=len(pair)).tolist()
-                last, value = -1, None
-                for t, g, c, d in zip((pair // len(groups)).tolist(), (pair % len(groups)).tolist(), count, documents):
-                    if t != last:
-                        last, word = t, words[t]
-                        if not word:  # before a first or after a last separator
-                            value = None
-                            continue
-                        end = trie.end(word)
-                        if end.value is None:
-                            end.value = {}
-                        value = end.value
-                    elif value is None:
-                        continue
-                    counter = value.get(g)
-                    if counter is None:
-                        value[g] = [c, d]
-                        held += 1
-                    else:
-                        counter[0] += c
-                        counter[1] += d
-                if held > counters or trie.size > size:
-                    yield from written(trie, groups)
-                    trie, groups, held = Trie(), {}, 0
-        yield from written(trie, groups)
+            for lo, hi in steps(offsets, STEP):
+                count(found, batch.slice(lo, hi - lo), offsets[hi] - offsets[lo] > 2 * STEP)
+                if len(found.keys) + found.waiting > counters or found.trie.size > size:
+                    found.merge()
+                    if len(found.keys) > counters // 2 or found.trie.size > size:
+                        yield from written(found)
+                        found = Counted()
+        yield from written(found)
 
     return docs.mapInArrow(run, PARTIAL)
 
@@ -125,33 +183,55 @@ def count_terms(docs: DataFrame, counters: int = BUDGET_COUNTERS, size: int = BU
 def merge_ranges(partial: DataFrame, ranges: int, least_docs: int = 3) -> DataFrame:
     """Kept terms of each language, from partial tries that ``ranges`` tasks merge by range of terms."""
 
+    def merged(found: Counted, batches: list) -> None:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        lang, source, term = (rows[x].combine_chunks().dictionary_encode() for x in ("lang", "source", "term"))
+        lang, source, term = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (lang, source, term))
+        ends = found.ends(term.dictionary.to_pylist())[term.indices.to_numpy()]
+        pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        each, place = np.unique(pair, return_inverse=True)
+        langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+        groups = found.group([(langs[x // len(sources)], sources[x % len(sources)]) for x in each.tolist()])[place]
+        found.add(ends, groups, rows["n"].to_numpy(), rows["docs"].to_numpy())
+
     @tidy
     def run(batches):
-        trie = Trie()
+        found, held, size = Counted(), [], 0
         for batch in batches:
-            columns = (batch.column(x).to_pylist() for x in ("lang", "source", "term", "n", "docs"))
-            for lang, source, term, n, docs in zip(*columns):
-                end = trie.end(term)
-                if end.value is None:
-                    end.value = {}
-                by = end.value.setdefault(lang, [0, {}])
-                by[0] += docs
-                by[1][source] = by[1].get(source, 0) + n
-        place, out = TaskContext.get().partitionId(), []
-        for term, node in trie.walk():
-            for lang, (docs, by) in node.value.items():
-                if docs >= least_docs:
-                    out.append({"lang": lang, "range": place, "term": term, "sources": list(by), "counts": list(by.values())})
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_pylist(out, KEPT_SCHEMA)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, KEPT_SCHEMA)
+            held.append(batch)
+            size += batch.num_rows
+            if size > STEP_COUNTERS:
+                merged(found, held)
+                held, size = [], 0
+        if held:
+            merged(found, held)
+        terms, term, group, n, docs = found.walk()
+        if not len(term):
+            return
+        # groups in order of lang, so that those of a term's language stand together
+        names = list(found.groups)
+        langs = sorted({x for x, _ in names})
+        lang_of = np.array([langs.index(x) for x, _ in names])
+        lang = lang_of[group]
+        order = np.lexsort((group, lang, term))
+        term, lang, group, n, docs = (x[order] for x in (term, lang, group, n, docs))
+        head = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])])
+        keep = np.flatnonzero(np.add.reduceat(docs, head) >= least_docs)
+        ends = np.r_[head[1:], len(term)]
+        words, sources = pa.array(terms, pa.binary()), pa.array([x for _, x in names], pa.string())
+        place, tongues = TaskContext.get().partitionId(), pa.array(langs, pa.string())
+        for lo in range(0, len(keep), 20_000):
+            some = keep[lo : lo + 20_000]
+            size = ends[some] - head[some]
+            at = np.repeat(head[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            cuts = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+            columns = [tongues.take(pa.array(lang[head[some]])), pa.array(np.full(len(some), place, np.int32)), words.take(pa.array(term[head[some]]))]
+            columns += [pa.ListArray.from_arrays(cuts, sources.take(pa.array(group[at]))), pa.ListArray.from_arrays(cuts, pa.array(n[at]))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "range", "term", "sources", "counts"])
 
     return partial.repartitionByRange(ranges, "term").mapInArrow(run, KEPT)
 
 
-KEPT_SCHEMA = pa.schema([("lang", pa.string()), ("range", pa.int32()), ("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 FOUND = "lang string, source string, part string, item string, value long"
 FOUND_SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
@@ -187,7 +267,8 @@ def _range_sums(least: int):
             part = terms.slice(lo, width)
             sources, counts = part["sources"].combine_chunks(), part["counts"].combine_chunks()
             at = pc.list_parent_indices(sources).to_numpy()
-            who = np.array([place[x] for x in pc.list_flatten(sources).to_pylist()], np.int64)
+            who = pc.list_flatten(sources).dictionary_encode()
+            who = np.array([place[x] for x in who.dictionary.to_pylist()], np.int64)[who.indices.to_numpy()]
             c = np.zeros((part.num_rows, size), np.int64)
             c[at, who] = pc.list_flatten(counts).to_numpy()
             p, q = shares(c, total), shares(c.sum(axis=1), all_total)

@@ -150,6 +150,8 @@ def divergence_by_hand(rows, least, top):
 @pytest.mark.parametrize("counters", [source_divergence.BUDGET_COUNTERS, 5])
 def test_divergence_is_that_by_hand(spark, counters, monkeypatch):
     monkeypatch.setattr(source_divergence, "CELLS", 8)  # sources dealt in blocks, terms in short steps
+    monkeypatch.setattr(source_divergence, "STEP", 200 if counters == 5 else source_divergence.STEP)  # long texts in pieces
+    monkeypatch.setattr(source_divergence, "STEP_COUNTERS", 20 if counters == 5 else source_divergence.STEP_COUNTERS)
     rng = random.Random(5)
     words = ["Wort", "wort", "élan", "Élan", "naïve", "日本", "a", "b", "cc", "ccc", "x-y", "q1r"]
     rows = rows_of() + [(600 + i, " ".join(rng.choices(words, k=30)), rng.choice(["en", "de"]), rng.choice("stuvw")) for i in range(60)]
