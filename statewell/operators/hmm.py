@@ -315,16 +315,16 @@ def apply_models(df: DataFrame, models: DataFrame, features: list[str], packed_b
     chosen = models.where("chosen").select("series", "model")
     long, blocks = long_series(df, packed_bars), None
     if not long.isEmpty():
-        from .scan import block_rows, decode
+        from . import scan
 
-        rows = block_rows(df.join(long, "series", "left_semi"), features)
-        blocks = decode(rows, chosen.join(long, "series", "left_semi").withColumn("id", F.lit(""))).drop("id")
+        rows = scan.block_rows(df.join(long, "series", "left_semi"), features)
+        blocks = scan.decode(rows, chosen.join(long, "series", "left_semi").withColumn("id", F.lit(""))).drop("id")
         df = df.join(long, "series", "left_anti")
 
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t", kind="stable")
         if not len(rows) or not len(model):
-            return pd.DataFrame({"series": [], "t": [], "state": [], "smoothed": [], "filtered": []})
+            return pd.DataFrame({"series": [], "t": [], "state": [], "smoothed": [], "filtered": []}, dtype=object)
         out = decode(from_json(model["model"].iloc[0]), rows[features].to_numpy(float))
         return pd.DataFrame({"series": rows["series"], "t": rows["t"], "state": out["state"], "smoothed": out["smoothed"].tolist(), "filtered": out["filtered"].tolist()})
 

@@ -118,51 +118,114 @@ def garch_forecast(omega: float, alpha: float, beta: float, mu: float, last_retu
     return out
 
 
-def fit_garch(r: np.ndarray, gamma: np.ndarray, rounds: int = 400) -> dict[str, float]:
-    """Weighted likelihood fit; alpha + beta stays below 0.999 by its parametrisation. Nelder-Mead."""
-    w = gamma.sum()
-    mu = float((gamma * r).sum() / w) if w > 0 else 0.0
-    var = max(float((gamma * (r - mu) ** 2).sum() / w) if w > 0 else 1e-8, 1e-8)
+def linear_recurrence(u: np.ndarray, beta: np.ndarray, first: np.ndarray, block: int = 64) -> np.ndarray:
+    """y with y[:, 0] = first and y[:, t] = beta y[:, t - 1] + u[:, t], for each row.
+
+    A block of bars is one product with the powers of beta, so the loop is over blocks.
+    """
+    k, n = u.shape
+    out = np.empty((k, n))
+    out[:, 0], last = first, first
+    lag = np.subtract.outer(np.arange(block), np.arange(block))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        powers = np.where(lag >= 0, beta[:, None, None] ** np.maximum(lag, 0), 0.0)
+        carry = beta[:, None] ** np.arange(1, block + 1)
+    for lo in range(1, n, block):
+        part = u[:, lo : lo + block]
+        m = part.shape[1]
+        y = np.matmul(powers[:, :m, :m], part[:, :, None])[:, :, 0] + carry[:, :m] * last[:, None]
+        out[:, lo : lo + m], last = y, y[:, -1]
+    return out
+
+
+def garch_loss(r: np.ndarray, gamma: np.ndarray, mu: np.ndarray, omega: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted negative log likelihood of each state (a row of ``gamma``) and its gradient by omega, alpha, beta.
+
+    Variance and its three derivatives are linear recurrences in beta.
+    """
+    e2 = (r - mu[:, None]) ** 2
+    before = np.concatenate([np.zeros((len(mu), 1)), e2[:, :-1]], 1)
+    zero = np.zeros(len(mu))
+    v = linear_recurrence(omega[:, None] + alpha[:, None] * before, beta, np.full(len(mu), max(r.var(), 1e-8)))
+    v = np.maximum(v, 1e-12)
+    lagged = np.concatenate([np.zeros((len(mu), 1)), v[:, :-1]], 1)
+    loss = (gamma * (0.5 * np.log(v) + 0.5 * e2 / v)).sum(1)
+    slope = gamma * 0.5 * (1 / v - e2 / v**2)
+    return loss, np.stack([(slope * linear_recurrence(u, beta, zero)).sum(1) for u in (np.ones_like(v), before, lagged)], 1)
+
+
+def minimise(f, x: np.ndarray, rounds: int) -> np.ndarray:
+    """Minima of several functions at once by BFGS: ``f`` gives values and gradients of all rows of ``x``."""
+    n, d = x.shape
+    value, slope = f(x)
+    inverse = np.repeat(np.eye(d)[None], n, 0)
+    for _ in range(rounds):
+        step = -np.einsum("nij,nj->ni", inverse, slope)
+        down = np.einsum("ni,ni->n", step, slope)
+        uphill = ~(down < 0)
+        step[uphill], inverse[uphill] = -slope[uphill], np.eye(d)
+        down = np.einsum("ni,ni->n", step, slope)
+        step *= np.minimum(1.0, 2.0 / (np.abs(step).max(1) + 1e-300))[:, None]
+        size, found = np.ones(n), np.zeros(n, bool)
+        new, new_value, new_slope = x.copy(), value.copy(), slope.copy()
+        for _ in range(40):  # until each row is well below where it was
+            trial = np.where(found[:, None], new, x + size[:, None] * step)
+            v, g = f(trial)
+            good = ~found & np.isfinite(v) & (v <= value + 1e-4 * size * np.minimum(down, 0))
+            new[good], new_value[good], new_slope[good] = trial[good], v[good], g[good]
+            found |= good
+            if found.all():
+                break
+            size = np.where(found, size, size / 2)
+        moved, turned = new - x, new_slope - slope
+        curve = np.einsum("ni,ni->n", moved, turned)
+        for i in np.flatnonzero(curve > 1e-12):
+            rho, eye = 1 / curve[i], np.eye(d)
+            left = eye - rho * np.outer(moved[i], turned[i])
+            inverse[i] = left @ inverse[i] @ left.T + rho * np.outer(moved[i], moved[i])
+        gained = value - new_value
+        x, value, slope = new, new_value, new_slope
+        if not (gained > 1e-10 * (1 + np.abs(value))).any():
+            break
+    return x
+
+
+def fit_garch(r: np.ndarray, gamma: np.ndarray, rounds: int = 200, least: float = 10.0) -> dict[str, np.ndarray]:
+    """Weighted likelihood fits of all states side by side; ``gamma`` is (bars, states).
+
+    alpha + beta stays below 0.999 by the parametrisation. A state of less weight than
+    ``least`` bars, without variance, or whose fit is not finite has a constant one: alpha = beta = 0.
+    """
+    g = np.atleast_2d(gamma.T).astype(float)
+    w = g.sum(1)
+    safe = np.maximum(w, 1e-300)
+    mu = np.where(w > 0, (g * r).sum(1) / safe, 0.0)
+    var = np.where(w > 0, (g * (r - mu[:, None]) ** 2).sum(1) / safe, 0.0)
+    floor = np.maximum(var, 1e-8)
 
     def parts(p):
-        s, u = 0.5 * (1 + math.tanh(p[1] / 2)), 0.5 * (1 + math.tanh(p[2] / 2))
-        return max(math.exp(min(p[0], 50.0)), 1e-12), 0.999 * s * u, 0.999 * s * (1 - u)
+        with np.errstate(over="ignore"):
+            s, u = 1 / (1 + np.exp(-p[:, 1])), 1 / (1 + np.exp(-p[:, 2]))
+        return np.exp(np.minimum(p[:, 0], 50.0)) + 1e-12, 0.999 * s * u, 0.999 * s * (1 - u), s, u
 
     def loss(p):
-        v = garch_variance(r, *parts(p), mu)
-        return float((gamma * (0.5 * np.log(v) + 0.5 * (r - mu) ** 2 / v)).sum())
+        omega, alpha, beta, s, u = parts(p)
+        value, by = garch_loss(r, g, mu, omega, alpha, beta)
+        by_s, by_u = by[:, 1] * u + by[:, 2] * (1 - u), (by[:, 1] - by[:, 2]) * s
+        return value, np.stack([by[:, 0] * (omega - 1e-12), 0.999 * by_s * s * (1 - s), 0.999 * by_u * u * (1 - u)], 1)
 
-    best = nelder_mead(loss, np.array([math.log(0.05 * var), math.log(0.951 / 0.049), math.log(0.105 / 0.895)]), rounds)
-    omega, alpha, beta = parts(best)
-    return {"omega": omega, "alpha": alpha, "beta": beta, "mu": mu, "persistence": alpha + beta}
+    start = np.stack([np.log(0.05 * floor), np.full(len(w), math.log(0.951 / 0.049)), np.full(len(w), math.log(0.105 / 0.895))], 1)
+    best = minimise(loss, start, rounds) if len(r) > 1 else start
+    omega, alpha, beta, _, _ = parts(best)
+    flat = (w < least) | (var < 1e-14) | ~np.isfinite(best).all(1)
+    omega, alpha, beta = np.where(flat, floor, omega), np.where(flat, 0.0, alpha), np.where(flat, 0.0, beta)
+    return {"omega": omega, "alpha": alpha, "beta": beta, "mu": mu, "persistence": alpha + beta, "constant": flat}
 
 
-def nelder_mead(f, x0: np.ndarray, rounds: int) -> np.ndarray:
-    simplex = [x0] + [x0 + 0.25 * e for e in np.eye(len(x0))]
-    values = [f(x) for x in simplex]
-    for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-10:
-            break
-        mid = np.mean(simplex[:-1], 0)
-        x = mid + (mid - simplex[-1])
-        y = f(x)
-        if y < values[0]:
-            far = mid + 2 * (mid - simplex[-1])
-            z = f(far)
-            simplex[-1], values[-1] = (far, z) if z < y else (x, y)
-        elif y < values[-2]:
-            simplex[-1], values[-1] = x, y
-        else:
-            near = mid + 0.5 * (simplex[-1] - mid)
-            z = f(near)
-            if z < values[-1]:
-                simplex[-1], values[-1] = near, z
-            else:
-                simplex = [simplex[0]] + [simplex[0] + 0.5 * (x - simplex[0]) for x in simplex[1:]]
-                values = [values[0]] + [f(x) for x in simplex[1:]]
-    return simplex[int(np.argmin(values))]
+def weighted_volatility(r: np.ndarray, gamma: np.ndarray, omega, alpha, beta, mu) -> np.ndarray:
+    """Each bar's mean over the states of their conditional deviations, weighted by ``gamma``."""
+    vols = [np.sqrt(garch_variance(r, *p)) for p in zip(omega, alpha, beta, mu)]
+    return (gamma * np.stack(vols, 1)).sum(1)
 
 
 def kalman_level_velocity(y: np.ndarray, r: float | None = None, q: float = 1e-4, p0: float = 1.0, dt: float = 1.0) -> dict[str, np.ndarray]:
@@ -222,13 +285,17 @@ def hp_trend(y: np.ndarray, lam: float) -> np.ndarray:
     return z
 
 
-def bocpd(x: np.ndarray, hazard: float = 1 / 200, kappa0: float = 1.0, alpha0: float = 1.0, beta0: float | None = None, mu0: float = 0.0, least: float = 1e-12) -> np.ndarray:
-    """Probability of a change at each bar. Run lengths less likely than ``least`` are dropped, so memory doesn't grow with the square of the series."""
+def run_length_posterior(x: np.ndarray, hazard: float = 1 / 200, kappa0: float = 1.0, alpha0: float = 1.0, beta0: float | None = None, mu0: float = 0.0, least: float = 1e-12):
+    """For each bar: run lengths, their probabilities, and the probability that was dropped at this bar.
+
+    Run lengths less likely than ``least`` are dropped, so memory doesn't grow with the
+    square of the series. A missing value counts as the last one.
+    """
     beta0 = max(float(np.nanvar(x)), 1e-8) * alpha0 if beta0 is None else beta0
-    run, mu, kappa, alpha, beta = np.ones(1), np.array([mu0]), np.array([kappa0]), np.array([alpha0]), np.array([beta0])
-    out, last = np.zeros(len(x)), mu0
+    length, run, mu, kappa, alpha, beta = np.zeros(1, np.int64), np.ones(1), np.array([mu0]), np.array([kappa0]), np.array([alpha0]), np.array([beta0])
+    last = mu0
     lg = np.vectorize(math.lgamma, otypes=[float])
-    for i, v in enumerate(x):
+    for v in x:
         v = last = last if math.isnan(v) else float(v)
         dof, scale2 = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
         pred = np.exp(lg((dof + 1) / 2) - lg(dof / 2) - 0.5 * np.log(dof * math.pi * scale2) - (dof + 1) / 2 * np.log1p((v - mu) ** 2 / (dof * scale2)))
@@ -236,13 +303,25 @@ def bocpd(x: np.ndarray, hazard: float = 1 / 200, kappa0: float = 1.0, alpha0: f
         prob = np.r_[fresh, grown]
         whole = prob.sum()
         prob = prob / whole if whole > 1e-300 else np.r_[1.0, np.zeros(len(prob) - 1)]
-        out[i] = prob[0]
+        length = np.r_[0, length + 1]
         new = ((kappa * mu + v) / (kappa + 1), kappa + 1, alpha + 0.5, beta + 0.5 * kappa * (v - mu) ** 2 / (kappa + 1))
         mu, kappa, alpha, beta = (np.r_[p, a] for p, a in zip((mu0, kappa0, alpha0, beta0), new))
         keep = prob >= least
         keep[0] = True
-        run, mu, kappa, alpha, beta = prob[keep], mu[keep], kappa[keep], alpha[keep], beta[keep]
-    return out
+        yield length[keep], prob[keep], float(prob[~keep].sum())
+        length, run, mu, kappa, alpha, beta = length[keep], prob[keep], mu[keep], kappa[keep], alpha[keep], beta[keep]
+
+
+def bocpd(x: np.ndarray, **prior) -> np.ndarray:
+    """Probability of a change at each bar."""
+    return np.array([p[0] for _, p, _ in run_length_posterior(x, **prior)])
+
+
+def run_lengths(x: np.ndarray, **prior) -> dict[str, np.ndarray]:
+    """At each bar: probability of a change, likeliest and mean run length, and probability dropped so far at most."""
+    rows = [(p[0], n[p.argmax()], (n * p).sum(), lost) for n, p, lost in run_length_posterior(x, **prior)]
+    change, likeliest, mean, lost = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0),) * 4
+    return {"change_probability": change, "run_length": likeliest, "mean_run_length": mean, "lost": np.cumsum(lost)}
 
 
 def change_points(prob: np.ndarray, threshold: float = 0.3, least: int = 10) -> np.ndarray:

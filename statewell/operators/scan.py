@@ -156,7 +156,7 @@ def _filled(rows: DataFrame, links: DataFrame, kernel, kind: str) -> DataFrame:
             _, log_b, _ = density(model, bars)
             value = kernel(log_b, model, row)
             out.append(pd.DataFrame({"series": row.series, "id": row.id, "t": bars["t"].to_numpy(), "value": value.tolist()}))
-        return pd.concat(out) if out else pd.DataFrame({"series": [], "id": [], "t": [], "value": []})
+        return pd.concat(out) if out else pd.DataFrame({"series": [], "id": [], "t": [], "value": []}, dtype=object)
 
     return rows.groupBy(*KEYS).cogroup(links.groupBy(*KEYS)).applyInPandas(run, f"series string, id string, t long, value {kind}")
 

@@ -17,7 +17,7 @@ from ..sources import bars
 from ..streaming.trading import Live, replay
 from .base import CENTRES, SD, STATES, query, r, rounded, states
 from .queries_core import MEANS, SDS, START, TRANS
-from .queries_more import panel
+from .queries_more import _N, panel
 
 Spark = SparkSession
 _FEATURES = ["log_return", "volatility_w24"]
@@ -99,17 +99,45 @@ def change_points(spark: Spark, sf: str) -> DataFrame:
 
 @query()
 def garch_fit(spark: Spark, sf: str) -> DataFrame:
-    """Parameters of each series and state, one fit a group."""
+    """Parameters of each series and state; the states of a series are fitted side by side."""
     import pandas as pd
 
-    rows = states(spark, sf).select("series", "t", "ret", F.posexplode("posterior").alias("state", "w"))
-
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t", kind="stable")
-        out = rec.fit_garch(g["ret"].to_numpy(), g["w"].to_numpy())
-        return pd.DataFrame([{"series": g["series"].iloc[0], "state": int(g["state"].iloc[0]), **out}])
+        out = rec.fit_garch(g["ret"].to_numpy(), np.array(g["posterior"].tolist()))
+        return pd.DataFrame({"series": g["series"].iloc[0], "state": range(len(out["mu"]))} | out)
+
+    return states(spark, sf).select("series", "t", "ret", "posterior").groupBy("series").applyInPandas(run, "series string, state int, omega double, alpha double, beta double, mu double, persistence double, constant boolean")
+
+
+#: Fixed omega, alpha, beta and mean of three states.
+_GARCH = ([1e-5, 2e-5, 4e-5], [0.1, 0.05, 0.15], [0.8, 0.9, 0.7], [0.0002, 0.0, -0.0003])
+
+
+@query(STATES + _N + f""", gp AS (SELECT unnest([0, 1, 2]) AS k, unnest({_GARCH[0]}) AS om, unnest({_GARCH[1]}) AS al, unnest({_GARCH[2]}) AS be, unnest({_GARCH[3]}) AS mu),
+v AS (SELECT series, greatest(var_pop(ret), 1e-8) AS v FROM s GROUP BY 1),
+g AS (SELECT o.series, o.t, o.n, gp.*, v.v AS s2, o.ret FROM o JOIN v USING (series), gp WHERE n = 1
+UNION ALL SELECT o.series, o.t, o.n, k, om, al, be, mu, greatest(om + al * power(g.ret - mu, 2) + be * g.s2, 1e-12), o.ret FROM g JOIN o ON o.series = g.series AND o.n = g.n + 1)
+SELECT series, t, {r('sum(w * sqrt(s2))', 9)} AS vol FROM g JOIN e USING (series, t, k) GROUP BY 1, 2""")
+def garch_weighted_vol(spark: Spark, sf: str) -> DataFrame:
+    """Volatility of each bar over the states of fixed processes, weighted by its posterior."""
+    out = fold(states(spark, sf), lambda x, p: {"vol": rec.weighted_volatility(x, p, *_GARCH)}, ["ret", "posterior"], {"vol": "double"})
+    return rounded(out, 9)
+
+
+_PRED = "exp(lgamma(alpha + 0.5) - lgamma(alpha) - 0.5 * ln(2 * alpha * pi() * beta * (kappa + 1) / (alpha * kappa)) - (alpha + 0.5) * ln(1 + power(x - mu, 2) / (2 * alpha * beta * (kappa + 1) / (alpha * kappa))))"
+
 
-    return rows.groupBy("series", "state").applyInPandas(run, "series string, state int, omega double, alpha double, beta double, mu double, persistence double")
+@query(STATES + _N + f""", bo AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 0::BIGINT AS run, 1.0::DOUBLE AS p, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS kappa, 1.0::DOUBLE AS alpha, b0 AS beta, b0 FROM (SELECT series, greatest(var_pop(log_return), 1e-8) AS b0 FROM s GROUP BY 1)
+UNION ALL SELECT series, n, t, run, q / sum(q) OVER (PARTITION BY series), mu, kappa, alpha, beta, b0 FROM (
+SELECT series, n, t, b0, CASE WHEN grows THEN run + 1 ELSE 0 END AS run, pred * CASE WHEN grows THEN p * (1 - 1 / 200.0) ELSE 1 / 200.0 END::DOUBLE AS q, CASE WHEN grows THEN (kappa * mu + x) / (kappa + 1) ELSE 0 END AS mu,
+CASE WHEN grows THEN kappa + 1 ELSE 1 END AS kappa, CASE WHEN grows THEN alpha + 0.5 ELSE 1 END AS alpha, CASE WHEN grows THEN beta + 0.5 * kappa * power(x - mu, 2) / (kappa + 1) ELSE b0 END AS beta
+FROM (SELECT o.series, o.n, o.t, x, run, p, mu, kappa, alpha, beta, b0, {_PRED} AS pred FROM bo JOIN (SELECT series, n, t, log_return AS x FROM o) o ON o.series = bo.series AND o.n = bo.n + 1), (SELECT unnest([true, false]) AS grows) WHERE grows OR run = 0))
+SELECT series, t, {r('sum(CASE WHEN run = 0 THEN p END)')} AS change_probability, arg_max(run, p) AS run_length, {r('sum(run * p)', 5)} AS mean_run_length FROM bo WHERE n > 0 GROUP BY 1, 2""")
+def run_length_posterior(spark: Spark, sf: str) -> DataFrame:
+    """Probability of a change, likeliest and mean run length of each bar."""
+    out = fold(states(spark, sf), rec.run_lengths, ["log_return"], {"change_probability": "double", "run_length": "long", "mean_run_length": "double", "lost": "double"})
+    return rounded(out.withColumn("mean_run_length", F.round("mean_run_length", 5)).drop("lost"))
 
 
 _DUR = STATES + """, d AS (SELECT series, state, avg(length) - 1 AS e, coalesce(var_samp(length), 0) AS v, count(*) AS n_runs FROM runs GROUP BY 1, 2),
