@@ -46,21 +46,22 @@ def trend_signal(spark: Spark, sf: str) -> DataFrame:
     return rounded(states(spark, sf).select("series", "t", F.greatest(F.least(z, F.lit(1.0)), F.lit(-1.0)).alias("trend")))
 
 
-@query()
-def change_alignment(spark: Spark, sf: str) -> DataFrame:
-    """States before and after each change point (-1 before the first bar)."""
-
-    def run(x, k):
-        return {"change": rec.change_points(rec.bocpd(x), 0.05, 10), "state": k}
-
-    rows = fold(states(spark, sf), run, ["log_return", "state"], {"change": "boolean", "state": "int"})
-    rows = rows.withColumn("before", F.coalesce(F.lag("state").over(order()), F.lit(-1)))
-    return rows.where("change").select("series", "t", "before", F.col("state").alias("after"), (F.col("before") != F.col("state")).alias("changed"))
-
-
-@query()
+_FACTORS = STATES + """, ft AS (SELECT series, t, ret, log_return AS x, volatility_w24 AS y, p0, p1, p2, unnest([0, 1, 2, -1]) AS k, unnest([p0, p1, p2, 1.0]) AS w FROM s),
+fm AS (SELECT k, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM ft GROUP BY 1),
+fc AS (SELECT k, any_value(mx) AS mx, any_value(my) AS my, sum(w * power(x - mx, 2)) / any_value(sw) AS a, sum(w * power(y - my, 2)) / any_value(sw) AS d, sum(w * (x - mx) * (y - my)) / any_value(sw) AS b FROM ft JOIN fm USING (k) GROUP BY 1),
+fa AS (SELECT *, cos(0.5 * atan2(2 * b, a - d)) AS u, sin(0.5 * atan2(2 * b, a - d)) AS v FROM fc),
+fq AS (SELECT CASE WHEN u + v < 0 THEN -u ELSE u END AS ux, CASE WHEN u + v < 0 THEN -v ELSE v END AS uy, CASE WHEN u - v < 0 THEN v ELSE -v END AS vx, CASE WHEN u - v < 0 THEN -u ELSE u END AS vy FROM fa WHERE k = -1),
+fl AS (SELECT k, mx, my, u * sign(u * ux + v * uy) AS l00, v * sign(u * ux + v * uy) AS l10, -v * sign(-v * vx + u * vy) AS l01, u * sign(-v * vx + u * vy) AS l11 FROM fa, fq WHERE k >= 0),
+fb AS (SELECT series, t, any_value(ret) AS ret, sum(w * l00) AS l00, sum(w * l10) AS l10, sum(w * l01) AS l01, sum(w * l11) AS l11, any_value(x) - sum(w * mx) AS cx, any_value(y) - sum(w * my) AS cy FROM ft JOIN fl USING (k) GROUP BY 1, 2),
+fs AS (SELECT *, cx * l00 + cy * l10 AS g0, cx * l01 + cy * l11 AS g1 FROM fb),
+fn AS (SELECT sum(g0 * g0) AS s00, sum(g0 * g1) AS s01, sum(g1 * g1) AS s11, sum(g0 * ret) AS y0, sum(g1 * ret) AS y1 FROM fs),
+ff AS (SELECT fs.*, g0 * (s11 * y0 - s01 * y1) / (s00 * s11 - s01 * s01) AS c0, g1 * (s00 * y1 - s01 * y0) / (s00 * s11 - s01 * s01) AS c1 FROM fs, fn)"""
+
+
+@query(_FACTORS + f" SELECT series, t, {r('l00')} AS loading_0, {r('l01')} AS loading_1, {r('g0')} AS factor_0, {r('g1')} AS factor_1, {r('c0', 5)} AS contribution_0, {r('c1', 5)} AS contribution_1, {r('ret - c0 - c1', 5)} AS residual FROM ff")
 def factor_projection(spark: Spark, sf: str) -> DataFrame:
     df = states(spark, sf)
     model = factors.fit(df, _FEATURES, 2)
     out = factors.decompose(factors.project(factors.exposure(df, model, 0), _FEATURES, model), "ret", ["factor_0", "factor_1"])
-    return out.select("series", "t", "loading_0", "loading_1", "factor_0", "factor_1", "contribution_0", "contribution_1", "residual")
+    five = [F.round(c, 5).alias(c) for c in ("contribution_0", "contribution_1", "residual")]
+    return rounded(out.select("series", "t", "loading_0", "loading_1", "factor_0", "factor_1", *five))

@@ -17,7 +17,7 @@ from ..sources import bars
 from ..streaming.trading import Live, replay
 from .base import CENTRES, SD, STATES, query, r, rounded, states
 from .queries_core import MEANS, SDS, START, TRANS
-from .queries_more import _N, panel
+from .queries_more import _N, PANEL, panel
 
 Spark = SparkSession
 _FEATURES = ["log_return", "volatility_w24"]
@@ -88,15 +88,6 @@ def stress_losses(spark: Spark, sf: str) -> DataFrame:
     return simulation.stress(spark, [x.asDict() for x in rows], [1 / max(1, len(rows))] * len(rows))
 
 
-@query()
-def change_points(spark: Spark, sf: str) -> DataFrame:
-    def run(x):
-        p = rec.bocpd(x)
-        return {"p": p, "change": rec.change_points(p)}
-
-    return fold(states(spark, sf), run, ["log_return"], {"p": "double", "change": "boolean"})
-
-
 @query()
 def garch_fit(spark: Spark, sf: str) -> DataFrame:
     """Parameters of each series and state; the states of a series are fitted side by side."""
@@ -128,18 +119,52 @@ def garch_weighted_vol(spark: Spark, sf: str) -> DataFrame:
 _PRED = "exp(lgamma(alpha + 0.5) - lgamma(alpha) - 0.5 * ln(2 * alpha * pi() * beta * (kappa + 1) / (alpha * kappa)) - (alpha + 0.5) * ln(1 + power(x - mu, 2) / (2 * alpha * beta * (kappa + 1) / (alpha * kappa))))"
 
 
-@query(STATES + _N + f""", bo AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 0::BIGINT AS run, 1.0::DOUBLE AS p, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS kappa, 1.0::DOUBLE AS alpha, b0 AS beta, b0 FROM (SELECT series, greatest(var_pop(log_return), 1e-8) AS b0 FROM s GROUP BY 1)
+_RUNS = STATES + _N + f""", bo AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 0::BIGINT AS run, 1.0::DOUBLE AS p, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS kappa, 1.0::DOUBLE AS alpha, b0 AS beta, b0 FROM (SELECT series, greatest(var_pop(log_return), 1e-8) AS b0 FROM s GROUP BY 1)
 UNION ALL SELECT series, n, t, run, q / sum(q) OVER (PARTITION BY series), mu, kappa, alpha, beta, b0 FROM (
 SELECT series, n, t, b0, CASE WHEN grows THEN run + 1 ELSE 0 END AS run, pred * CASE WHEN grows THEN p * (1 - 1 / 200.0) ELSE 1 / 200.0 END::DOUBLE AS q, CASE WHEN grows THEN (kappa * mu + x) / (kappa + 1) ELSE 0 END AS mu,
 CASE WHEN grows THEN kappa + 1 ELSE 1 END AS kappa, CASE WHEN grows THEN alpha + 0.5 ELSE 1 END AS alpha, CASE WHEN grows THEN beta + 0.5 * kappa * power(x - mu, 2) / (kappa + 1) ELSE b0 END AS beta
-FROM (SELECT o.series, o.n, o.t, x, run, p, mu, kappa, alpha, beta, b0, {_PRED} AS pred FROM bo JOIN (SELECT series, n, t, log_return AS x FROM o) o ON o.series = bo.series AND o.n = bo.n + 1), (SELECT unnest([true, false]) AS grows) WHERE grows OR run = 0))
-SELECT series, t, {r('sum(CASE WHEN run = 0 THEN p END)')} AS change_probability, arg_max(run, p) AS run_length, {r('sum(run * p)', 5)} AS mean_run_length FROM bo WHERE n > 0 GROUP BY 1, 2""")
+FROM (SELECT o.series, o.n, o.t, x, run, p, mu, kappa, alpha, beta, b0, {_PRED} AS pred FROM bo JOIN (SELECT series, n, t, log_return AS x FROM o) o ON o.series = bo.series AND o.n = bo.n + 1), (SELECT unnest([true, false]) AS grows) WHERE grows OR run = 0))"""
+
+
+@query(_RUNS + f" SELECT series, t, {r('sum(CASE WHEN run = 0 THEN p END)')} AS change_probability, arg_max(run, p) AS run_length, {r('sum(run * p)', 5)} AS mean_run_length FROM bo WHERE n > 0 GROUP BY 1, 2")
 def run_length_posterior(spark: Spark, sf: str) -> DataFrame:
     """Probability of a change, likeliest and mean run length of each bar."""
     out = fold(states(spark, sf), rec.run_lengths, ["log_return"], {"change_probability": "double", "run_length": "long", "mean_run_length": "double", "lost": "double"})
     return rounded(out.withColumn("mean_run_length", F.round("mean_run_length", 5)).drop("lost"))
 
 
+def marked(threshold: float, least: int = 10) -> str:
+    """Bars whose probability of a change is ``threshold`` or more, ``least`` bars after the last such bar."""
+    return f""", cp AS (SELECT series, n, t, p FROM bo WHERE run = 0 AND n > 0),
+mk AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 0.0::DOUBLE AS p, -1000000000::BIGINT AS last, false AS change FROM (SELECT DISTINCT series FROM cp)
+UNION ALL SELECT cp.series, cp.n, cp.t, cp.p, CASE WHEN cp.p >= {threshold} AND cp.n - mk.last >= {least} THEN cp.n ELSE mk.last END, cp.p >= {threshold} AND cp.n - mk.last >= {least} FROM mk JOIN cp ON cp.series = mk.series AND cp.n = mk.n + 1)"""
+
+
+@query(_RUNS + marked(0.3) + f" SELECT series, t, {r('p')} AS p, change FROM mk WHERE n > 0")
+def change_points(spark: Spark, sf: str) -> DataFrame:
+    def run(x):
+        p = rec.bocpd(x)
+        return {"p": p, "change": rec.change_points(p)}
+
+    return rounded(fold(states(spark, sf), run, ["log_return"], {"p": "double", "change": "boolean"}))
+
+
+@query(_RUNS + marked(0.05) + """, k AS (SELECT series, t, state AS after, coalesce(lag(state) OVER (PARTITION BY series ORDER BY t), -1) AS before FROM s)
+SELECT series, t, before, after, before != after AS changed FROM mk JOIN k USING (series, t) WHERE change""")
+def change_alignment(spark: Spark, sf: str) -> DataFrame:
+    """States before and after each change point (-1 before the first bar)."""
+    return change_alignment_of(states(spark, sf), 0.05)
+
+
+def change_alignment_of(df: DataFrame, threshold: float) -> DataFrame:
+    def run(x, k):
+        return {"change": rec.change_points(rec.bocpd(x), threshold, 10), "state": k}
+
+    rows = fold(df, run, ["log_return", "state"], {"change": "boolean", "state": "int"})
+    rows = rows.withColumn("before", F.coalesce(F.lag("state").over(order()), F.lit(-1)))
+    return rows.where("change").select("series", "t", "before", F.col("state").alias("after"), (F.col("before") != F.col("state")).alias("changed"))
+
+
 _DUR = STATES + """, d AS (SELECT series, state, avg(length) - 1 AS e, coalesce(var_samp(length), 0) AS v, count(*) AS n_runs FROM runs GROUP BY 1, 2),
 q AS (SELECT *, CASE WHEN v > e AND e > 0 THEN (v - e) / v WHEN e > 0 THEN greatest(1 - 1 / greatest(e, 1e-9), 0) ELSE 0.5 END AS p0 FROM d),
 z AS (SELECT series, state, n_runs, greatest(least(CASE WHEN v > e AND e > 0 THEN e * (1 - p0) / p0 ELSE 1 END, 50), 0.5) AS r, greatest(least(p0, 0.99), 0.01) AS p FROM q)"""
@@ -172,6 +197,66 @@ def factor_shares(spark: Spark, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "series string, state int, share_1 double"))
 
 
+# --- the panel of three series in SQL: closed forms of 3 x 3 matrices ---
+
+_R3 = range(3)
+
+
+def _adjugate(m: str) -> tuple[list[list[str]], str]:
+    """Cofactors and determinant of the symmetric matrix of columns m00, m01, ..., m22."""
+    c = [[f"{m}{min(i, j)}{max(i, j)}" for j in _R3] for i in _R3]
+
+    def cofactor(i, j):
+        (a, b), (x, y) = [k for k in _R3 if k != i], [k for k in _R3 if k != j]
+        return f"({'' if (i + j) % 2 == 0 else '-'}({c[a][x]} * {c[b][y]} - {c[a][y]} * {c[b][x]}))"
+
+    adj = [[cofactor(i, j) for j in _R3] for i in _R3]
+    return adj, "(" + " + ".join(f"{c[0][j]} * {adj[0][j]}" for j in _R3) + ")"
+
+
+def _sym(name: str, make) -> str:
+    """Columns name00 to name22 of a symmetric matrix."""
+    return ", ".join(f"{make(i, j)} AS {name}{i}{j}" for i in _R3 for j in range(i, 3))
+
+
+def _of(m: str, i: int, j: int) -> str:
+    return f"{m}{min(i, j)}{max(i, j)}"
+
+
+def _simplex(v: str, i: int) -> str:
+    """The nearest weight of v0, v1, v2 that is not negative, where all sum to one."""
+    u = [f"list_reverse_sort([{v}0, {v}1, {v}2])[{k}]" for k in (1, 2, 3)]
+    t = [f"({' + '.join(u[:k])} - 1) / {k}" for k in (1, 2, 3)]
+    return f"greatest({v}{i} - CASE WHEN {u[2]} > {t[2]} THEN {t[2]} WHEN {u[1]} > {t[1]} THEN {t[1]} ELSE {t[0]} END, 0)"
+
+
+_ADJ, _DET = _adjugate("c")
+_ASSETS = ["F", "O", "P"]
+_PM = PANEL + f""", pl AS (SELECT *, lag(ret) OVER (PARTITION BY series ORDER BY t) AS back FROM pn),
+wd AS (SELECT * FROM (SELECT t, {", ".join(f"max(ret) FILTER (series = '{a}') AS r{i}, max(back) FILTER (series = '{a}') AS l{i}" for i, a in enumerate(_ASSETS))} FROM pl GROUP BY 1) WHERE {" AND ".join(f"r{i} IS NOT NULL AND l{i} IS NOT NULL" for i in _R3)}),
+wx AS (SELECT *, {", ".join(f"exp(-0.5 * power(((0.0 + r0 + r1 + r2) / 3 * 100 - ({c})) / {SD}, 2)) AS g{k}" for k, c in enumerate(CENTRES))} FROM wd),
+wk AS (SELECT t, r0, r1, r2, l0, l1, l2, unnest([0, 1, 2, -1]) AS state, unnest([g0 / (g0 + g1 + g2), g1 / (g0 + g1 + g2), g2 / (g0 + g1 + g2), 1.0]) AS w FROM wx),
+mu AS (SELECT state, sum(w) AS sw, {", ".join(f"sum(w * r{i}) / sum(w) AS m{i}, sum(w * l{i}) / sum(w) AS k{i}" for i in _R3)} FROM wk GROUP BY 1),
+cv AS (SELECT state, any_value(sw) AS sw, {", ".join(f"any_value(m{i}) AS m{i}" for i in _R3)}, {_sym("c", lambda i, j: f"sum(w * (r{i} - m{i}) * (r{j} - m{j})) / any_value(sw)" + (" + 1e-6" if i == j else ""))},
+{_sym("x", lambda i, j: f"sum(w * (l{i} - k{i}) * (l{j} - k{j})) / any_value(sw)")}, {", ".join(f"sum(w * (l{i} - k{i}) * (r{j} - m{j})) / any_value(sw) AS y{i}{j}" for i in _R3 for j in _R3)} FROM wk JOIN mu USING (state) GROUP BY 1),
+a1 AS (SELECT *, {", ".join("(" + " + ".join(_ADJ[i]) + f") / {_DET} AS a{i}" for i in _R3)}, {", ".join("(" + " + ".join(f"{_ADJ[i][j]} * m{j}" for j in _R3) + f") / {_DET} AS b{i}" for i in _R3)} FROM cv),
+a2 AS (SELECT *, {", ".join(f"a{i} / (a0 + a1 + a2) AS p{i}, CASE WHEN b0 + b1 + b2 > 1e-12 THEN b{i} / (b0 + b1 + b2) ELSE a{i} / (a0 + a1 + a2) END AS q{i}" for i in _R3)} FROM a1),
+mv AS (SELECT *, {", ".join(f"{_simplex('p', i)} AS u{i}, {_simplex('q', i)} AS v{i}" for i in _R3)} FROM a2)"""
+_ASSET_ROWS = f"(SELECT unnest({_ASSETS}) AS asset, unnest([1, 2, 3]) AS i)"
+_POSTERIOR, _POSTERIOR_DET = _adjugate("h")
+_BL = _PM + f""", tc AS (SELECT state, m0, m1, m2, {_sym("g", lambda i, j: f"{_ADJ[i][j]} / {_DET} / 0.05")} FROM cv),
+th AS (SELECT *, {_sym("h", lambda i, j: f"g{i}{j}" + (" + 1000" if i == j else ""))}, {", ".join(" + ".join(f"{_of('g', i, j)} * m{j}" for j in _R3) + f" + 1000 * 5e-4 AS e{i}" for i in _R3)} FROM tc),
+bl AS (SELECT state, [{", ".join("(" + " + ".join(f"{_POSTERIOR[i][j]} * e{j}" for j in _R3) + f") / {_POSTERIOR_DET}" for i in _R3)}] AS x FROM th)"""
+_RIDGED, _RIDGED_DET = _adjugate("z")
+_VAR = _PM + f""", vr AS (SELECT *, {_sym("z", lambda i, j: f"x{i}{j}" + (" + 1e-6 / sw" if i == j else ""))} FROM cv),
+vb AS (SELECT *, {", ".join("(" + " + ".join(f"{_RIDGED[j][k]} * y{k}{i}" for k in _R3) + f") / {_RIDGED_DET} AS f{i}{j}" for i in _R3 for j in _R3)} FROM vr),
+vs AS (SELECT *, {_sym("s", lambda i, j: f"c{i}{j}" + (" - 1e-6" if i == j else "") + "".join(f" - f{i}{k} * y{k}{j} - y{k}{i} * f{j}{k}" for k in _R3) + "".join(f" + f{i}{k} * {_of('x', k, n)} * f{j}{n}" for k in _R3 for n in _R3))} FROM vb),
+vl AS (SELECT *, sqrt(s00) AS t00, s01 / sqrt(s00) AS t10, s02 / sqrt(s00) AS t20, sqrt(s11 - s01 * s01 / s00) AS t11, (s12 - s01 * s02 / s00) / sqrt(s11 - s01 * s01 / s00) AS t21,
+sqrt(s22 - s02 * s02 / s00 - power((s12 - s01 * s02 / s00) / sqrt(s11 - s01 * s01 / s00), 2)) AS t22 FROM vs),
+ir AS (SELECT state, {", ".join(f"f{i}{j}" for i in _R3 for j in _R3)}, shock, 0 AS horizon, [t00, 0.0, 0.0][shock] AS e0, [t10, t11, 0.0][shock] AS e1, [t20, t21, t22][shock] AS e2 FROM vl, (SELECT unnest([1, 2, 3]) AS shock)
+UNION ALL SELECT state, {", ".join(f"f{i}{j}" for i in _R3 for j in _R3)}, shock, horizon + 1, {", ".join(" + ".join(f"f{i}{j} * e{j}" for j in _R3) for i in _R3)} FROM ir WHERE horizon < 10)"""
+
+
 def _wide(spark: Spark, sf: str) -> tuple[DataFrame, list[str]]:
     """Returns and last returns of all series side by side, for each of three states and for all (-1) with its weight w.
 
@@ -198,7 +283,7 @@ def _var(spark: Spark, sf: str, make, columns: str) -> DataFrame:
     return rounded(dense.by_series(moments, each, f"state int, {columns}").drop("series"))
 
 
-@query()
+@query(_VAR + f" SELECT state, {_ASSETS}[shock] AS shock, horizon::INT AS horizon, asset AS response_of, {r('[e0, e1, e2][i]')} AS response FROM ir, {_ASSET_ROWS}")
 def regime_var(spark: Spark, sf: str) -> DataFrame:
     """Impulse responses of each state's vector autoregression of the panel's returns; -1 is all bars."""
 
@@ -210,7 +295,7 @@ def regime_var(spark: Spark, sf: str) -> DataFrame:
     return _var(spark, sf, make, "shock string, horizon int, response_of string, response double")
 
 
-@query()
+@query(_VAR + f" SELECT state, {_ASSETS}[j] AS cause, asset AS effect, {r('abs([[f00, f01, f02], [f10, f11, f12], [f20, f21, f22]][i][j])')} AS strength FROM vb, {_ASSET_ROWS}, (SELECT unnest([1, 2, 3]) AS j)")
 def granger_table(spark: Spark, sf: str) -> DataFrame:
     """How much each series' past moves each other, by state."""
 
@@ -232,13 +317,13 @@ def _moments(spark: Spark, sf: str, make, columns: str) -> DataFrame:
     return rounded(dense.by_series(moments, each, f"state int, {columns}").drop("series"))
 
 
-@query()
+@query(_PM + f" SELECT state, asset, {r('[u0, u1, u2][i]')} AS min_variance, {r('[v0, v1, v2][i]')} AS max_sharpe FROM mv, {_ASSET_ROWS}")
 def mean_variance(spark: Spark, sf: str) -> DataFrame:
     """Weights of least variance and of the best ratio, by state and for all bars (-1)."""
     return _moments(spark, sf, lambda names, m, c: zip(names, pf.min_variance(c).tolist(), pf.max_sharpe(m, c).tolist()), "asset string, min_variance double, max_sharpe double")
 
 
-@query()
+@query(_PM + f" SELECT t, asset, {r('sum(w * round([v0, v1, v2][i], 6)) / sum(w)')} AS weight FROM wk JOIN mv USING (state), {_ASSET_ROWS} WHERE state >= 0 GROUP BY 1, 2")
 def blended_mean_variance(spark: Spark, sf: str) -> DataFrame:
     """The states' best weights mixed by each bar's posterior."""
     rows, names = _wide(spark, sf)
@@ -246,13 +331,13 @@ def blended_mean_variance(spark: Spark, sf: str) -> DataFrame:
     return rounded(rows.where("state >= 0").select("t", "state", "w").join(best, "state").groupBy("t", "asset").agg((F.sum(F.col("w") * F.col("max_sharpe")) / F.sum("w")).alias("weight")))
 
 
-@query()
+@query(_PM + f", fr AS (SELECT *, unnest(range(30))::INT AS point FROM mv), fw AS (SELECT *, {', '.join(f'(1 - point / 29.0) * u{i} + point / 29.0 * v{i} AS o{i}' for i in _R3)} FROM fr) SELECT state, point, {r('sqrt(' + ' + '.join(f'o{i} * o{j} * ' + _of('c', i, j) for i in _R3 for j in _R3) + ')')} AS volatility, {r('o0 * m0 + o1 * m1 + o2 * m2')} AS mean FROM fw")
 def efficient_frontier(spark: Spark, sf: str) -> DataFrame:
     """Volatility and return of mixes between the two portfolios of each state."""
     return _moments(spark, sf, lambda names, m, c: [(i, *p) for i, p in enumerate(pf.frontier(m, c))], "point int, volatility double, mean double")
 
 
-@query()
+@query(_BL + f" SELECT state, asset, {r('x[i]')} AS posterior_mean FROM bl, {_ASSET_ROWS}")
 def black_litterman(spark: Spark, sf: str) -> DataFrame:
     """Each state's means drawn toward the view that all earn 0.0005, with precision 1000."""
 
