@@ -261,6 +261,16 @@ def agreement(p: DataFrame, score: str = "score") -> DataFrame:
     return p.groupBy("series_a", "series_b").agg(F.avg(same).alias("agreement"), _corr(f"{score}_a", f"{score}_b").alias("score_corr"))
 
 
+def agreement_matrix(p: DataFrame, score: str = "score") -> DataFrame:
+    """series_a, series_b, agreement in both orders with 1 on the diagonal, and overall, the mean over pairs."""
+    of = agreement(p, score).select("series_a", "series_b", "agreement")
+    names = of.select(F.explode(F.array("series_a", "series_b")).alias("series_a")).distinct()
+    whole = of.unionByName(of.select(F.col("series_b").alias("series_a"), F.col("series_a").alias("series_b"), "agreement"))
+    whole = whole.unionByName(names.select("series_a", F.col("series_a").alias("series_b"), F.lit(1.0).alias("agreement")))
+    overall = of.agg(F.avg("agreement").alias("overall")).withColumn("__one", F.lit(1))  # one row
+    return whole.withColumn("__one", F.lit(1)).join(F.broadcast(overall), "__one").drop("__one")
+
+
 def rolling_agreement(p: DataFrame, score: str = "score", window: int = 20) -> DataFrame:
     same = ((F.col(f"{score}_a") > 0) == (F.col(f"{score}_b") > 0)).cast("double")
     frame = Window.partitionBy("series_a", "series_b").orderBy("t").rowsBetween(1 - window, 0)

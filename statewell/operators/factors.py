@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.posterior import dot, numbers
-from .dense import principal, weighted_sums
+from .dense import by_series as dense_rows
+from .dense import factor_stability, principal, weighted_moments, weighted_sums
 
 
 def fit(df: DataFrame, columns: list[str], n: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -22,6 +23,27 @@ def fit(df: DataFrame, columns: list[str], n: int) -> dict[int, tuple[np.ndarray
     return out
 
 
+def by_series(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """series, state (-1: all bars), factor, share of variance, loadings (as ``columns``), similarity and stability.
+
+    similarity: cosine of a state's loadings with those of all bars, whose signs they take;
+    stability: mean absolute cosine of a factor over all pairs of the series' states.
+    """
+    rows = df.select("series", *columns, F.posexplode("posterior").alias("state", "w")).unionByName(df.select("series", *columns, F.lit(-1).alias("state"), F.lit(1.0).alias("w")))
+
+    def make(found, weights, mean, cov):
+        at = {k: c for k, c in zip(found, cov)}
+        whole, share = principal(at[-1], n)
+        each = {-1: (whole, share)} | {k: principal(c, n, whole) for k, c in at.items() if k >= 0}
+        steady = factor_stability([v for k, (v, _) in each.items() if k >= 0] or [whole])
+        for k, (loadings, shares) in sorted(each.items()):
+            near = (loadings * whole).sum(0) / (np.linalg.norm(loadings, axis=0) * np.linalg.norm(whole, axis=0) + 1e-15)
+            for j in range(loadings.shape[1]):
+                yield (int(k), j, float(shares[j]), loadings[:, j].tolist(), float(near[j]), float(steady[j]))
+
+    return dense_rows(weighted_moments(rows, columns, ["series", "state"]), make, "state int, factor int, share double, loadings array<double>, similarity double, stability double")
+
+
 def _blend(values: list[float]) -> Column:
     return dot(F.col("posterior"), numbers(values))
 

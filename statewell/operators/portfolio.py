@@ -184,3 +184,17 @@ def black_litterman(prior: np.ndarray, cov: np.ndarray, views: np.ndarray, confi
     precision = np.linalg.inv(tau * cov)
     trust = np.diag(confidence)
     return np.linalg.solve(precision + trust, precision @ prior + trust @ views)
+
+
+def state_weights(df: DataFrame, columns: list[str], ridge: float = 1e-6) -> DataFrame:
+    """series, state, column, min_variance and max_sharpe: weights of ``columns`` as assets, by state and for all bars (-1)."""
+    from .dense import by_series, weighted_moments
+
+    rows = df.select("series", *columns, F.posexplode("posterior").alias("state", "w")).unionByName(df.select("series", *columns, F.lit(-1).alias("state"), F.lit(1.0).alias("w")))
+
+    def make(found, weights, mean, cov):
+        for k, m, c in zip(found, mean, cov):
+            c = c + ridge * np.eye(len(columns))
+            yield from ((int(k), name, float(a), float(b)) for name, a, b in zip(columns, min_variance(c), max_sharpe(m, c)))
+
+    return by_series(weighted_moments(rows, columns, ["series", "state"]), make, "state int, column string, min_variance double, max_sharpe double")

@@ -112,3 +112,19 @@ def chains(df: DataFrame, k: int, make, columns: str) -> DataFrame:
         return pd.DataFrame([(g["series"].iloc[0], *row) for row in make(m)], columns=names)
 
     return transition_matrix(df).groupBy("series").applyInPandas(run, f"series string, {columns}")
+
+
+def labels(df: DataFrame, ret: str = "ret", volatility: str | None = None) -> DataFrame:
+    """series, state, mean, label and volatility_rank: states named by their rank of mean return.
+
+    Two states are bearish and bullish, three low, mid and high, more have their rank. The
+    volatility rank is that of the mean of ``volatility``, or of the deviation of returns.
+    """
+    risk = F.avg(volatility) if volatility else F.stddev_samp(ret)
+    by = df.groupBy("series", "state").agg(F.avg(ret).alias("mean"), F.coalesce(risk, F.lit(0.0)).alias("__risk"))
+    series = Window.partitionBy("series")
+    rank = F.row_number().over(series.orderBy("mean", "state"))
+    by = by.withColumn("__rank", rank).withColumn("__n", F.count("*").over(series))
+    label = F.when(F.col("__n") == 2, F.try_element_at(F.array(F.lit("bearish"), F.lit("bullish")), F.col("__rank"))).when(F.col("__n") == 3, F.try_element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("high")), F.col("__rank"))).otherwise((F.col("__rank") - 1).cast("string"))
+    order_ = F.row_number().over(series.orderBy("__risk", "state")) - 1
+    return by.select("series", "state", "mean", label.alias("label"), order_.alias("volatility_rank"))

@@ -80,3 +80,18 @@ def walk_forward(df: DataFrame, features: list[str], k: int, days: int = 180, re
 def walk_forward_backtest(df: DataFrame, features: list[str], k: int, config: Backtest | None = None, **options) -> DataFrame:
     """One backtest over all folds' bars."""
     return backtest(walk_forward(df, features, k, **options), config=config)
+
+
+def fold_summary(rows: DataFrame, ret: str = "ret", bars_per_year: float = 8760.0) -> DataFrame:
+    """One row for each fold of :func:`walk_forward`: its first and last bar, bars, return, Sharpe ratio of holding, states met, training likelihood."""
+    r = F.col(ret)
+    return rows.groupBy("series", "fold").agg(
+        F.min("t").alias("first"),
+        F.max("t").alias("last"),
+        F.count("*").alias("oos_bars"),
+        F.count_distinct("state").alias("states"),
+        F.avg("signal").alias("mean_signal"),
+        (F.exp(F.sum(r)) - 1).alias("total_return"),
+        F.when(F.stddev_samp(r) > 1e-12, F.avg(r) / F.stddev_samp(r) * bars_per_year**0.5).alias("sharpe"),
+        F.first("train_log_lik").alias("train_log_lik"),
+    )

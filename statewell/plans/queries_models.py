@@ -16,7 +16,7 @@ from ..operators.performance import Backtest, tails
 from ..sources import bars
 from ..streaming.trading import Live, replay
 from .base import CENTRES, SD, STATES, query, r, rounded, states
-from .queries_core import MEANS, SDS, START, TRANS
+from .queries_core import _FILTER, MEANS, SDS, START, TRANS
 from .queries_more import _N, PANEL, panel
 
 Spark = SparkSession
@@ -347,9 +347,21 @@ def black_litterman(spark: Spark, sf: str) -> DataFrame:
     return _moments(spark, sf, make, "asset string, posterior_mean double")
 
 
-@query()
+_LIVE = _FILTER + f""", lb AS (SELECT fl.series, fl.n, fl.t, CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END AS k, exp(greatest(a0, a1, a2)) AS conf, close FROM fl JOIN s ON s.series = fl.series AND s.t = fl.t WHERE n > 0),
+lv AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, -1 AS prev, 0.0::DOUBLE AS conf, 0 AS since, false AS fired, false AS alert, -1.0::DOUBLE AS held, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS average, 0.0::DOUBLE AS realized, 0.0::DOUBLE AS close, 0 AS k FROM (SELECT DISTINCT series FROM lb)
+UNION ALL SELECT series, n, t, CASE WHEN n > 10 THEN k ELSE prev END, conf, CASE WHEN hit THEN 0 WHEN n > 10 THEN since + 1 ELSE since END, fired OR hit, hit, CASE WHEN n > 10 THEN w ELSE held END, cash - change * fill,
+CASE WHEN abs(pos + change) < 1e-12 THEN 0.0 ELSE pos + change END, CASE WHEN abs(pos + change) < 1e-12 THEN 0.0 WHEN change > 0 THEN (pos * average + change * fill) / (pos + change) ELSE average END,
+realized + CASE WHEN change < 0 THEN least(-change, pos) * (fill - average) ELSE 0.0 END, close, k FROM (
+SELECT *, close * CASE WHEN change > 0 THEN 1.0005 ELSE 0.9995 END AS fill FROM (SELECT *, CASE WHEN abs(raw) < 1e-10 THEN 0.0 ELSE raw END AS change FROM (
+SELECT *, CASE WHEN n > 10 AND (held < 0 OR abs(w - held) > 0.01) THEN (cash + pos * close) * w / close - pos ELSE 0.0 END AS raw FROM (
+SELECT lb.series, lb.n, lb.t, lb.k, lb.conf, lb.close, lv.prev, lv.since, lv.fired, lv.held, lv.cash, lv.pos, lv.average, lv.realized, CASE lb.k WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS w,
+lb.n > 10 AND lv.prev >= 0 AND lb.k != lv.prev AND lb.conf >= 0.6 AND (NOT lv.fired OR lv.since + 1 > 3) AS hit FROM lv JOIN lb ON lb.series = lv.series AND lb.n = lv.n + 1)))))"""
+
+
+@query(_LIVE + f" SELECT series, t, k AS state, {r('conf')} AS confidence, alert, {r('pos', 4)} AS position, {r('cash + pos * close', 4)} AS equity, {r('realized', 4)} AS realized FROM lv WHERE n > 0")
 def live_replay(spark: Spark, sf: str) -> DataFrame:
     config = Live(tuple(START), tuple(map(tuple, TRANS)), tuple(MEANS), tuple(SDS), {0: 0.0, 1: 0.5, 2: 1.0}, warmup=10)
-    return replay(states(spark, sf), config)
+    rows = replay(states(spark, sf), config)
+    return rounded(rows.withColumns({c: F.round(c, 4) for c in ("position", "equity", "realized")}))
 
 

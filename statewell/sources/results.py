@@ -21,6 +21,8 @@ FILL = T.StructType(
 def load_results(spark: SparkSession, root: str) -> DataFrame:
     """Decoded bars of every ``root/<symbol>/regimes.parquet``, with the symbol and its states' scores.
 
+    A folder of several series (a column series) gives ``<symbol>/<series>`` for each.
+
     Scores are joined by state, from ``regime_analytics.parquet`` beside them (columns
     state and sharpe_ann): missing ones count as 0, ties share their mean rank.
     """
@@ -28,7 +30,8 @@ def load_results(spark: SparkSession, root: str) -> DataFrame:
 
     def read(name: str) -> DataFrame:
         df = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/*/{name}")
-        return df.withColumn("series", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{name}", 1))
+        folder = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{name}", 1)
+        return df.withColumn("series", F.concat_ws("/", folder, "series") if "series" in df.columns else folder)
 
     bars = read("regimes.parquet")
     scores = average_rank_scores(read("regime_analytics.parquet").select("series", "state", "sharpe_ann"))
@@ -77,6 +80,13 @@ def save_fills(df: DataFrame, path: str, kind: str = "parquet") -> None:
         writer.parquet(path)
 
 
+def load_fills(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """A log of fills as it was saved; of repeated ones (a batch written twice) one."""
+    reader = spark.read.schema(FILL)
+    rows = reader.option("header", True).csv(path) if kind == "csv" else reader.parquet(path)
+    return rows.dropDuplicates()
+
+
 def equity_at_fills(fills_: DataFrame, prices: DataFrame, cash: float) -> DataFrame:
     """Equity after each fill of a symbol: cash and position so far at that time's price, or the fill's own."""
     from pyspark.sql import Window

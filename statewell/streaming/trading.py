@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.recursions import Book, gaussian_log_density, online_filter
+from ..functions.fold import fold
+from ..operators.recursions import Book, alerts, gaussian_log_density, online_filter
 
 OUT = T.StructType(
     [
@@ -194,3 +195,28 @@ def replay(bars: DataFrame, config: Live) -> DataFrame:
         return _steps(Account(config), group["series"].iloc[0], group)
 
     return bars.select("series", "t", config.feature, "close").groupBy("series").applyInPandas(run, OUT)
+
+
+def replay_decoded(bars: DataFrame, rules: DataFrame, warmup: int = 0, sure: float = 0.6, cooldown: int = 3, **account) -> DataFrame:
+    """Account and alerts over decoded bars (series, t, close, state, posterior) under ``rules`` (series, state, weight).
+
+    Like the other columns of :func:`replay`, and unrealized: what the position would earn if it were closed.
+    """
+    weights = rules.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("state", "weight"))).alias("__w"))
+    rows = bars.join(weights, "series").select("series", "t", "close", "state", F.coalesce(F.col("__w")[F.col("state")], F.lit(0.0)).alias("weight"), "posterior")
+
+    def run(price, state, weight, posterior):
+        alert = np.zeros(len(state), bool)
+        alert[warmup:] = alerts(state[warmup:], posterior[warmup:], sure, cooldown)
+        book, held = Book(**account), None
+        out = {k: np.zeros(len(price)) for k in ("position", "equity", "realized", "unrealized")}
+        for i, (px, w) in enumerate(zip(price, weight)):
+            if i >= warmup and (held is None or w != held):
+                book.trade_to(book.value(px) * w / px, px)
+                held = w
+            row = (book.position, book.value(px), book.realized, book.position * (px - book.average))
+            for name, value in zip(out, row):
+                out[name][i] = value
+        return {"state": state, "confidence": posterior[np.arange(len(state)), state], "alert": alert, **out}
+
+    return fold(rows, run, ["close", "state", "weight", "posterior"], {"state": "int", "confidence": "double", "alert": "boolean", "position": "double", "equity": "double", "realized": "double", "unrealized": "double"})

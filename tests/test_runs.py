@@ -73,5 +73,35 @@ def test_whole_run(spark, sf, tmp_path):
     assert "## state statistics" in (tmp_path / "out/analysis.md").read_text()
 
 
+def test_commands(spark, sf, tmp_path):
+    (tmp_path / "c.yaml").write_text("asset: {symbol: X}\nmodel: {candidate_states: [2], n_restarts: 2, n_iter: 15}\nevaluation: {run_stability: true, stability_n_runs: 2, walk_forward_n_restarts: 1}\n")
+    df = hourly_by_type(spark, sf)
+    names = sorted(r.series for r in df.select("series").distinct().collect())[:2]
+    for name in names:
+        write_bars(df.where(F.col("series") == name), f"{tmp_path}/{name}")
+        run.main(["run", f"{tmp_path}/c.yaml", f"{tmp_path}/{name}", "--out", f"{tmp_path}/all/{name}", "--span", "5", "--window", "10d", *(["--wf-backtest"] if name == names[0] else [])])
+    first = f"{tmp_path}/all/{names[0]}"
+    rows = {x: spark.read.parquet(f"{first}/{x}.parquet") for x in ("regimes", "regime_analytics", "signals", "backtest", "stability", "models")}
+    assert all(not x.isEmpty() for x in rows.values()) and {"state", "label"} < set(rows["signals"].columns)
+    assert {r.label for r in rows["regimes"].select("label").distinct().collect()} <= {"bearish", "bullish"}
+    # less than two months of bars leave no fold; the tables are there all the same
+    assert spark.read.parquet(f"{first}/wf_fold_summary.parquet").columns[:2] == ["series", "fold"]
+    text = "\n".join(r.value for r in spark.read.text(f"{first}/diagnostics").collect())
+    assert all(x in text for x in ("Fits", "States", "Statistics", "Transitions", "Dwell times", "Stability"))
+    # a saved model decodes to the same states
+    run.main(["run", f"{tmp_path}/c.yaml", f"{tmp_path}/{names[0]}", "--out", f"{tmp_path}/again", "--load-model", f"{first}/models.parquet"])
+    key = lambda d: sorted(map(tuple, d.select("series", "t", "state").collect()))
+    assert key(spark.read.parquet(f"{tmp_path}/again/regimes.parquet")) == key(rows["regimes"])
+    run.main(["compare", f"{tmp_path}/all", "--out", f"{tmp_path}/compared", "--daily"])
+    got = json.loads((tmp_path / "compared/analysis_report.json").read_text())
+    assert len(got["return_corr"]) == 1 and len(got["concordance_matrix"]) == 4 and got["agreement"][0]["series_a"] == f"{names[0]}/{names[0]}"
+    run.main(["trade", first, "--out", f"{tmp_path}/traded", "--capital", "5000", "--warmup", "3"])
+    account = json.loads((tmp_path / "traded/analysis_report.json").read_text())["accounts"][0]
+    last = spark.read.parquet(f"{tmp_path}/traded/account.parquet").orderBy(F.desc("t")).first()
+    assert math.isclose(account["equity"], last.equity)
+    assert math.isclose(last.equity, 5000 + last.realized + last.unrealized, abs_tol=1e-6)
+    assert spark.read.parquet(f"{tmp_path}/traded/fills.parquet").count() > 0
+
+
 def test_report_without_nan():
     assert json.loads(report.to_json({"a": [math.nan, {"b": math.inf}], "c": 1})) == {"a": [None, {"b": None}], "c": 1}
