@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +20,9 @@ def numbered(df: DataFrame, bars: int = BARS) -> DataFrame:
 
     Rows are counted in cells of time, about ``bars`` to a cell; what lies before a cell
     is summed over cells, and rows are numbered within one. Equal times come in any order.
+    What goes in and what comes out are written once, as each is read several times.
     """
+    df = stored(df)
     span = df.groupBy("series").agg(F.min("t").alias("__lo"), F.max("t").alias("__hi"), F.ceil(F.count("*") / bars).alias("__cells"))
     rows = df.join(span, "series").withColumn("__cell", F.expr("(t - __lo) * __cells div (__hi - __lo + 1)")).drop("__lo", "__hi", "__cells")
     counts = rows.groupBy("series", "__cell").agg(F.count("*").alias("__n"))
@@ -25,7 +31,7 @@ def numbered(df: DataFrame, bars: int = BARS) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("series", "__cell").orderBy("t")) - 1
     rows = rows.withColumn("__inside", inside).join(offsets, ["series", "__cell"])
     n = (F.col("__before") + F.col("__inside")).cast("long")
-    return rows.withColumn("n", n).withColumn("block", F.expr(f"n div {bars}")).drop("__cell", "__before", "__inside")
+    return stored(rows.withColumn("n", n).withColumn("block", F.expr(f"n div {bars}")).drop("__cell", "__before", "__inside"))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
@@ -72,3 +78,32 @@ def crossing(df: DataFrame, keys: list[str], order: list[str | Column], weight:
     rows = ranged.join(at, [*keys, "__range"])
     rows = rows.withColumn("upto", F.sum(weight).over(inside) + F.col("__before_upto"))
     return rows.where(reached(F.col("upto"), F.col("all_upto"))).drop("__range", "__before_upto")
+
+
+def scan(df: DataFrame, inputs: list[str], outputs: dict[str, str], summary: Callable, link: Callable, fill: Callable, bars: int = BARS) -> DataFrame:
+    """series, t and ``outputs`` of a recursion whose passage of a block is a short vector.
+
+    ``summary(*arrays)`` reduces a block's bars to a vector. ``link(vectors)`` gives what enters each
+    block of a series, from the vectors of all of them in order. ``fill(entered, *arrays)``
+    gives the outputs of a block's bars. Blocks are reduced and filled in tasks of their own; a series
+    meets as one vector a block only.
+    """
+    rows = numbered(df.select("series", "t", *inputs), bars)
+    arrays = lambda g: [g[x].to_numpy() for x in inputs]
+
+    def reduce_(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("n")
+        return pd.DataFrame({"series": g["series"].iloc[:1], "block": g["block"].iloc[:1], "vector": [np.asarray(summary(*arrays(g)), float).tolist()]})
+
+    def entering(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("block")
+        return pd.DataFrame({"series": g["series"], "block": g["block"], "entered": np.asarray(link(np.array(g["vector"].tolist())), float).tolist()})
+
+    def filled(g: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("n")
+        return pd.DataFrame({"series": g["series"].to_numpy(), "t": g["t"].to_numpy()} | dict(fill(np.asarray(head["entered"].iloc[0]), *arrays(g))), columns=["series", "t", *outputs])
+
+    vectors = rows.groupBy("series", "block").applyInPandas(reduce_, "series string, block long, vector array<double>")
+    heads = vectors.groupBy("series").applyInPandas(entering, "series string, block long, entered array<double>")
+    schema = "series string, t long, " + ", ".join(f"{k} {v}" for k, v in outputs.items())
+    return rows.groupBy("series", "block").cogroup(heads.groupBy("series", "block")).applyInPandas(filled, schema)

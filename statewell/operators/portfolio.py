@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import BARS, scan
 from ..functions.posterior import argmax, dot, numbers
 from ..functions.rolling import order, rows_before
+from .recursions import drawdown_scale
 
 
 def score_weights(df: DataFrame, score: str = "score", long_only: bool = True) -> DataFrame:
@@ -124,24 +126,63 @@ def schedule_cost(sizes: list[float], half_spread: float, impact: float, volume:
     return sum(abs(x) * (half_spread + impact * (abs(x) / (volume + 1e-10)) ** 0.5) for x in sizes)
 
 
-def drawdown_controlled(df: DataFrame, weight: str = "weight", ret: str = "ret", **limits: float) -> DataFrame:
+def drawdown_controlled(df: DataFrame, weight: str = "weight", ret: str = "ret", bars: int = BARS, **limits: float) -> DataFrame:
     """series, t, weight, scale and scaled: weights cut by the drawdown of the portfolio they make.
 
-    The weights of a bar earn at the next one. A portfolio is one chain of a row a bar,
-    summed over series before it is followed.
+    The weights of a bar earn at the next one. Bars are summed over series, and the
+    portfolio is followed over blocks of them.
     """
-    from ..functions.fold import fold
-    from .recursions import drawdown_scale
-
     earned = F.coalesce(F.lag(weight).over(Window.partitionBy("series").orderBy("t")), F.lit(0.0)) * F.col(ret)
     total = df.withColumn("__earned", earned).groupBy("t").agg(F.sum("__earned").alias("x")).withColumn("series", F.lit("portfolio"))
+    scale = drawdown_scales(drawdowns(total, "x", bars), bars=bars, **limits).select("t", "scale")
+    return df.join(scale, "t").select("series", "t", weight, "scale", (F.col(weight) * F.col("scale")).alias("scaled"))
+
+
+def drawdowns(df: DataFrame, ret: str, bars: int = BARS) -> DataFrame:
+    """series, t, drawdown: share lost since the top of what returns compound to, over blocks of bars."""
 
-    def run(x):
+    def path(x):
         level = np.cumprod(1 + x)
-        return {"scale": drawdown_scale(1 - level / np.maximum.accumulate(level), **limits)}
+        return level, np.maximum.accumulate(level)
 
-    scale = fold(total, run, ["x"], {"scale": "double"}).select("t", "scale")
-    return df.join(scale, "t").select("series", "t", weight, "scale", (F.col(weight) * F.col("scale")).alias("scaled"))
+    def link(parts):
+        # growth of a block and its top, both from 1 on, to level and top before each block
+        level, top, out = 1.0, -np.inf, []
+        for growth, high in parts:
+            out.append((level, top))
+            top, level = max(top, level * high), level * growth
+        return out
+
+    def fill(entered, x):
+        level, top = path(x)
+        top = np.maximum(top * entered[0], entered[1])
+        return {"drawdown": 1 - level * entered[0] / top}
+
+    def summary(x):
+        level, top = path(x)
+        return level[-1], top[-1]
+
+    return scan(df, [ret], {"drawdown": "double"}, summary, link, fill, bars)
+
+
+def drawdown_scales(df: DataFrame, bars: int = BARS, **limits: float) -> DataFrame:
+    """series, t, scale of drawdowns (series, t, drawdown), over blocks of bars.
+
+    The rule has two states, stopped and not, so a block is a map of two: whether it ends
+    stopped, from either.
+    """
+
+    def link(parts):
+        stopped, out = 0.0, []
+        for free, held in parts:
+            out.append([stopped])
+            stopped = held if stopped else free
+        return out
+
+    def fill(entered, d):
+        return {"scale": drawdown_scale(d, stopped=bool(entered[0]), **limits)[0]}
+
+    return scan(df, ["drawdown"], {"scale": "double"}, lambda d: [drawdown_scale(d, stopped=x, **limits)[1] for x in (False, True)], link, fill, bars)
 
 
 # --- mean and variance of few series: small dense matrices, after Spark has summed ---

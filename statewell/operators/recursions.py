@@ -333,16 +333,17 @@ def change_points(prob: np.ndarray, threshold: float = 0.3, least: int = 10) ->
     return out
 
 
-def drawdown_scale(drawdown: np.ndarray, most: float = 0.1, soft: float = 0.05, recovery: float = 0.03) -> np.ndarray:
-    """Exposure by drawdown (positive): less from ``soft`` on, none from ``most`` until it recovers."""
-    out, stopped = np.ones(len(drawdown)), False
-    for i, d in enumerate(drawdown):
-        if stopped and d > recovery:
-            out[i] = 0.0
-            continue
-        stopped = d >= most
-        out[i] = 0.0 if stopped else max(0.0, 1 - (d - soft) / (most - soft + 1e-15)) if d >= soft else 1.0
-    return out
+def drawdown_scale(drawdown: np.ndarray, most: float = 0.1, soft: float = 0.05, recovery: float = 0.03, stopped: bool = False) -> tuple[np.ndarray, bool]:
+    """Exposure by drawdown (positive): less from ``soft`` on, none from ``most`` until it recovers; and whether it ends stopped.
+
+    A bar at ``most`` or beyond stops, one at ``recovery`` or less frees, others leave things
+    as they are: a bar is as the last of these bars before it, or as it begins.
+    """
+    sets = np.where(drawdown >= most, 1, np.where(drawdown <= recovery, 0, -1))
+    last = np.maximum.accumulate(np.where(sets >= 0, np.arange(len(sets)), -1))
+    held = np.where(last >= 0, sets[last], int(stopped)).astype(bool)
+    eased = np.where(drawdown >= soft, np.maximum(0.0, 1 - (drawdown - soft) / (most - soft + 1e-15)), 1.0)
+    return np.where(held, 0.0, eased), bool(held[-1]) if len(held) else stopped
 
 
 def stop_backtest(ret: np.ndarray, state: np.ndarray, targets: list[float], stops: list[float | None], takes: list[float | None], cost: float = 0.001, ahead: int = 1024) -> dict[str, np.ndarray]:

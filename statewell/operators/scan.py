@@ -304,7 +304,7 @@ def fit_long(df: DataFrame, features: list[str], counts: list[int], restarts: in
     A model is done when a round would start from a likelihood less than ``tol`` above
     the one before. Every round's models are a table, so a lost executor costs its blocks only.
     """
-    rows = stored(block_rows(df, features))
+    rows = block_rows(df, features)
     scale = stored(moments.scales(rows, features))
     live = stored(_first_models(rows, scale, features, counts, [seed + i for i in range(restarts)], covariance, emission, init).withColumn("before", F.lit(-np.inf)))
     ended = []

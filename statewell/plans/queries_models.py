@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import fold
 from ..functions.posterior import gaussian_posterior
 from ..functions.rolling import order
-from ..operators import dense, hmm, semi_markov, simulation, stability, walk_forward
+from ..operators import dense, factors, hmm, semi_markov, simulation, stability, walk_forward
 from ..operators import portfolio as pf
 from ..operators import recursions as rec
 from ..operators.performance import Backtest, tails
@@ -185,16 +185,11 @@ def next_state(spark: Spark, sf: str) -> DataFrame:
     return fold(states(spark, sf), run, [*_FEATURES, "state"], {"p": "array<double>"})
 
 
-def _weighted(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select("series", *columns, F.posexplode("posterior").alias("state", "w"))
-
-
 @query(STATES + """, z AS (SELECT series, k, w, log_return AS x, volatility_w24 AS y FROM e), m AS (SELECT series, k, sum(w) AS sw, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my FROM z GROUP BY 1, 2),
 c AS (SELECT series, k, sum(w*power(x-mx,2))/any_value(sw) AS a, sum(w*power(y-my,2))/any_value(sw) AS d, sum(w*(x-mx)*(y-my))/any_value(sw) AS b FROM z JOIN m USING (series, k) GROUP BY 1, 2)""" + f" SELECT series, k AS state, {r('((a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b) + 1e-10) / (a + d + 1e-15)')} AS share_1 FROM c")
 def factor_shares(spark: Spark, sf: str) -> DataFrame:
-    sums = dense.weighted_sums(_weighted(states(spark, sf), _FEATURES), _FEATURES, ["series", "state"])
-    rows = [(*key, float(dense.principal(cov, 1)[1][0])) for key, (_, _, cov) in sums.items()]
-    return rounded(spark.createDataFrame(rows, "series string, state int, share_1 double"))
+    out = factors.by_series(states(spark, sf), _FEATURES, 1).where("state >= 0 and factor = 0")
+    return rounded(out.select("series", "state", F.col("share").alias("share_1")))
 
 
 # --- the panel of three series in SQL: closed forms of 3 x 3 matrices ---

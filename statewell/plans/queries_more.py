@@ -65,11 +65,8 @@ UNION ALL SELECT d.series, d.t, d.n, (z.stopped AND d.d > 0.03) OR d.d >= 0.1,
 CASE WHEN (z.stopped AND d.d > 0.03) OR d.d >= 0.1 THEN 0.0 WHEN d.d >= 0.05 THEN greatest(0.0, 1 - (d.d - 0.05) / (0.05 + 1e-15)) ELSE 1.0 END FROM z JOIN d ON d.series = z.series AND d.n = z.n + 1)
 SELECT series, t, {r('scale')} AS scale FROM z WHERE n > 0""")
 def drawdown_scale(spark: Spark, sf: str) -> DataFrame:
-    def run(x):
-        level = np.exp(np.cumsum(x))
-        return {"scale": rec.drawdown_scale(1 - level / np.maximum.accumulate(level))}
-
-    return rounded(fold(states(spark, sf), run, ["ret"], {"scale": "double"}))
+    df = states(spark, sf).withColumn("grown", F.exp("ret") - 1)
+    return rounded(pf.drawdown_scales(pf.drawdowns(df, "grown")))
 
 
 _STOPS = STATES + _N + f""", b AS (SELECT series, 0::BIGINT AS n, 0::BIGINT AS t, 1.0::DOUBLE AS eq, 1.0::DOUBLE AS entry, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS net, 0.0::DOUBLE AS held FROM (SELECT DISTINCT series FROM s)

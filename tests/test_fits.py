@@ -185,3 +185,19 @@ def test_a_short_book_realises_when_it_covers():
         book.trade_to(target, price)
         assert math.isclose(book.realized, realized, abs_tol=1e-9)
     assert math.isclose(book.cash - 1000.0, book.realized)
+
+
+def test_drawdowns_over_blocks(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(0, 0.02, 400)
+    frame = pd.DataFrame({"series": "s", "t": np.arange(400), "x": x})
+    down = portfolio.drawdowns(spark.createDataFrame(frame), "x", 37)
+    got = portfolio.drawdown_scales(down, 23).join(down, ["series", "t"]).toPandas().sort_values("t")
+    level = np.cumprod(1 + x)
+    want = 1 - level / np.maximum.accumulate(level)
+    assert np.allclose(got["drawdown"], want)
+    stopped, scale = False, []
+    for d in want:
+        stopped = d > 0.03 if stopped else d >= 0.1
+        scale.append(0.0 if stopped else max(0.0, 1 - (d - 0.05) / 0.05) if d >= 0.05 else 1.0)
+    assert np.allclose(got["scale"], scale) and 0.0 in scale and 1.0 in scale
