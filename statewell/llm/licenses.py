@@ -1,7 +1,7 @@
 """Licence families of paragraphs, by a trained classifier and their templates.
 
 A paragraph is a run of lines that aren't blank, comment marks stripped. Its windows of
-1 to ``LINES`` lines are candidates if each line has a distinctive word pair of some
+1 to ``lines`` lines are candidates if their lines, but for single ones, have a distinctive word pair of some
 template, so wrapped notices count. Features are hashed word unigrams and bigrams;
 multinomial logistic regression over the families and an ``unknown`` class is trained
 here. Positives are licence passages, crops of them and notices made from frames and
@@ -31,8 +31,10 @@ from .decontamination import token_values
 SLOTS = 1 << 16
 #: Documents, by smallest hash of their id, whose lines are negatives; a parameter of :func:`train`.
 SAMPLE_DOCS = 400
-#: Most lines of one notice's window.
+#: Most lines of one notice's window; a parameter of :func:`scan_licenses`.
 LINES = 8
+#: Lines without a distinctive word pair that may stand between two with one, in one notice.
+GAP = 1
 FOUND = "doc_id long, paragraph long, family string, probability double, confirmed double"
 
 # Names, SPDX identifiers and passages of public licences.
@@ -201,7 +203,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 class Classifier:
     """Weights, bias and temperature; the word pairs of each template."""
 
-    def __init__(self, negatives: list[str], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, seed: int = 5, agree: float = 0.6) -> None:
+    def __init__(self, negatives: list[str], rounds: int = 150, rate: float = 0.5, decay: float = 1e-4, seed: int = 5, agree: float = 0.6) -> None:
         r = np.random.default_rng(seed)
         self.templates = [(c, np.unique(pairs_of(t))) for c, name in enumerate(CLASSES) if c for t in templates(name)]
         self.size = np.array([len(t) for _, t in self.templates])
@@ -275,10 +277,12 @@ class Classifier:
     def confirms(self, own: np.ndarray, agree: float) -> bool:
         return bool((self.shares(own) >= agree).any())
 
-    def judge(self, values: np.ndarray, bound: np.ndarray, breaks: np.ndarray, sure: float, agree: float):
+    def judge(self, values: np.ndarray, bound: np.ndarray, breaks: np.ndarray, sure: float, agree: float, lines: int = LINES):
         """First line, class, probability and agreement of the windows of a family.
 
-        ``breaks`` says which lines begin a row; no window crosses one or a blank line.
+        ``breaks`` says which lines begin a row; no window crosses one or a blank line. Of the
+        windows of up to ``lines`` lines that start at a line the one that agrees most with
+        its template counts; of equal ones the likelier, then the shorter.
         """
         n = len(bound) - 1
         row, pair = grams(values, bound, 2)
@@ -286,14 +290,17 @@ class Classifier:
         cue[row[np.isin(pair, self.cues)]] = True
         start, out = 0, []
         hits = np.flatnonzero(cue)
-        apart = np.flatnonzero(np.r_[True, (np.diff(hits) > 1) | breaks[hits[1:]]]) if len(hits) else []
+        blank, begun = np.r_[0, np.cumsum(np.diff(bound) == 0)], np.cumsum(breaks)
+        joined = (np.diff(hits) <= GAP + 1) & (blank[hits[1:]] == blank[hits[:-1]]) & (begun[hits[1:]] == begun[hits[:-1]])
+        apart = np.flatnonzero(np.r_[True, ~joined]) if len(hits) else []
         for a, b in zip(apart, [*apart[1:], len(hits)]):
             start, stop = int(hits[a]), int(hits[b - 1]) + 1
             while start < stop:
-                for end in range(start + 1, min(start + LINES, stop) + 1):
-                    got = self.window(values[bound[start] : bound[end]], sure, agree)
-                    if got:
-                        break
+                got, end = None, start + 1
+                for stops in range(start + 1, min(start + lines, stop) + 1) if cue[start] else ():
+                    found = self.window(values[bound[start] : bound[stops]], sure, agree)
+                    if found and (got is None or (found[2], found[1]) > (got[2], got[1])):
+                        got, end = found, stops
                 if got and out and out[-1][4] == start and out[-1][1] == got[0] and not breaks[start]:
                     line, c, p, share, _ = out.pop()
                     out.append((line, c, max(p, got[1]), max(share, got[2]), end))
@@ -331,8 +338,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text") -
     return Classifier([r.line for r in lines.collect()])
 
 
-def scan_licenses(docs: DataFrame, model: Classifier, sure: float = 0.5, agree: float = 0.6, text: str = "text") -> DataFrame:
-    """A row for each notice of a licence family: number of its first line, family, probability, template agreement."""
+def scan_licenses(docs: DataFrame, model: Classifier, sure: float = 0.5, agree: float = 0.6, text: str = "text", lines: int = LINES) -> DataFrame:
+    """A row for each notice of a licence family: number of its first line, family, probability, template agreement.
+
+    A notice is at most ``lines`` lines as they are wrapped; a longer one gives a row for each window that agrees.
+    """
     names = [x.split()[0] for x in FOUND.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
 
@@ -350,7 +360,7 @@ def scan_licenses(docs: DataFrame, model: Classifier, sure: float = 0.5, agree:
                 row = np.searchsorted(off, cuts[:-1], "right") - 1
                 values, bound = token_values(part, cuts)
                 breaks = np.r_[True, row[1:] != row[:-1]]
-                for line, c, p, share in model.judge(values, bound, breaks, sure, agree):
+                for line, c, p, share in model.judge(values, bound, breaks, sure, agree, lines):
                     first = np.searchsorted(cuts, off[row[line]])
                     out.append((ids[i + row[line]], int(line - first), CLASSES[c], p, share))
             columns = list(zip(*out)) if out else [[]] * 5
