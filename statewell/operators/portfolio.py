@@ -214,17 +214,24 @@ def max_sharpe(mean: np.ndarray, cov: np.ndarray, rf: float = 0.0, low: float =
     return box(raw / raw.sum(), low, high) if raw.sum() > 1e-12 else min_variance(cov, low, high)
 
 
-def frontier(mean: np.ndarray, cov: np.ndarray, points: int = 30, low: float = 0.0, high: float = 1.0) -> list[tuple[float, float]]:
-    """Volatility and return of blends of the two portfolios above."""
+def frontier(mean: np.ndarray, cov: np.ndarray, points: int = 30, low: float = 0.0, high: float = 1.0) -> list[tuple[list[float], float, float]]:
+    """Weights, volatility and return of blends of the two portfolios above, which all keep to the box."""
     a, b = min_variance(cov, low, high), max_sharpe(mean, cov, 0.0, low, high)
-    mixes = [box((1 - x) * a + x * b, low, high) for x in np.linspace(0, 1, points)]
-    return [(float(np.sqrt(w @ cov @ w)), float(w @ mean)) for w in mixes]
+    mixes = [(1 - x) * a + x * b for x in np.linspace(0, 1, points)]
+    return [(w.tolist(), float(np.sqrt(w @ cov @ w)), float(w @ mean)) for w in mixes]
 
 
-def black_litterman(prior: np.ndarray, cov: np.ndarray, views: np.ndarray, confidence: np.ndarray, tau: float = 0.05) -> np.ndarray:
-    precision = np.linalg.inv(tau * cov)
-    trust = np.diag(confidence)
-    return np.linalg.solve(precision + trust, precision @ prior + trust @ views)
+def black_litterman(prior: np.ndarray, cov: np.ndarray, views: np.ndarray, confidence: np.ndarray, tau: float = 0.05, posterior: Sequence[float] | None = None) -> np.ndarray:
+    """Means between the prior and absolute views, weighted by their precision.
+
+    Confidences are at most 1; ``posterior`` (of states) scales them by its largest
+    share, so that views count less where the state is unclear. 0 is no view.
+    """
+    sure = np.minimum(np.asarray(confidence, float), 1.0)
+    if posterior is not None:
+        sure = sure * float(np.max(posterior) / (np.sum(posterior) + 1e-15))
+    precision = np.linalg.inv(tau * cov + 1e-10 * np.eye(len(prior)))
+    return np.linalg.solve(precision + np.diag(sure), precision @ prior + sure * views)
 
 
 def state_weights(df: DataFrame, columns: list[str], ridge: float = 1e-6) -> DataFrame:

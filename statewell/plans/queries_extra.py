@@ -65,3 +65,16 @@ def factor_projection(spark: Spark, sf: str) -> DataFrame:
     out = factors.decompose(factors.project(factors.exposure(df, model, 0), _FEATURES, model), "ret", ["factor_0", "factor_1"])
     five = [F.round(c, 5).alias(c) for c in ("contribution_0", "contribution_1", "residual")]
     return rounded(out.select("series", "t", "loading_0", "loading_1", "factor_0", "factor_1", *five))
+
+
+@query(STATES + """, ft AS (SELECT series, log_return AS x, volatility_w24 AS y, unnest([0, 1, 2, -1]) AS k, unnest([p0, p1, p2, 1.0]) AS w FROM s),
+fm AS (SELECT series, k, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM ft GROUP BY 1, 2),
+fc AS (SELECT series, k, sum(w * power(x - mx, 2)) / any_value(sw) AS a, sum(w * power(y - my, 2)) / any_value(sw) AS d, sum(w * (x - mx) * (y - my)) / any_value(sw) AS b FROM ft JOIN fm USING (series, k) GROUP BY 1, 2),
+fa AS (SELECT *, cos(0.5 * atan2(2 * b, a - d)) AS u, sin(0.5 * atan2(2 * b, a - d)) AS v, sqrt(power((a - d) / 2, 2) + b * b) AS gap FROM fc),
+fo AS (SELECT series, CASE WHEN u + v < 0 THEN -u ELSE u END AS ux, CASE WHEN u + v < 0 THEN -v ELSE v END AS uy, CASE WHEN u - v < 0 THEN v ELSE -v END AS vx, CASE WHEN u - v < 0 THEN -u ELSE u END AS vy FROM fa WHERE k = -1),
+fl AS (SELECT series, k, unnest([0, 1]) AS factor, unnest([((a + d) / 2 + gap + 1e-10) / (a + d + 1e-15), ((a + d) / 2 - gap + 1e-10) / (a + d + 1e-15)]) AS share, unnest([u * sign(u * ux + v * uy), -v * sign(-v * vx + u * vy)]) AS l0, unnest([v * sign(u * ux + v * uy), u * sign(-v * vx + u * vy)]) AS l1, unnest([ux, vx]) AS r0, unnest([uy, vy]) AS r1 FROM fa JOIN fo USING (series)),
+fs AS (SELECT p.series, p.factor, avg(abs(p.l0 * q.l0 + p.l1 * q.l1)) AS stability FROM fl p JOIN fl q ON p.series = q.series AND p.factor = q.factor AND p.k < q.k AND p.k >= 0 GROUP BY 1, 2)""" + f" SELECT series, k AS state, factor, {r('share')} AS share, {r('l0')} AS loading_0, {r('l1')} AS loading_1, {r('l0 * r0 + l1 * r1')} AS similarity, {r('stability')} AS stability FROM fl JOIN fs USING (series, factor)")
+def factor_loadings(spark: Spark, sf: str) -> DataFrame:
+    """Factors of each series and state, and how alike they are."""
+    out = factors.by_series(states(spark, sf), _FEATURES, 2)
+    return rounded(out.select("series", "state", "factor", "share", F.col("loadings")[0].alias("loading_0"), F.col("loadings")[1].alias("loading_1"), "similarity", "stability"))

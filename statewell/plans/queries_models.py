@@ -10,6 +10,7 @@ from ..functions.fold import fold
 from ..functions.posterior import gaussian_posterior
 from ..functions.rolling import order
 from ..operators import dense, factors, hmm, semi_markov, simulation, stability, walk_forward
+from ..operators import panel as side_by_side
 from ..operators import portfolio as pf
 from ..operators import recursions as rec
 from ..operators.performance import Backtest, tails
@@ -239,8 +240,10 @@ a2 AS (SELECT *, {", ".join(f"a{i} / (a0 + a1 + a2) AS p{i}, CASE WHEN b0 + b1 +
 mv AS (SELECT *, {", ".join(f"{_simplex('p', i)} AS u{i}, {_simplex('q', i)} AS v{i}" for i in _R3)} FROM a2)"""
 _ASSET_ROWS = f"(SELECT unnest({_ASSETS}) AS asset, unnest([1, 2, 3]) AS i)"
 _POSTERIOR, _POSTERIOR_DET = _adjugate("h")
-_BL = _PM + f""", tc AS (SELECT state, m0, m1, m2, {_sym("g", lambda i, j: f"{_ADJ[i][j]} / {_DET} / 0.05")} FROM cv),
-th AS (SELECT *, {_sym("h", lambda i, j: f"g{i}{j}" + (" + 1000" if i == j else ""))}, {", ".join(" + ".join(f"{_of('g', i, j)} * m{j}" for j in _R3) + f" + 1000 * 5e-4 AS e{i}" for i in _R3)} FROM tc),
+_PRIOR, _PRIOR_DET = _adjugate("n")
+_BL = _PM + f""", tn AS (SELECT state, m0, m1, m2, {_sym("n", lambda i, j: f"0.05 * c{i}{j}" + (" + 1e-10" if i == j else ""))}, (SELECT 0.8 * max(w) FROM wk WHERE state >= 0 AND t = (SELECT max(t) FROM wk)) AS sure FROM cv),
+tc AS (SELECT state, m0, m1, m2, sure, {_sym("g", lambda i, j: f"{_PRIOR[i][j]} / {_PRIOR_DET}")} FROM tn),
+th AS (SELECT *, {_sym("h", lambda i, j: f"g{i}{j}" + (" + sure" if i == j else ""))}, {", ".join(" + ".join(f"{_of('g', i, j)} * m{j}" for j in _R3) + f" + sure * 5e-4 AS e{i}" for i in _R3)} FROM tc),
 bl AS (SELECT state, [{", ".join("(" + " + ".join(f"{_POSTERIOR[i][j]} * e{j}" for j in _R3) + f") / {_POSTERIOR_DET}" for i in _R3)}] AS x FROM th)"""
 _RIDGED, _RIDGED_DET = _adjugate("z")
 _VAR = _PM + f""", vr AS (SELECT *, {_sym("z", lambda i, j: f"x{i}{j}" + (" + 1e-6 / sw" if i == j else ""))} FROM cv),
@@ -253,93 +256,46 @@ UNION ALL SELECT state, {", ".join(f"f{i}{j}" for i in _R3 for j in _R3)}, shock
 
 
 def _wide(spark: Spark, sf: str) -> tuple[DataFrame, list[str]]:
-    """Returns and last returns of all series side by side, for each of three states and for all (-1) with its weight w.
-
-    Lags are taken within each series; the state is that of the mean return.
-    """
-    df = panel(spark, sf).withColumn("back", F.lag("ret").over(order()))
-    names = [x.series for x in df.select("series").distinct().orderBy("series").collect()]
-    wide = df.groupBy("t").pivot("series", names).agg(F.first("ret").alias("now"), F.first("back").alias("back")).na.drop()
-    wide = wide.select("t", *[F.col(f"{n}_now").alias(n) for n in names], *[F.col(f"{n}_back").alias(f"{n}_1") for n in names])
-    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names) * 100
-    weights = F.array_append(gaussian_posterior(mean, CENTRES, SD), F.lit(1.0))
-    rows = wide.select("*", F.posexplode(weights).alias("k", "w")).withColumn("state", F.when(F.col("k") == len(CENTRES), -1).otherwise(F.col("k")))
-    return rows.withColumn("series", F.lit("panel")), names
-
-
-def _var(spark: Spark, sf: str, make, columns: str) -> DataFrame:
-    rows, names = _wide(spark, sf)
-    moments = dense.weighted_moments(rows, names + [f"{x}_1" for x in names], ["series", "state"])
-
-    def each(found, weights, mean, cov):
-        for k, w, m, c in zip(found, weights, mean, cov):
-            yield from ((k, *row) for row in make(names, *dense.var_model(m, c, len(names), 1, weight=w)))
-
-    return rounded(dense.by_series(moments, each, f"state int, {columns}").drop("series"))
+    return side_by_side.side_by_side(panel(spark, sf), CENTRES, SD)
 
 
 @query(_VAR + f" SELECT state, {_ASSETS}[shock] AS shock, horizon::INT AS horizon, asset AS response_of, {r('[e0, e1, e2][i]')} AS response FROM ir, {_ASSET_ROWS}")
 def regime_var(spark: Spark, sf: str) -> DataFrame:
     """Impulse responses of each state's vector autoregression of the panel's returns; -1 is all bars."""
-
-    def make(names, _, coefficients, residual):
-        for i, shock in enumerate(names):
-            for h, row in enumerate(dense.impulse_response(coefficients, residual, i, 10)):
-                yield from ((shock, h, name, float(v)) for name, v in zip(names, row))
-
-    return _var(spark, sf, make, "shock string, horizon int, response_of string, response double")
+    return rounded(side_by_side.impulse_responses(*_wide(spark, sf)))
 
 
 @query(_VAR + f" SELECT state, {_ASSETS}[j] AS cause, asset AS effect, {r('abs([[f00, f01, f02], [f10, f11, f12], [f20, f21, f22]][i][j])')} AS strength FROM vb, {_ASSET_ROWS}, (SELECT unnest([1, 2, 3]) AS j)")
 def granger_table(spark: Spark, sf: str) -> DataFrame:
     """How much each series' past moves each other, by state."""
-
-    def make(names, _, coefficients, residual):
-        effect = dense.granger(coefficients)
-        return [(a, b, float(effect[j, i])) for i, a in enumerate(names) for j, b in enumerate(names)]
-
-    return _var(spark, sf, make, "cause string, effect string, strength double")
-
-
-def _moments(spark: Spark, sf: str, make, columns: str) -> DataFrame:
-    rows, names = _wide(spark, sf)
-    moments = dense.weighted_moments(rows, names, ["series", "state"])
-
-    def each(found, weights, mean, cov):
-        for k, m, c in zip(found, mean, cov):
-            yield from ((k, *row) for row in make(names, m, c + 1e-6 * np.eye(len(names))))
-
-    return rounded(dense.by_series(moments, each, f"state int, {columns}").drop("series"))
+    return rounded(side_by_side.granger(*_wide(spark, sf)))
 
 
 @query(_PM + f" SELECT state, asset, {r('[u0, u1, u2][i]')} AS min_variance, {r('[v0, v1, v2][i]')} AS max_sharpe FROM mv, {_ASSET_ROWS}")
 def mean_variance(spark: Spark, sf: str) -> DataFrame:
     """Weights of least variance and of the best ratio, by state and for all bars (-1)."""
-    return _moments(spark, sf, lambda names, m, c: zip(names, pf.min_variance(c).tolist(), pf.max_sharpe(m, c).tolist()), "asset string, min_variance double, max_sharpe double")
+    return rounded(side_by_side.mean_variance(*_wide(spark, sf)))
 
 
 @query(_PM + f" SELECT t, asset, {r('sum(w * round([v0, v1, v2][i], 6)) / sum(w)')} AS weight FROM wk JOIN mv USING (state), {_ASSET_ROWS} WHERE state >= 0 GROUP BY 1, 2")
 def blended_mean_variance(spark: Spark, sf: str) -> DataFrame:
     """The states' best weights mixed by each bar's posterior."""
     rows, names = _wide(spark, sf)
-    best = mean_variance(spark, sf).where("state >= 0").select("state", "asset", "max_sharpe")
-    return rounded(rows.where("state >= 0").select("t", "state", "w").join(best, "state").groupBy("t", "asset").agg((F.sum(F.col("w") * F.col("max_sharpe")) / F.sum("w")).alias("weight")))
+    return rounded(side_by_side.blended(rows, rounded(side_by_side.mean_variance(rows, names))))
 
 
-@query(_PM + f", fr AS (SELECT *, unnest(range(30))::INT AS point FROM mv), fw AS (SELECT *, {', '.join(f'(1 - point / 29.0) * u{i} + point / 29.0 * v{i} AS o{i}' for i in _R3)} FROM fr) SELECT state, point, {r('sqrt(' + ' + '.join(f'o{i} * o{j} * ' + _of('c', i, j) for i in _R3 for j in _R3) + ')')} AS volatility, {r('o0 * m0 + o1 * m1 + o2 * m2')} AS mean FROM fw")
+@query(_PM + f", fr AS (SELECT *, unnest(range(30))::INT AS point FROM mv), fw AS (SELECT *, {', '.join(f'(1 - point / 29.0) * u{i} + point / 29.0 * v{i} AS o{i}' for i in _R3)} FROM fr) SELECT state, point, {r('sqrt(' + ' + '.join(f'o{i} * o{j} * ' + _of('c', i, j) for i in _R3 for j in _R3) + ')')} AS volatility, {r('o0 * m0 + o1 * m1 + o2 * m2')} AS mean, {r('(o0 * m0 + o1 * m1 + o2 * m2) / sqrt(' + ' + '.join(f'o{i} * o{j} * ' + _of('c', i, j) for i in _R3 for j in _R3) + ')')} AS sharpe FROM fw")
 def efficient_frontier(spark: Spark, sf: str) -> DataFrame:
-    """Volatility and return of mixes between the two portfolios of each state."""
-    return _moments(spark, sf, lambda names, m, c: [(i, *p) for i, p in enumerate(pf.frontier(m, c))], "point int, volatility double, mean double")
+    """Volatility, return and ratio of mixes between the two portfolios of each state."""
+    return rounded(side_by_side.frontier(*_wide(spark, sf)).drop("weights"))
 
 
-@query(_BL + f" SELECT state, asset, {r('x[i]')} AS posterior_mean FROM bl, {_ASSET_ROWS}")
+@query(_BL + f" SELECT state, asset, {r('x[i]', 9)} AS posterior_mean FROM bl, {_ASSET_ROWS}")
 def black_litterman(spark: Spark, sf: str) -> DataFrame:
-    """Each state's means drawn toward the view that all earn 0.0005, with precision 1000."""
-
-    def make(names, m, c):
-        return zip(names, pf.black_litterman(m, c, np.full(len(m), 5e-4), np.full(len(m), 1e3)).tolist())
-
-    return _moments(spark, sf, make, "asset string, posterior_mean double")
+    """Each state's means drawn toward the view that all earn 0.0005, as surely as the last bar's state."""
+    rows, names = _wide(spark, sf)
+    last = rows.where("state >= 0").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("state", "w"))).alias("p")).orderBy(F.desc("t")).first()
+    return rounded(side_by_side.black_litterman(rows, names, dict.fromkeys(names, 5e-4), 0.8, [x.w for x in last.p] if last else None, 0.05), 9)
 
 
 _LIVE = _FILTER + f""", lb AS (SELECT fl.series, fl.n, fl.t, CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END AS k, exp(greatest(a0, a1, a2)) AS conf, close FROM fl JOIN s ON s.series = fl.series AND s.t = fl.t WHERE n > 0),

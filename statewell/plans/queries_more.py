@@ -14,6 +14,7 @@ from ..operators import moments, scan
 from ..operators import performance as perf
 from ..operators import portfolio as pf
 from ..operators import recursions as rec
+from ..operators import states as st
 from ..sources import bars
 from .base import STATES, query, r, rounded, states
 
@@ -303,6 +304,27 @@ def return_histogram(spark: Spark, sf: str) -> DataFrame:
     return df.groupBy("series", "width_bucket").agg(F.count("*").alias("n"))
 
 
+@query(STATES + f"SELECT series, state, greatest(0, least(81, floor((ret + 0.1) / 0.2 * 80)::BIGINT + 1)) AS width_bucket, count(*) AS n, {r('avg(ret)')} AS mean FROM s GROUP BY 1, 2, 3")
+def return_histogram_by_state(spark: Spark, sf: str) -> DataFrame:
+    """The same bins for the bars of each state, with the mean return of each bin."""
+    bucket = F.greatest(F.lit(0), F.least(F.lit(81), F.floor((F.col("ret") + 0.1) / 0.2 * 80) + 1)).cast("long").alias("width_bucket")
+    return rounded(states(spark, sf).groupBy("series", "state", bucket).agg(F.count("*").alias("n"), F.avg("ret").alias("mean")))
+
+
+@query(STATES + f""", m AS (SELECT series, state, avg(ret) AS mean, avg(volatility_w24) AS risk FROM s GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY mean, state) - 1 AS i, count(*) OVER (PARTITION BY series) AS n, row_number() OVER (PARTITION BY series ORDER BY risk, state) - 1 AS volatility_rank FROM m)
+SELECT series, state, {r('mean')} AS mean, CASE n WHEN 3 THEN ['low', 'mid', 'high'][i + 1] WHEN 2 THEN ['bearish', 'bullish'][i + 1] ELSE i::VARCHAR END AS label, volatility_rank::INT AS volatility_rank FROM k""")
+def state_ranks(spark: Spark, sf: str) -> DataFrame:
+    return rounded(st.labels(states(spark, sf), "ret", "volatility_w24"))
+
+
+@query(PANEL + f""", ag AS (SELECT series_a, series_b, avg(((score_a > 0) = (score_b > 0))::INT) AS a FROM pp GROUP BY 1, 2)
+SELECT series_a, series_b, {r('agreement')} AS agreement, (SELECT {r('avg(a)')} FROM ag) AS overall FROM (SELECT series_a, series_b, a AS agreement FROM ag UNION ALL SELECT series_b, series_a, a FROM ag UNION ALL SELECT DISTINCT x, x, 1.0 FROM (SELECT series_a AS x FROM ag UNION ALL SELECT series_b FROM ag))""")
+def concordance_matrix(spark: Spark, sf: str) -> DataFrame:
+    """How often the directions of each two series agree, and over all pairs."""
+    return rounded(dep.agreement_matrix(dep.pairs(panel(spark, sf), "score")))
+
+
 
 
 @query(STATES + """, d0 AS (SELECT *, volatility_w24 AS y, log_return AS x, lag(volatility_w24) OVER w AS y1, lag(log_return) OVER w AS x1 FROM s WINDOW w AS (PARTITION BY series ORDER BY t)),

@@ -60,6 +60,19 @@ def cache_is_fresh(spark: SparkSession, path: str, most_seconds: float = 3600) -
     return bool(fs.exists(p)) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 < most_seconds
 
 
+def freshness(spark: SparkSession, path: str, now: float | None = None) -> str:
+    """How old a result is, in words."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return "no data"
+    age = (time.time() if now is None else now) - fs.getFileStatus(p).getModificationTime() / 1000
+    for unit, seconds in (("d", 86_400), ("h", 3_600), ("m", 60)):
+        if age >= seconds or unit == "m":
+            break
+    return f"{int(age // seconds)}{unit} ago"
+
+
 def cached(spark: SparkSession, path: str, make, most_seconds: float = 3600) -> DataFrame:
     """The table at ``path`` if it is fresh; else what ``make()`` gives, written there."""
     if not cache_is_fresh(spark, path, most_seconds):

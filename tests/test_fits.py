@@ -201,3 +201,26 @@ def test_drawdowns_over_blocks(spark):
         stopped = d > 0.03 if stopped else d >= 0.1
         scale.append(0.0 if stopped else max(0.0, 1 - (d - 0.05) / 0.05) if d >= 0.05 else 1.0)
     assert np.allclose(got["scale"], scale) and 0.0 in scale and 1.0 in scale
+
+
+def test_two_lags_and_views(spark):
+    from statewell.operators import panel
+
+    r = np.random.default_rng(13)
+    n, a, b = 400, np.array([[0.4, 0.2], [0.0, 0.3]]), np.array([[-0.2, 0.0], [0.3, 0.1]])
+    x = np.zeros((n, 2))
+    for i in range(2, n):
+        x[i] = a @ x[i - 1] + b @ x[i - 2] + r.normal(0, 0.01, 2)
+    frame = pd.DataFrame([{"series": s, "t": t, "ret": x[t, j]} for j, s in enumerate("pq") for t in range(n)])
+    rows, names = panel.side_by_side(spark.createDataFrame(frame), (-1.0, 1.0), 1.0, lags=2)
+    got = {(g.response, g.cause, g.lag): g.coefficient for g in panel.autoregression(rows, names, 2).where("state = -1").collect()}
+    z = np.c_[np.ones(n - 2), x[1:-1], x[:-2]]
+    want = np.linalg.lstsq(z, x[2:], rcond=None)[0]
+    for i, name in enumerate(names):
+        for j, key in enumerate([("", 0), ("p", 1), ("q", 1), ("p", 2), ("q", 2)]):
+            assert math.isclose(got[name, *key], want[j, i], abs_tol=2e-3)
+    # a view pulls its own asset, as surely as it is trusted
+    prior, cov = np.array([0.1, 0.2]), np.diag([4.0, 9.0])
+    pulls = [portfolio.black_litterman(prior, cov, np.array([1.0, 0.0]), np.array([c, 0.0]), 0.05, p) for c, p in ((1.0, None), (5.0, None), (1.0, [0.5, 0.5]), (0.0, None))]
+    assert np.allclose(pulls[0], pulls[1]) and np.allclose(pulls[3], prior) and np.allclose([p[1] for p in pulls], 0.2)
+    assert math.isclose(pulls[0][0], (0.1 / 0.2 + 1) / (1 / 0.2 + 1), rel_tol=1e-6) and prior[0] < pulls[2][0] < pulls[0][0]

@@ -27,6 +27,19 @@ def test_cache(spark, tmp_path):
     assert not results.cache_is_fresh(spark, path, 0)
 
 
+def test_freshness_and_saved_fills(spark, tmp_path):
+    spark.range(1).write.parquet(f"{tmp_path}/x.parquet")
+    written = spark._jvm.org.apache.hadoop.fs.Path(f"{tmp_path}/x.parquet")
+    at = written.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(written).getModificationTime() / 1000
+    assert [results.freshness(spark, f"{tmp_path}/x.parquet", at + s) for s in (5, 130, 7300, 200_000)] == ["0m ago", "2m ago", "2h ago", "2d ago"]
+    assert results.freshness(spark, f"{tmp_path}/none") == "no data"
+    log = results.fills(spark, [(dt.datetime(2024, 1, 1), "X", "buy", 10.0, 10.0, 0.0, 1.0)])
+    for kind in ("parquet", "csv"):
+        results.save_fills(log, f"{tmp_path}/{kind}", kind)
+        results.save_fills(log, f"{tmp_path}/{kind}", kind)
+        assert results.load_fills(spark, f"{tmp_path}/{kind}", kind).collect() == log.collect()
+
+
 def test_log_and_equity(spark, tmp_path):
     at = [dt.datetime(2024, 1, 1, h) for h in range(3)]
     log = results.fills(spark, [(at[0], "X", "buy", 10.0, 10.0, 0.0, 1.0), (at[1], "X", "sell", 4.0, 12.0, 0.0, 0.0)])
