@@ -12,17 +12,20 @@ checked; beyond that, seeds meet in a shuffle join. Both give the same rows.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than
 ``least`` tokens matches where all of it stands in a row; rows that repeat a doc_id
-are judged each, rows that repeat an item_id too; empty tables give no rows.
+are judged each, rows that repeat an item_id too; other columns aren't read, whatever
+their names; texts of any length are tiled whole; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, prefix_sums, span_hash, steps, text_buffers, tidy, word_values
+from .common import U64, mix, prefix_sums, span_hash, steps, text_buffers, tidy, unused, word_values
 
 LEAKS = "doc_id long, item_id long, item_tokens long, n_tiles long, covered long, coverage double"
 WORD = np.zeros(256, bool)
@@ -65,28 +68,29 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
     _, b = seeds(doc, np.array([0, len(doc)]), k)
     order = np.argsort(a, kind="stable")
     lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    hit = np.flatnonzero(hi > lo)
-    pairs = np.array([(i, d) for d in hit.tolist() for i in order[lo[d] : hi[d]].tolist()], np.int64).reshape(-1, 2)
+    count = hi - lo
+    d = np.repeat(np.arange(len(b)), count)
+    i = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
     # seeds on one diagonal in a row are one maximal match
-    line = pairs[:, 1] - pairs[:, 0]
-    pairs = pairs[np.lexsort((pairs[:, 0], line))]
-    line = pairs[:, 1] - pairs[:, 0]
-    cut = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (pairs[1:, 0] != pairs[:-1, 0] + 1)]) if len(pairs) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[cut, len(pairs)]) + k - 1
-    matches = [(int(n), int(pairs[c, 0]), int(pairs[c, 1])) for c, n in zip(cut, size)]
+    along = np.lexsort((i, d - i))
+    i, d = i[along], d[along]
+    cut = np.flatnonzero(np.r_[True, (np.diff(d - i) != 0) | (np.diff(i) != 1)]) if len(i) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[cut, len(i)]) + k - 1
     in_item, in_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
-    heap = sorted(matches, key=lambda m: (-m[0], m[1], m[2]))
-    while heap:
-        n, i, d = heap.pop(0)
+    queue = list(zip((-size).tolist(), i[cut].tolist(), d[cut].tolist()))  # longest first, then by places
+    heapq.heapify(queue)
+    while queue:
+        n, i, d = heapq.heappop(queue)
+        n = -n
         taken = in_item[i : i + n] | in_doc[d : d + n]
         if not taken.any():
             in_item[i : i + n] = in_doc[d : d + n] = True
             out.append((i, d, n))
             continue
         free = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
-        rest = [(int(q - p), i + int(p), d + int(p)) for p, q in zip(free[::2], free[1::2]) if q - p >= k]
-        if rest:
-            heap = sorted(heap + rest, key=lambda m: (-m[0], m[1], m[2]))
+        for p, q in zip(free[::2].tolist(), free[1::2].tolist()):
+            if q - p >= k:
+                heapq.heappush(queue, (p - q, i + p, d + p))
     return out
 
 
@@ -205,5 +209,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: floa
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that leak no item; rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    key = unused("__bad", docs.columns)
+    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad[key], "left_anti")

@@ -11,7 +11,8 @@ the response, the others are revisits with headers only.
 
 Defined results: a null payload is empty; rows with a null id are written as
 responses with an empty identifier; repeated rows are written each; columns but page_id,
-url and the payload are dropped; empty tables give no records.
+url and the payload are dropped, also where they are named like columns of the chunk
+table; empty tables give no records.
 """
 
 from __future__ import annotations

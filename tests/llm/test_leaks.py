@@ -73,3 +73,25 @@ def test_table(spark, sf):
     whole = {(d, i) for d, t in docs for i, p in items if t and p in t}
     assert whole and whole <= got
     assert all(set(words(dict(items)[i])) & set(words(dict(docs)[d])) for d, i in got)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    r = random.Random(9)
+    passage = " ".join(f"q{r.randrange(10**6)}" for _ in range(40))
+    long_text = "same " * 60_000 + passage + " end" * 40_000
+    docs = spark.createDataFrame([(1, long_text, 5, "x", "y", 2), (2, "same " * 50, 5, "x", "y", 2), (3, None, 1, "x", "y", 2)], "doc_id long, text string, item_id long, key string, __bad string, covered long")
+    items = spark.createDataFrame([(10, passage, 1, "z"), (11, "same " * 40, 1, "z")], "item_id long, text string, doc_id long, h string")
+    for sent in (2_000_000, 0):
+        got = {(x.doc_id, x.item_id, x.n_tiles, x.covered) for x in leaks(docs, items, max_sent=sent).collect()}
+        assert got == {(1, 10, 1, 40), (1, 11, 1, 40), (2, 11, 1, 40)}
+    kept = drop_leaking(docs, items.where("item_id = 11"))
+    assert kept.columns == docs.columns and [x.doc_id for x in kept.collect()] == [3]
+
+
+def test_tokens_of_two_letters_in_a_pattern(spark):
+    n = 1 << 11
+    one = "".join("b" if bin(i).count("1") % 2 else "a" for i in range(n))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"p q {one} r s"), (2, f"p q {other} r s")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, f"p q {other} r s")], "item_id long, text string")
+    assert [(x.doc_id, x.covered) for x in leaks(docs, items).collect()] == [(2, 5)]

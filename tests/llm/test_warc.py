@@ -53,3 +53,10 @@ def test_a_payload_of_many_chunks(spark):
     assert [bytes(r.running) for r in rows] == [hashlib.sha256(raw[: (i + 1) << 16]).digest() for i in range(46)]
     got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in read_records(table).collect())
     assert got == [(1, 3_000_002, "response", 0), (2, 150, "response", 0), (2, 3_000_002, "revisit", 1), (3, 0, "response", 0)]
+
+
+def test_clashing_columns(spark):
+    pages = [(1, "a" * 200), (2, "a" * 200), (3, None)]
+    rows = [(i, "http://a/", h, "x", 7, 8, "y", True) for i, h in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, record long, chunk long, digest string, refers_to boolean")
+    assert got(read_records(archive_pages(df))) == want(pages)
