@@ -35,14 +35,15 @@ STEP, STEP_COUNTERS = 8 << 20, 500_000
 BUDGET_COUNTERS, BUDGET_BYTES = 3_000_000, 192 << 20
 #: Low bits of a counter's key, which number its group within a task.
 GROUP_BITS = 24
-#: Partial counters that a range gets, about.
-RANGE_ROWS = 400_000
+#: Partial rows, of a term and language each, that a range gets, about.
+RANGE_ROWS = 150_000
 #: Numbers of one step of arithmetic on terms and sources.
 CELLS = 1 << 19
 UNIT = 1_000_000_000
 
-PARTIAL = "lang string, source string, term binary, n long, docs long"
-PARTIAL_NAMES = [x.split()[0] for x in PARTIAL.split(", ")]
+PARTIAL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
+PARTIAL_SCHEMA = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+PARTIAL_NAMES = PARTIAL_SCHEMA.names
 KEPT = "lang string, range int, term binary, sources array<string>, counts array<long>"
 
 
@@ -102,6 +103,30 @@ class Counted:
         return terms, term[order], group[order], self.n[order], self.docs[order]
 
 
+def lang_rows(found: Counted, least_docs: int = 0):
+    """Batches of lang, term, documents, sources and their counts, in the order of terms; of terms in ``least_docs`` or more documents."""
+    terms, term, group, n, docs = found.walk()
+    if not len(term):
+        return
+    names = list(found.groups)
+    langs = sorted({x for x, _ in names})
+    place = {x: i for i, x in enumerate(langs)}
+    lang = np.array([place[x] for x, _ in names])[group]
+    order = np.lexsort((group, lang, term))  # so that the sources of a term and language stand together
+    term, lang, group, n, docs = (x[order] for x in (term, lang, group, n, docs))
+    head = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])])
+    size, docs = np.diff(np.r_[head, len(term)]), np.add.reduceat(docs, head)
+    keep = np.flatnonzero(docs >= least_docs)
+    words, tongues, sources = pa.array(terms, pa.binary()), pa.array(langs, pa.string()), pa.array([x for _, x in names], pa.string())
+    for lo in range(0, len(keep), 50_000):
+        some = keep[lo : lo + 50_000]
+        first, width = head[some], size[some]
+        cuts = np.r_[0, np.cumsum(width)]
+        at = np.repeat(first - cuts[:-1], width) + np.arange(cuts[-1])
+        offsets = pa.array(cuts.astype(np.int32))
+        yield tongues.take(pa.array(lang[first])), words.take(pa.array(term[first])), pa.array(docs[some]), pa.ListArray.from_arrays(offsets, sources.take(pa.array(group[at]))), pa.ListArray.from_arrays(offsets, pa.array(n[at]))
+
+
 def terms_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct terms of some texts, and for each pair that occurs: text, term, occurrences."""
     pieces = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=BETWEEN)
@@ -127,25 +152,21 @@ def _pieces(text: bytes, size: int):
 
 
 def count_terms(docs: DataFrame, counters: int = BUDGET_COUNTERS, size: int = BUDGET_BYTES) -> DataFrame:
-    """Partial counts of (lang, source, text): a row for each end and counter of each trie, in the order of terms.
+    """Partial counts of (lang, source, text): a row for each end and language of each trie, in the order of terms.
 
-    A group that a task meets has a row with a null term besides. Longer texts than a
+    The groups of a language that a task meets are a row with a null term besides. Longer texts than a
     step are counted in pieces, and are one document.
     """
 
     def written(found: Counted):
-        names = list(found.groups)
-        lang, source = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
-        if names:
-            none = pa.nulls(len(names), pa.binary())
-            zero = pa.array(np.zeros(len(names), np.int64))
-            yield pa.RecordBatch.from_arrays([lang, source, none, zero, zero], PARTIAL_NAMES)
-        terms, term, group, n, of = found.walk()
-        words = pa.array(terms, pa.binary())
-        for lo in range(0, len(term), 100_000):
-            part = slice(lo, lo + 100_000)
-            who = pa.array(group[part])
-            yield pa.RecordBatch.from_arrays([lang.take(who), source.take(who), words.take(pa.array(term[part])), pa.array(n[part]), pa.array(of[part])], PARTIAL_NAMES)
+        by: dict[str, list[str]] = {}
+        for lang, source in found.groups:
+            by.setdefault(lang, []).append(source)
+        if by:
+            rows = [{"lang": k, "term": None, "docs": 0, "sources": v, "counts": [0] * len(v)} for k, v in by.items()]
+            yield pa.RecordBatch.from_pylist(rows, PARTIAL_SCHEMA)
+        for columns in lang_rows(found):
+            yield pa.RecordBatch.from_arrays(list(columns), PARTIAL_NAMES)
 
     def count(found: Counted, part: pa.RecordBatch, long: bool) -> None:
         group = found.group(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist())))
@@ -185,14 +206,16 @@ def merge_ranges(partial: DataFrame, ranges: int, least_docs: int = 3) -> DataFr
 
     def merged(found: Counted, batches: list) -> None:
         rows = pa.Table.from_batches(batches).combine_chunks()
-        lang, source, term = (rows[x].combine_chunks().dictionary_encode() for x in ("lang", "source", "term"))
-        lang, source, term = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (lang, source, term))
+        lang, term, sources, counts = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (rows[c] for c in ("lang", "term", "sources", "counts")))
+        row = pc.list_parent_indices(sources).to_numpy()
+        lang, term, source = lang.dictionary_encode(), term.dictionary_encode(), pc.list_flatten(sources).dictionary_encode()
         ends = found.ends(term.dictionary.to_pylist())[term.indices.to_numpy()]
-        pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-        each, place = np.unique(pair, return_inverse=True)
-        langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
-        groups = found.group([(langs[x // len(sources)], sources[x % len(sources)]) for x in each.tolist()])[place]
-        found.add(ends, groups, rows["n"].to_numpy(), rows["docs"].to_numpy())
+        langs, names = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+        each, place = np.unique(lang.indices.to_numpy().astype(np.int64)[row] * len(names) + source.indices.to_numpy(), return_inverse=True)
+        groups = found.group([(langs[x // len(names)], names[x % len(names)]) for x in each.tolist()])[place]
+        docs = np.zeros(len(row), np.int64)
+        docs[np.flatnonzero(np.r_[True, row[1:] != row[:-1]])] = rows["docs"].to_numpy()  # once for each term and language
+        found.add(ends[row], groups, pc.list_flatten(counts).to_numpy(), docs)
 
     @tidy
     def run(batches):
@@ -200,34 +223,14 @@ def merge_ranges(partial: DataFrame, ranges: int, least_docs: int = 3) -> DataFr
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size > STEP_COUNTERS:
+            if size > STEP_COUNTERS // 4:
                 merged(found, held)
                 held, size = [], 0
         if held:
             merged(found, held)
-        terms, term, group, n, docs = found.walk()
-        if not len(term):
-            return
-        # groups in order of lang, so that those of a term's language stand together
-        names = list(found.groups)
-        langs = sorted({x for x, _ in names})
-        lang_of = np.array([langs.index(x) for x, _ in names])
-        lang = lang_of[group]
-        order = np.lexsort((group, lang, term))
-        term, lang, group, n, docs = (x[order] for x in (term, lang, group, n, docs))
-        head = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])])
-        keep = np.flatnonzero(np.add.reduceat(docs, head) >= least_docs)
-        ends = np.r_[head[1:], len(term)]
-        words, sources = pa.array(terms, pa.binary()), pa.array([x for _, x in names], pa.string())
-        place, tongues = TaskContext.get().partitionId(), pa.array(langs, pa.string())
-        for lo in range(0, len(keep), 20_000):
-            some = keep[lo : lo + 20_000]
-            size = ends[some] - head[some]
-            at = np.repeat(head[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            cuts = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
-            columns = [tongues.take(pa.array(lang[head[some]])), pa.array(np.full(len(some), place, np.int32)), words.take(pa.array(term[head[some]]))]
-            columns += [pa.ListArray.from_arrays(cuts, sources.take(pa.array(group[at]))), pa.ListArray.from_arrays(cuts, pa.array(n[at]))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "range", "term", "sources", "counts"])
+        place = TaskContext.get().partitionId()
+        for lang, term, _, sources, counts in lang_rows(found, least_docs):
+            yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(lang), place, np.int32)), term, sources, counts], ["lang", "range", "term", "sources", "counts"])
 
     return partial.repartitionByRange(ranges, "term").mapInArrow(run, KEPT)
 
@@ -313,7 +316,7 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, counters: i
     kept = materialize(merge_ranges(ends, ranges, least_docs), "kept", folder)
     # groups and their totals
     counts = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
-    groups = partial.where("term is null").select("lang", "source").distinct().join(counts, ["lang", "source"], "left")
+    groups = partial.where("term is null").select("lang", F.explode("sources").alias("source")).distinct().join(counts, ["lang", "source"], "left")
     groups = materialize(groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")), "groups", folder)
     langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count("*").alias("size"))
     langs = langs.join(kept.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left").select("lang", "lang_n", F.coalesce("kept", F.lit(0)).alias("kept"), F.ceil(F.col("size") * F.col("size") / CELLS).cast("int").alias("blocks"))
