@@ -29,3 +29,48 @@ def test_remainder(spark):
 
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
+def test_rows_are_those_of_single_trigrams(spark, sf):
+    """All documents of the table, bound and bundled one trigram at a time."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    from statewell.llm.langid import DIM, SEED, SLOTS
+
+    letters = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIM)) * 2 - 1
+
+    def slot(c):
+        return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (SLOTS - 27) if c.isalpha() else 0
+
+    def bundle(text):
+        symbols = [0]
+        for s in [slot(c) for c in (text or "").lower()] + [0]:
+            if s or symbols[-1]:
+                symbols.append(s)
+        out = np.zeros(DIM)
+        for (a, b, c), n in Counter(zip(symbols, symbols[1:], symbols[2:])).items():
+            if b:
+                out += n * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs}
+    bundles = {r.doc_id: bundle(r.text) for r in docs}
+    sums = {}
+    for r in docs:
+        if not held[r.doc_id] and r.lang is not None and r.text is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + bundles[r.doc_id]
+    got = {r.doc_id: r for r in op3_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        mine, v = got[r.doc_id], bundles[r.doc_id]
+        assert mine.held_out == held[r.doc_id]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (mine.lang_pred, mine.score) == ("und", 0.0)
+            continue
+        cosine = {k: s @ v / (np.linalg.norm(s) * np.linalg.norm(v)) for k, s in sums.items()}
+        assert abs(mine.score - max(max(cosine.values()), 0)) < 1e-5
+        assert cosine[mine.lang_pred] > max(cosine.values()) - 1e-5
