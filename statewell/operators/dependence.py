@@ -232,8 +232,8 @@ def state_spread_zscore(df: DataFrame, spread: str) -> DataFrame:
 
 def pairs(df: DataFrame, *columns: str) -> DataFrame:
     """Rows of each two series (a < b) at times all series have. Series are few beside bars."""
-    n = df.select("series").distinct().count()
-    common = df.groupBy("t").agg(F.count_distinct("series").alias("n")).where(F.col("n") == n).select("t")
+    every = df.agg(F.count_distinct("series").alias("n"))  # one row
+    common = df.groupBy("t").agg(F.count_distinct("series").alias("n")).join(F.broadcast(every), "n").select("t")
     rows = df.select("series", "t", *columns).join(common, "t", "left_semi")
     a = rows.select("t", F.col("series").alias("series_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
     b = rows.select("t", F.col("series").alias("series_b"), *[F.col(c).alias(f"{c}_b") for c in columns])

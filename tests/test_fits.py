@@ -224,3 +224,16 @@ def test_two_lags_and_views(spark):
     pulls = [portfolio.black_litterman(prior, cov, np.array([1.0, 0.0]), np.array([c, 0.0]), 0.05, p) for c, p in ((1.0, None), (5.0, None), (1.0, [0.5, 0.5]), (0.0, None))]
     assert np.allclose(pulls[0], pulls[1]) and np.allclose(pulls[3], prior) and np.allclose([p[1] for p in pulls], 0.2)
     assert math.isclose(pulls[0][0], (0.1 / 0.2 + 1) / (1 / 0.2 + 1), rel_tol=1e-6) and prior[0] < pulls[2][0] < pulls[0][0]
+
+
+def test_the_next_state_fit_has_no_slope_left():
+    from statewell.operators import semi_markov
+
+    r = np.random.default_rng(14)
+    x, k = r.normal(0, 1, (300, 2)), r.integers(0, 3, 300)
+    k[1:] = np.where(r.random(299) < 0.5, (x[:-1, 0] > 0) + (x[:-1, 1] > 0), k[1:])
+    model = semi_markov.NextState(lags=2, l2=0.01).fit(x, k)
+    a = model.rows(model.history(x)[:-1])
+    hit = (k[2:, None] == np.arange(3)).astype(float)
+    slope = a.T @ (hit - model.shares(a)) / len(a) - model.l2 * model.coefficients
+    assert np.abs(slope).max() < 1e-10
