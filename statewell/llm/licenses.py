@@ -330,10 +330,11 @@ def pairs_of(line: str) -> np.ndarray:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text") -> Classifier:
     """A classifier with negatives from ``sample_docs`` documents, those of the smallest id hash.
 
-    Tasks cut the documents into lines and send each distinct line once.
+    The hashes alone choose the documents; tasks cut these into lines and send each distinct line once.
     """
     hashed = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.xxhash64("doc_id").alias("h"))
-    sample = hashed.orderBy("h", "t").limit(sample_docs)
+    last = hashed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last)).orderBy("h", "t").limit(sample_docs)
     lines = sample.select(F.explode(F.split("t", "\n")).alias("line")).where("trim(line) != ''").distinct().orderBy("line")
     return Classifier([r.line for r in lines.collect()])
 
